@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .simhash import near_groups
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import remove_repeats
 
@@ -25,6 +26,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(documents(spark, sf_dir), size=3, words=1, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
@@ -39,6 +45,7 @@ FROM w LEFT JOIN kept USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
