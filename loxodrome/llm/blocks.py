@@ -1,7 +1,6 @@
 """Block exchange: corpus-wide lookups that move packed arrays, not rows.
 
-Documents are dealt by hash into blocks (as many as there are shuffle
-partitions, so a block's size is set by that one number).  A block *asks*: it
+Documents are dealt by hash into blocks of a few megabytes of text.  A block *asks*: it
 sends each hash range (*bucket*) one row that holds the sorted, distinct keys
 that any of its documents has.  A bucket *answers* each block in the order of
 the keys asked, so an answer needs no keys.  A key that a third of all
@@ -15,6 +14,7 @@ anywhere and give the same asks and answers.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +27,23 @@ _ASK_ARROW = pa.schema([("bkt", pa.int32()), ("blk", pa.int32()), ("phase", pa.i
 _ANSWER_ARROW = pa.schema([("blk", pa.int32()), ("bkt", pa.int32()), ("phase", pa.int32()), ("body", pa.binary())])
 
 
-def block_count(df: DataFrame) -> int:
-    """Blocks and buckets: the session's shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text in a block, which one Python worker holds, and bytes whose keys share a bucket.
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
+
+
+class Deal(NamedTuple):
+    """How many blocks documents go to, and how many buckets their keys."""
+
+    blocks: int
+    buckets: int
+
+
+def deal(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Deal:
+    """Sized by the bytes of all texts; a small table still gets a block per core."""
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return Deal(max(1, -(-size // block_bytes), min(cores, size >> 16)), max(1, -(-size // BUCKET_BYTES), min(cores, size >> 16)))
 
 
 def into_blocks(df: DataFrame, blocks: int, *keys: str) -> DataFrame:

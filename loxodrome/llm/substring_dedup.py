@@ -28,6 +28,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,19 +145,18 @@ def _cover(blk: int, docs: pa.Table, answers: pa.Table, *, window: int, seed: in
     gone = np.cumsum(change[:-1]) > 0
     lost = np.concatenate([[0], np.cumsum(gone)])
     n_removed = lost[w.at[1:]] - lost[w.at[:-1]]
-    kept = w.words.filter(pa.array(~gone)).to_pylist() if len(gone) else []
-    kept_at = (w.at - lost[w.at]).tolist()
-    null = w.docs["_text"].combine_chunks().is_null().to_pylist()
-    texts = [None if null[i] else " ".join(kept[kept_at[i] : kept_at[i + 1]]) for i in range(len(null))]
+    kept = pa.ListArray.from_arrays(pa.array(w.at - lost[w.at], pa.int32()), w.words.filter(pa.array(~gone)))
+    null = w.docs["_text"].combine_chunks().is_null()
+    texts = pc.if_else(null, pa.scalar(None, pa.string()), pc.binary_join(kept, " "))
     edge = np.flatnonzero(gone[1:] != gone[:-1]) + 1
-    spans: list[list[dict]] = [[] for _ in null]
+    spans: list[list[dict]] = [[] for _ in range(len(null))]
     for i in np.flatnonzero(n_removed):
         lo, hi = w.at[i], w.at[i + 1]
         inner = edge[np.searchsorted(edge, lo, "right") : np.searchsorted(edge, hi, "left")]
         marks = [lo, *inner, hi]
         spans[i] = [{"start": int(a - lo), "end": int(b - lo)} for a, b in zip(marks[:-1], marks[1:], strict=True) if gone[a]]
     new = {"n_words": np.diff(w.at), "n_removed": n_removed, "kept_text": texts, "spans": spans}
-    return pa.table([pa.array(new[f.name], f.type) if f.name in new else w.docs[f.name].combine_chunks().cast(f.type) for f in out], schema=out)
+    return pa.table([new[f.name] if f.name == "kept_text" else pa.array(new[f.name], f.type) if f.name in new else w.docs[f.name].combine_chunks().cast(f.type) for f in out], schema=out)
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, seed: int = 5) -> DataFrame:
@@ -168,10 +168,10 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if not 1 <= seed <= window:
         raise ValueError("seed must be between 1 and window")
-    buckets = B.block_count(docs)
     others = [c for c in docs.columns if c not in (id_col, text_col, *OUT)]
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
-    blocked = B.into_blocks(plain, buckets, "_id", "_text")
+    blocks, buckets = B.deal(plain, "_text")
+    blocked = B.into_blocks(plain, blocks, "_id", "_text")
     given = {"window": window, "seed": seed, "buckets": buckets}
     one = B.answer(B.ask(blocked, partial(_seed, **given)), partial(B.elsewhere, phase=1))
     two = B.answer(B.ask(blocked, partial(_extend, **given), one), _earlier)

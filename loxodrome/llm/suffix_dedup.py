@@ -254,10 +254,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     if length < 2:
         raise ValueError("length must be at least 2")
-    buckets = B.block_count(docs)
     others = [c for c in docs.columns if c not in (id_col, text_col, *OUT)]
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
-    blocked = B.into_blocks(plain, buckets, "_id", "_text")
+    blocks, buckets = B.deal(plain, "_text")
+    blocked = B.into_blocks(plain, blocks, "_id", "_text")
     given = {"length": length, "buckets": buckets}
     one = B.answer(B.ask(blocked, partial(_first_pass, **given)), partial(B.elsewhere, phase=1))
     two = one.unionByName(B.answer(B.ask(blocked, partial(_second_pass, **given), one), _second_answer))
