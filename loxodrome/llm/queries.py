@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import compare_edits
+from .license_scan import scan_licenses
 from .mixing import mix
 from .simhash import near_groups
 from .substring_dedup import dedup_substrings
@@ -33,6 +34,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(documents(spark, sf_dir))
 
@@ -71,6 +76,7 @@ FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
