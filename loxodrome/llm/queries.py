@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .fingerprints import compare_edits
 from .license_scan import scan_licenses
 from .mixing import mix
+from .packing import pack_documents
 from .simhash import near_groups
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import remove_repeats
@@ -24,6 +25,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=1).drop("ids")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_simhash": op9_simhash,
 }
