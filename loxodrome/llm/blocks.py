@@ -46,6 +46,11 @@ def deal(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Deal:
     return Deal(max(1, -(-size // block_bytes), min(cores, size >> 16)), max(1, -(-size // BUCKET_BYTES), min(cores, size >> 16)))
 
 
+def power_of_two(buckets: int, most: int) -> int:
+    """The largest power of two that is neither above ``buckets`` nor ``most``: its ranges never cut what shares log2(most) high bits."""
+    return 1 << (min(buckets, most).bit_length() - 1)
+
+
 def into_blocks(df: DataFrame, blocks: int, *keys: str) -> DataFrame:
     """Add ``blk``, from the values of ``keys``; rows with null ids spread by the other keys."""
     return df.withColumn("blk", F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(blocks)).cast("int"))
@@ -67,8 +72,8 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]]).astype(np.int64)
 
 
-def ask_rows(blk: int, phase: int, keys: np.ndarray, buckets: int, vals: Callable[[int, int], bytes] | None = None) -> pa.Table:
-    """Rows of ASK for sorted distinct ``keys``; ``vals(i, j)`` packs what goes with keys i to j."""
+def ask_rows(blk: int, phase: int, keys: np.ndarray, buckets: int, vals: Callable[[int, int], bytes] | None = None, pack: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> pa.Table:
+    """Rows of ASK for sorted ``keys``; ``vals(i, j)`` packs what goes with keys i to j, ``pack`` the keys."""
     cut = bounds(keys, buckets)
     some = np.flatnonzero(cut[1:] > cut[:-1])
     return pa.table(
@@ -76,7 +81,7 @@ def ask_rows(blk: int, phase: int, keys: np.ndarray, buckets: int, vals: Callabl
             pa.array(some.astype(np.int32)),
             pa.array(np.full(len(some), blk, np.int32)),
             pa.array(np.full(len(some), phase, np.int32)),
-            pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+            pa.array([pack(keys[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
             pa.array([vals(cut[b], cut[b + 1]) if vals else b"" for b in some], pa.binary()),
         ],
         schema=_ASK_ARROW,
@@ -87,10 +92,10 @@ def no_asks() -> pa.Table:
     return _ASK_ARROW.empty_table()
 
 
-def asked(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
+def asked(table: pa.Table, unpack: Callable[[bytes], np.ndarray] = lambda x: np.frombuffer(x, np.uint64)) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Of one bucket's asks, in order of block: blocks, all keys joined, and the block's place of each key."""
     table = table.sort_by("blk")
-    parts = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    parts = [unpack(x) for x in table["keys"].to_pylist()]
     keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     return table["blk"].to_pylist(), keys, np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .fingerprints import compare_edits
 from .license_scan import scan_licenses
+from .lm_scoring import score_texts
 from .mixing import mix
 from .packing import pack_documents
+from .quality_classifier import classify
+from .quality_rules import quality_rules
 from .simhash import near_groups
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import remove_repeats
@@ -36,11 +39,20 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return classify(documents(spark, sf_dir), trusted)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(documents(spark, sf_dir), size=3, words=1, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("print")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
 
@@ -54,6 +66,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(documents(spark, sf_dir), columns=["doc_id"])
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
@@ -83,12 +100,15 @@ FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_license_scan": op3_license_scan,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,18 @@ def text_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut between rows to about ``size`` bytes of ``column``; a longer text comes alone."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + size, "right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words ``[^\\x20\\x09-\\x0D]+`` in order, and where each text's begin (one more entry ends the last)."""
     lists = pc.ascii_split_whitespace(texts)
