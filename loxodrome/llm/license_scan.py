@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import split_words, text_array
+from .words import pieces, split_words, text_array
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -258,7 +258,7 @@ def _scan(batches: Iterator[pa.RecordBatch], *, templates: list, phrases: dict,
     scanner = Scanner(templates, phrases, least, cover, gap)
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))
     kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": span}
-    for batch in batches:
+    for batch in pieces(batches, "_text"):
         found = scanner.scan(text_array(batch.column("_text")))
         yield pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array(found[k], t) for k, t in kinds.items()]], names=["_id", *kinds])
 
