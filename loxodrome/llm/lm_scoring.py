@@ -100,11 +100,10 @@ class Trie:
         less, fewer = np.zeros(n), np.zeros(n)
 
         def at(present: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray, above: np.ndarray) -> None:
-            left, new = total - less, kinds - fewer
-            room = left + new
+            room, new = 2 * (total - less), kinds - fewer
             here = present & ~done
             hit = here & (count > 0)
-            out[hit] *= count[hit] / room[hit]
+            out[hit] *= (2 * count[hit] - 1) / room[hit]
             miss = here & (count == 0) & (room > 0)
             out[miss] *= new[miss] / room[miss]
             done[hit] = True

@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loxodrome.operators.components import connected_components
 from loxodrome.plans.lineage import cut
@@ -85,13 +86,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: i
         for k in range(keys if len(some) else 0):
             least[some, k] = np.minimum.reduceat(mix(hashes ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (1 << 64) - 1)), begins[some])
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel().view(np.int64)), m).cast(pa.list_(pa.int64())) if m else pa.array([[]] * len(texts), pa.list_(pa.int64())) for x, m in ((np.stack(print_, axis=1), words), (least, keys))]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), *lists, pa.array(np.diff(begins))], names=["_id", "print", "least", "n_shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), *lists, pa.array(np.diff(begins))], names=["_id", "_key", "print", "least", "n_shingles"])
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, keys: int = 0) -> DataFrame:
-    """_id, print (array of ``words`` longs), least (minimum hashes), n_shingles of each row."""
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys), "_id long, print array<long>, least array<long>, n_shingles long")
+    """_id, _key, print (array of ``words`` longs), least (minimum hashes), n_shingles of each row."""
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), row_key(id_col, text_col).alias("_key"))
+    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys), "_id long, _key long, print array<long>, least array<long>, n_shingles long")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
 
 
 def _bands(print_: Column) -> Column:
@@ -233,7 +239,7 @@ def near_classes(classes: DataFrame, *, words: int, radius: int, split: int = 16
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, radius: int = 2, keys: int = 0) -> DataFrame:
-    """doc_id, print, component_id (smallest id reachable through links, itself included) of each row."""
+    """doc_id, _key, print, n_shingles, component (a class), component_id (smallest id reachable through links, itself included) of each row."""
     if (words > 1 or radius > 2) and not keys:
         raise ValueError("wide or far fingerprints need keys")
     rows = cut(sketches(docs, id_col=id_col, text_col=text_col, size=size, words=words, keys=keys))
@@ -244,5 +250,16 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     linked = near_classes(classes.select("cls", "print", "least"), words=words, radius=radius)
     joined = classes.select("cls", "print", "least_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = joined.join(named, "component").select("print", "component_id")
-    return rows.join(of_class, "print").select(F.col("_id").alias(id_col), "print", "n_shingles", "component_id")
+    of_class = joined.join(named, "component").select("print", "component", "component_id")
+    return rows.join(of_class, "print").select(F.col("_id").alias(id_col), "_key", "print", "n_shingles", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **given: int) -> DataFrame:
+    """``docs`` without near copies: of each component the row with the smallest id stays (null last), of repeated rows one."""
+    found = near_groups(docs, id_col=id_col, text_col=text_col, **given)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_key")).alias("x")
+    stay = found.groupBy("component").agg(first).select(F.col("x._key").alias("_key"), F.col("x.id").alias("_stay"))
+    keyed = docs.withColumns({"_key": row_key(id_col, text_col), "_stay": F.col(f"`{id_col}`").cast("long")})
+    kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & keyed["_stay"].eqNullSafe(stay["_stay"]), "left_semi")
+    again = F.row_number().over(Window.partitionBy("_key", "_stay").orderBy(F.col(f"`{text_col}`")))
+    return kept.withColumn("_again", again).where("_again = 1").drop("_key", "_stay", "_again")

@@ -151,9 +151,9 @@ class SlowTrie:
             if c is None:
                 continue
             left = {s: n for s, n in c.items() if s not in out}
-            room = sum(left.values()) + len(left)
+            room = 2 * sum(left.values())
             if symbol in left:
-                return chance * left[symbol] / room
+                return chance * (2 * left[symbol] - 1) / room
             if room:
                 chance *= len(left) / room
             out |= set(c)
