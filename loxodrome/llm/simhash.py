@@ -40,7 +40,7 @@ from loxodrome.operators.components import connected_components
 from loxodrome.plans.lineage import cut
 
 from .blocks import mix
-from .words import split_words, text_array
+from .words import pieces, split_words, text_array
 
 _CHUNK = 1 << 15
 _TILE = 1024
@@ -77,7 +77,7 @@ def _majority(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "_text", 1 << 20):
         texts = text_array(batch.column("_text"))
         hashes, begins = shingle_hashes(texts, size)
         print_ = [_majority(hashes if not i else mix(hashes + np.uint64(i)), begins) for i in range(words)]
