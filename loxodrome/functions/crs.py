@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ GRS80 = (6378137.0, 298.257222101)
 WGS84 = (6378137.0, 298.257223563)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.transform(F.array(value), body)[0]
+
+
 class TransverseMercator:
     """Krueger's series to the fifth order of the third flattening; below a micrometre within a zone."""
 
@@ -55,15 +61,20 @@ class TransverseMercator:
             m = F.lit(2.0 * (j + 1))
             p = p - F.lit(b) * F.sin(m * xi) * F.cosh(m * eta)
             q = q - F.lit(b) * F.cos(m * xi) * F.sinh(m * eta)
-        tau0 = F.sin(p) / F.hypot(F.sinh(q), F.cos(p))
-        tau = tau0
-        for _ in range(3):  # Newton; the second step is already at rounding level
-            s = F.sqrt(1 + tau * tau)
-            sigma = F.sinh(F.lit(self.e) * F.atanh(F.lit(self.e) * tau / s))
-            back = tau * F.sqrt(1 + sigma * sigma) - sigma * s
-            e2 = F.lit(self.e**2)
-            tau = tau + (tau0 - back) / F.sqrt(1 + back * back) * (1 + (1 - e2) * tau * tau) / ((1 - e2) * s)
-        return F.degrees(F.atan2(F.sinh(q), F.cos(p))) + F.lit(self.lon0), F.degrees(F.atan(tau))
+        e2 = F.lit(self.e**2)
+
+        def newton(start: Column) -> Column:
+            def step(tau: Column, _: Column) -> Column:
+                def better(sigma: Column) -> Column:
+                    root = F.sqrt(1 + tau * tau)
+                    return let(tau * F.sqrt(1 + sigma * sigma) - sigma * root, lambda back: tau + (start - back) / F.sqrt(1 + back * back) * (1 + (1 - e2) * tau * tau) / ((1 - e2) * root))
+
+                return let(F.sinh(F.lit(self.e) * F.atanh(F.lit(self.e) * tau / F.sqrt(1 + tau * tau))), better)
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(3)), start, step)  # the second round is already at rounding level
+
+        lat = F.degrees(F.atan(let(F.sin(p) / F.hypot(F.sinh(q), F.cos(p)), newton)))
+        return F.degrees(F.atan2(F.sinh(q), F.cos(p))) + F.lit(self.lon0), lat
 
     def scale_factor(self, x: Column) -> Column:
         """Local scale at an easting, to the second order."""
@@ -119,25 +130,36 @@ def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ro
     def reduced(lat: Column) -> Column:
         return F.atan(F.lit(1 - f) * F.tan(F.radians(lat)))
 
-    u1, u2, big = reduced(lat1), reduced(lat2), F.radians(lon2 - lon1)
-    state = F.struct(big.alias("lam"), F.lit(0.0).alias("s"), F.lit(1.0).alias("c"), F.lit(0.0).alias("sigma"), F.lit(1.0).alias("ca2"), F.lit(0.0).alias("cm"))
-
-    def step(x: Column, _: Column) -> Column:
-        lam = x["lam"]
-        s = F.hypot(F.cos(u2) * F.sin(lam), F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam))
-        c = F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)
-        sigma = F.atan2(s, c)
-        sa = F.when(s == 0, 0.0).otherwise(F.cos(u1) * F.cos(u2) * F.sin(lam) / s)
-        ca2 = 1 - sa * sa
-        cm = F.when(ca2 == 0, 0.0).otherwise(c - 2 * F.sin(u1) * F.sin(u2) / ca2)
-        k = F.lit(f / 16) * ca2 * (4 + F.lit(f) * (4 - 3 * ca2))
-        new = big + (1 - k) * F.lit(f) * sa * (sigma + k * s * (cm + k * c * (-1 + 2 * cm * cm)))
-        return F.struct(new.alias("lam"), s.alias("s"), c.alias("c"), sigma.alias("sigma"), ca2.alias("ca2"), cm.alias("cm"))
-
-    x = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, step)
-    v2 = x["ca2"] * F.lit((a * a - b * b) / (b * b))
-    big_a = 1 + v2 / 16384 * (4096 + v2 * (-768 + v2 * (320 - 175 * v2)))
-    big_b = v2 / 1024 * (256 + v2 * (-128 + v2 * (74 - 47 * v2)))
-    s, c, cm = x["s"], x["c"], x["cm"]
-    change = big_b * s * (cm + big_b / 4 * (c * (-1 + 2 * cm * cm) - big_b / 6 * cm * (-3 + 4 * s * s) * (-3 + 4 * cm * cm)))
-    return F.lit(b) * big_a * (x["sigma"] - change)
+    def fields(**columns: Column) -> Column:
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    def distance(p: Column) -> Column:
+        s1, c1, s2, c2, big = p["s1"], p["c1"], p["s2"], p["c2"], p["big"]
+
+        def step(x: Column, _: Column) -> Column:
+            lam = x["lam"]
+            arc = fields(s=F.hypot(c2 * F.sin(lam), c1 * s2 - s1 * c2 * F.cos(lam)), c=s1 * s2 + c1 * c2 * F.cos(lam))
+            return let(arc, lambda g: let(F.when(g["s"] == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / g["s"]), lambda sa: let(1 - sa * sa, lambda ca2: turned(g, sa, ca2))))
+
+        def turned(g: Column, sa: Column, ca2: Column) -> Column:
+            def after(cm: Column) -> Column:
+                k = F.lit(f / 16) * ca2 * (4 + F.lit(f) * (4 - 3 * ca2))
+                new = big + (1 - k) * F.lit(f) * sa * (F.atan2(g["s"], g["c"]) + k * g["s"] * (cm + k * g["c"] * (-1 + 2 * cm * cm)))
+                return fields(lam=new, s=g["s"], c=g["c"], ca2=ca2, cm=cm)
+
+            return let(F.when(ca2 == 0, 0.0).otherwise(g["c"] - 2 * s1 * s2 / ca2), after)
+
+        def length(x: Column) -> Column:
+            def measured(v: Column) -> Column:
+                s, c, cm = x["s"], x["c"], x["cm"]
+                change = v["b"] * s * (cm + v["b"] / 4 * (c * (-1 + 2 * cm * cm) - v["b"] / 6 * cm * (-3 + 4 * s * s) * (-3 + 4 * cm * cm)))
+                return F.lit(b) * v["a"] * (F.atan2(s, c) - change)
+
+            series = lambda v2: fields(a=1 + v2 / 16384 * (4096 + v2 * (-768 + v2 * (320 - 175 * v2))), b=v2 / 1024 * (256 + v2 * (-128 + v2 * (74 - 47 * v2))))
+            return let(let(x["ca2"] * F.lit((a * a - b * b) / (b * b)), series), measured)
+
+        start = fields(lam=big, s=F.lit(0.0), c=F.lit(1.0), ca2=F.lit(1.0), cm=F.lit(0.0))
+        return let(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step), length)
+
+    u1, u2 = reduced(lat1), reduced(lat2)
+    return let(fields(s1=F.sin(u1), c1=F.cos(u1), s2=F.sin(u2), c2=F.cos(u2), big=F.radians(lon2 - lon1)), distance)

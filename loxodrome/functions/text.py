@@ -8,9 +8,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
@@ -96,7 +97,7 @@ def _ratio(a: str | None, b: str | None) -> float | None:
     return sum(both) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Mean Ratcliff-Obershelp ratio of both directions; null if a name is empty."""
     return pd.Series([_ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")

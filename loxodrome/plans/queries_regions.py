@@ -9,23 +9,11 @@ from loxodrome.functions.grid import cell_index
 from loxodrome.operators import regions, spatial, stats
 from loxodrome.operators.similarity import rank_regions, robust_transform
 from loxodrome.plans.inputs import GROUPS, SQL, pois, stations
+from loxodrome.plans.registry import Registry, rounded
 
 LOW, HIGH = (-2000.0, -2000.0), (2000.0, 2000.0)
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def put(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 @query(f"WITH {SQL} SELECT p.id AS left_id, s.id AS right_id, round(sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)), 6) AS distance_m FROM poi p JOIN station s ON abs(p.x-s.x) <= 300 AND (p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y) <= 90000")
