@@ -36,7 +36,7 @@ from .ngrams import BYTE_END, BYTE_START, LOWER, find, grams, merged, stretches,
 from .words import split_words, text_array, word_hashes
 
 ORDER = 6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _SPREAD, _BACK = 40503, pow(40503, -1, 1 << 16)  # odd: permutes the last two bytes
 _ALPHABET = 255  # all bytes, and the end for one of the two that UTF-8 never uses
 _END_WORD = B.mix(np.array([1], np.uint64))[0]
@@ -147,11 +147,12 @@ class _Block:
     def __init__(self, docs: pa.Table) -> None:
         self.texts = text_array(docs["_text"])
         self.learn = ~docs["held_out"].combine_chunks().to_numpy(zero_copy_only=False)
-        parts = []
+        self.parts, counts = [], []
         for first, six, at in _six(self.texts):
             key, of = np.unique(six, return_inverse=True)
-            parts.append((key, np.bincount(of, np.repeat(self.learn[first : first + len(at) - 1], np.diff(at)), len(key))))
-        key, count = merged([k for k, _ in parts], [c for _, c in parts])
+            counts.append(np.bincount(of, np.repeat(self.learn[first : first + len(at) - 1], np.diff(at)), len(key)))
+            self.parts.append((first, key, of.astype(np.int32), at))
+        key, count = merged([k for _, k, _, _ in self.parts], counts)
         key = _keys(key)
         order = np.argsort(key)
         self.keys, self.counts = key[order], count[order]
@@ -209,8 +210,7 @@ def _score(blk: int, docs: pa.Table, answers: pa.Table, *, buckets: int) -> pa.T
     counts = B.read_values(answers, 2, x.words, buckets, np.int64)
     rows = len(x.texts)
     score = np.zeros(rows)
-    for first, six, at in _six(x.texts):
-        key, of = np.unique(six, return_inverse=True)
+    for first, key, of, at in x.parts:
         score[first : first + len(at) - 1] = np.add.reduceat(log10[find(x.keys, _keys(key))].astype(np.float64)[of], at[:-1])
     known = np.concatenate([[0], np.cumsum(counts[x.of] > 0)])
     mass = np.concatenate([[0.0], np.cumsum(np.log10(counts[x.of] + 0.5))])
