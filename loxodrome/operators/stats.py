@@ -28,7 +28,7 @@ def spearman_pairs(frame: DataFrame, by: str, columns: Sequence[str], baseline:
     ranked = frame.select(by, *[F.col(c).cast("double").alias(c) for c in columns])
     ranked = ranked.withColumns({f"_r_{c}": average_rank(c, by) for c in columns})
     pairs = list(combinations(columns, 2))
-    sums = ranked.groupBy(by).agg(F.count("*").alias("n"), *[F.when((F.count_distinct(a) > 1) & (F.count_distinct(b) > 1), F.corr(f"_r_{a}", f"_r_{b}")).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
+    sums = ranked.groupBy(by).agg(F.count("*").alias("n"), *[F.when((F.count_distinct(a) > 1) & (F.count_distinct(b) > 1), F.try_divide(F.covar_pop(f"_r_{a}", f"_r_{b}"), F.stddev_pop(f"_r_{a}") * F.stddev_pop(f"_r_{b}"))).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"_p{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])
     out = sums.select(by, "n", F.explode(rows).alias("x")).select(by, "n", "x.*")
     if baseline is None:
