@@ -58,13 +58,20 @@ def _crossing(rows: DataFrame, bucket: Column, budgets: DataFrame) -> DataFrame:
     return first.select("_k", F.col("x.bucket").alias("bucket"), (F.col("x.upto") - F.col("x.inside")).alias("below"), F.col("x.inside").alias("inside"))
 
 
+def salted(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with one line a source, which stands once for each salt: a large source meets it in many tasks."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.col("_h"), F.lit(salts).cast("long"))).join(many, ["_k", "_salt"], how).drop("_salt")
+
+
 def thresholds(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """_k, source_size, target, base, limit: rows with a hash below limit are taken once more."""
     budgets = cut(_weights(rows, weights, share, most))
     limit, left = None, budgets
     for level in range(3):
         shift = 2 * _BITS - level * _BITS
-        inner = rows if level == 0 else rows.join(limit.select("_k", "bucket"), "_k").where(F.shiftright("_h", shift + _BITS) == F.col("bucket")).drop("bucket")
+        inner = rows if level == 0 else salted(rows, limit.select("_k", "bucket")).where(F.shiftright("_h", shift + _BITS) == F.col("bucket")).drop("bucket")
         limit = cut(_crossing(inner, F.shiftright("_h", shift), left))
         left = left.join(limit.select("_k", "below"), "_k").select("_k", (F.col("budget") - F.col("below")).alias("budget"))
     last = limit.select("_k", "bucket", "inside").join(left, "_k")
@@ -80,5 +87,5 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     marked = docs.drop(*OUT).withColumns({"_k": key, "_h": hashed, "_size": word_count(F.col(f"`{text_col}`"))})
     found = thresholds(cut(marked.select("_k", "_h", "_size")), weights, share, most)
     copies = F.col("base") + (F.col("_h") < F.col("limit")).cast("long")
-    joined = marked.join(found, "_k").withColumn("copies", copies)
+    joined = salted(marked, found).withColumn("copies", copies)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUT], F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
