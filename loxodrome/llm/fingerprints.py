@@ -57,11 +57,11 @@ def digest_groups(forms: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The columns of ``docs``, and fingerprint, n_copies (rows with the same form)."""
-    formed = docs.drop("fingerprint", "n_copies").withColumn("_form", canonical(F.col(f"`{text_col}`")))
+    formed = docs.select(F.struct("*").alias("_row"), canonical(F.col(f"`{text_col}`")).alias("_form"))
     formed = formed.withColumn("_digest", digest(F.col("_form")))
     found = digest_groups(formed.select("_digest", "_form"))
     named = F.when(F.col("n_forms") > 1, F.concat("_digest", F.lit("-"), F.substring(F.sha2("_form", 256), 1, 16))).otherwise(F.col("_digest"))
-    return formed.join(found, "_digest").select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("fingerprint", "n_copies")], named.alias("fingerprint"), F.col("n_rows").alias("n_copies"))
+    return formed.join(found, "_digest").select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("fingerprint", "n_copies")], named.alias("fingerprint"), F.col("n_rows").alias("n_copies"))
 
 
 def _range_of(ids: Column, cuts: list[int]) -> Column:

@@ -83,9 +83,10 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...], share: float, most:
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """The columns of ``docs`` (those named as below are replaced), and size, source_size, target, copies (times the mix takes the row), taken."""
     key = F.when(F.col(f"`{source_col}`").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(f"`{source_col}`").cast("string")))
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("~"), F.coalesce(text_col, F.lit(""))))), 1, 9), 16, 10).cast("long")
-    marked = docs.drop(*OUT).withColumns({"_k": key, "_h": hashed, "_size": word_count(F.col(f"`{text_col}`"))})
+    text = F.col(f"`{text_col}`")
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("~"), F.coalesce(text, F.lit(""))))), 1, 9), 16, 10).cast("long")
+    marked = docs.select(F.struct("*").alias("_row"), key.alias("_k"), hashed.alias("_h"), word_count(text).alias("_size"))
     found = thresholds(cut(marked.select("_k", "_h", "_size")), weights, share, most)
     copies = F.col("base") + (F.col("_h") < F.col("limit")).cast("long")
     joined = salted(marked, found).withColumn("copies", copies)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUT], F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+    return joined.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in OUT], F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))

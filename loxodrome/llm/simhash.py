@@ -243,7 +243,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if (words > 1 or radius > 2) and not keys:
         raise ValueError("wide or far fingerprints need keys")
     rows = cut(sketches(docs, id_col=id_col, text_col=text_col, size=size, words=words, keys=keys))
-    classes = rows.groupBy("print").agg(F.min("_id").alias("least_id"), F.first("least").alias("least"))
+    classes = rows.groupBy("print").agg(F.min("_id").alias("least_id"), F.min("least").alias("least"))
     # A class is named by its fingerprint, or by a hash of a wide one.
     name = F.col("print")[0] if words == 1 else F.xxhash64("print")
     classes = classes.withColumn("cls", name)
@@ -259,7 +259,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = near_groups(docs, id_col=id_col, text_col=text_col, **given)
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_key")).alias("x")
     stay = found.groupBy("component").agg(first).select(F.col("x._key").alias("_key"), F.col("x.id").alias("_stay"))
-    keyed = docs.withColumns({"_key": row_key(id_col, text_col), "_stay": F.col(f"`{id_col}`").cast("long")})
-    kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & keyed["_stay"].eqNullSafe(stay["_stay"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("_key", "_stay").orderBy(F.col(f"`{text_col}`")))
-    return kept.withColumn("_again", again).where("_again = 1").drop("_key", "_stay", "_again")
+    keyed = docs.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"), F.col(f"`{id_col}`").cast("long").alias("_own"))
+    kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & keyed["_own"].eqNullSafe(stay["_stay"]), "left_semi")
+    again = F.row_number().over(Window.partitionBy("_key", "_own").orderBy(F.col("_row")[text_col]))
+    return kept.withColumn("_again", again).where("_again = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
