@@ -74,7 +74,7 @@ def by_category(points: DataFrame, cells: DataFrame, x0: float, y0: float, cell:
     return placed.groupBy("owner").agg(F.count("*").alias("total"), *[F.count_if(F.col("category_group") == c).alias(c) for c in categories])
 
 
-def _clip(ring: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> float:
+def clip_ring(ring: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> float:
     """Area of a polygon inside a box, one side of the box after another."""
     for axis in (0, 1):
         for bound, sign in ((low[axis], 1.0), (high[axis], -1.0)):
@@ -96,4 +96,4 @@ def _clip(ring: np.ndarray, low: tuple[float, float], high: tuple[float, float])
 @F.pandas_udf(T.DoubleType())
 def clipped_area(xs: pd.Series, ys: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
     """Area of a ring (two arrays, closed or not) inside a box."""
-    return pd.Series([_clip(np.column_stack([x, y]).astype(float), (w, s), (e, n)) for x, y, w, s, e, n in zip(xs, ys, west, south, east, north, strict=True)], dtype="float64")
+    return pd.Series([clip_ring(np.column_stack([x, y]).astype(float), (w, s), (e, n)) for x, y, w, s, e, n in zip(xs, ys, west, south, east, north, strict=True)], dtype="float64")
