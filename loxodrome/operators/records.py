@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,8 +86,14 @@ def meshes_of_squares(squares: DataFrame, projection: TransverseMercator, half:
     eight parts a side and clipped in the plane.
     """
     factor = 1 << (length - 8)
-    corners = [projection.inverse(F.col("x") + dx * half, F.col("y") + dy * half) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    lons, lats = F.array(*[c[0] for c in corners]), F.array(*[c[1] for c in corners])
+    around = F.array(*[F.struct((F.col("x") + dx * half).alias("x"), (F.col("y") + dy * half).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+
+    def back(p: Column) -> Column:
+        lon, lat = projection.inverse(p["x"], p["y"])
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    squares = squares.withColumn("_around", F.transform(around, back))
+    lons, lats = F.col("_around.lon"), F.col("_around.lat")
     spans = [F.sequence(F.floor(F.array_min(v) * k - o * k) - 1, F.floor(F.array_max(v) * k - o * k) + 1) for v, k, o in ((lons, 80 * factor, 100), (lats, 120 * factor, 0))]
     cells = squares.withColumn("i", F.explode(spans[0])).withColumn("j", F.explode(spans[1]))
     coded = cells.withColumn("mesh_code", mesh_code((F.col("j") + 0.5) / (120 * factor), 100 + (F.col("i") + 0.5) / (80 * factor), length)).where("mesh_code IS NOT NULL")

@@ -43,7 +43,7 @@ def raster(points: DataFrame, x0: float, y0: float, nx: int, ny: int, cell: floa
 def owner_stats(cells: DataFrame, cell_area: float, far: float = 1200.0) -> DataFrame:
     """Per owner: cells, area, mean, median, p90, greatest distance, share of cells beyond ``far``; cells without an owner stay as their own row."""
     q = F.percentile("dist", F.array(F.lit(0.5), F.lit(0.9)))
-    return cells.groupBy("owner").agg(F.count("*").alias("cells"), (F.count("*") * F.lit(float(cell_area))).alias("area_m2"), F.avg("dist").alias("mean"), q[0].alias("median"), q[1].alias("p90"), F.max("dist").alias("maximum"), (F.count_if(F.col("dist") > far) / F.count("dist")).alias("far_share"))
+    return cells.groupBy("owner").agg(F.count("*").alias("cells"), (F.count("*") * F.lit(float(cell_area))).alias("area_m2"), F.avg("dist").alias("mean"), q[0].alias("median"), q[1].alias("p90"), F.max("dist").alias("maximum"), F.try_divide(F.count_if(F.col("dist") > far).cast("double"), F.count("dist")).alias("far_share"))
 
 
 def allocate(zones: DataFrame, cells: DataFrame, x0: float, y0: float, cell: float, values: Sequence[str], key: str = "zone_id") -> DataFrame:

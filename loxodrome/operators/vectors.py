@@ -219,6 +219,29 @@ def kmeans(points: DataFrame, k: int, seeds: Sequence[int], vector: str = "featu
     return best[1].transform(cached), costs
 
 
+def compare_k(points: DataFrame, ks: Sequence[int], seeds: Sequence[int], columns: Sequence[str], key: str, vector: str = "features") -> DataFrame:
+    """Per number of clusters: cost, mean silhouette, Calinski-Harabasz, Davies-Bouldin, least and greatest size, and least and mean adjusted Rand index of the seeds to the first."""
+    from loxodrome.operators.stats import adjusted_rand
+    from loxodrome.plans.lineage import cut
+
+    out = None
+    spread = points.select(key, vector, *columns, F.array(*columns).alias("_v"))
+    for k in ks:
+        best, costs = kmeans(spread, k, seeds, vector)
+        best = cut(best.select(key, "_v", *columns, F.col("cluster").cast("long").alias("cluster")))
+        runs = [cut(kmeans(spread, k, [s], vector)[0].select(key, F.col("cluster").alias("c"))) for s in seeds]
+        rand = [adjusted_rand(runs[0].join(r.withColumnRenamed("c", "d"), key), "c", "d") for r in runs[1:]]
+        agree = None
+        for r in rand:
+            agree = r if agree is None else agree.union(r)
+        one = separation(best, "cluster", columns).join(silhouettes(best, "cluster", "_v", key).agg(F.avg("silhouette").alias("silhouette")))
+        one = one.join(best.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest")))
+        one = one.join(agree.agg(F.min("adjusted_rand").alias("rand_min"), F.avg("adjusted_rand").alias("rand_mean"))) if agree is not None else one.withColumns({"rand_min": F.lit(1.0), "rand_mean": F.lit(1.0)})
+        one = one.select(F.lit(k).alias("k"), F.lit(min(c for _, c in costs)).alias("cost"), "*")  # one row
+        out = one if out is None else out.union(one)
+    return out
+
+
 def ward(points: pd.DataFrame, columns: Sequence[str], k: int) -> np.ndarray:
     """Labels 0 to k-1 of Ward's agglomeration; for one bounded group, inside applyInPandas."""
     x = points[list(columns)].to_numpy(float)
