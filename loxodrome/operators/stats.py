@@ -40,10 +40,10 @@ def spearman_pairs(frame: DataFrame, by: str, columns: Sequence[str], baseline:
 def competition_rank(frame: DataFrame, field: str, key: str, n: int = 10, eligible: Column | None = None) -> DataFrame:
     """Descending ranks 1, 2, 2, 4 of eligible rows with a value: the first n by (value, key), and all that tie with the n-th (in_head tells)."""
     rows = frame.where(F.col(field).isNotNull() & (eligible if eligible is not None else F.lit(True)))
-    ranked = rows.withColumns({"rank": F.rank().over(Window.orderBy(F.desc(field))).cast("long"), "_row": F.row_number().over(Window.orderBy(F.desc(field), F.asc(key)))})
-    top = ranked.where(F.col("_row") <= n)
-    last = F.broadcast(top.agg(F.max("rank").alias("_last")))  # one row
-    return ranked.join(last).where("rank <= _last").withColumn("in_head", F.col("_row") <= n).drop("_row", "_last")
+    # Only rows that reach the n-th value are ranked: all greater ones are among them.
+    last = F.broadcast(rows.orderBy(F.desc(field), F.asc(key)).limit(n).agg(F.min(field).alias("_last")))  # one row
+    kept = rows.join(last, F.col(field) >= F.col("_last")).drop("_last")
+    return kept.withColumns({"rank": F.rank().over(Window.orderBy(F.desc(field))).cast("long"), "in_head": F.row_number().over(Window.orderBy(F.desc(field), F.asc(key))) <= n})
 
 
 def overlap(masks: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], groups: Sequence[str] = (), group: str = "category_group", low: int = 30) -> DataFrame:
