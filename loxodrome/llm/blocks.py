@@ -13,6 +13,7 @@ anywhere and give the same asks and answers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
@@ -39,11 +40,18 @@ class Deal(NamedTuple):
     buckets: int
 
 
-def deal(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> Deal:
-    """Sized by the bytes of all texts; a small table still gets a block per core."""
+def deal(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, grow: bool = True) -> Deal:
+    """Sized by the bytes of all texts; a small table still gets a block per core.
+
+    An ask is a row per block and bucket, so beyond a gigabyte both grow with the
+    square root of the table, to 16 times their size at most: at 100 TB a row
+    still carries several keys, and a worker holds 64 MB of text.
+    """
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return Deal(max(1, -(-size // block_bytes), min(cores, size >> 16)), max(1, -(-size // BUCKET_BYTES), min(cores, size >> 16)))
+    factor = min(16.0, max(1.0, math.sqrt(size / (1 << 30)))) if grow else 1.0
+    least = min(cores, size >> 16)
+    return Deal(*(max(1, math.ceil(size / (b * factor)), least) for b in (block_bytes, BUCKET_BYTES)))
 
 
 def power_of_two(buckets: int, most: int) -> int:

@@ -208,7 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     """
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    groups = B.deal(plain, "_text", GROUP_BYTES).blocks
+    groups = B.deal(plain, "_text", GROUP_BYTES, grow=False).blocks
     given = {"path": tokenizer, "lower": lower, "capacity": capacity, "end": end, "with_ids": with_ids}
     schema = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
     return B.over_blocks(B.into_blocks(plain, groups, "_id", "_text"), partial(_pack_group, **given), schema).withColumnRenamed("_id", id_col)
