@@ -87,3 +87,20 @@ def test_wide_prints_catch_near_copies(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_majority_over_chunks(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 30, 50)
+    counts[[0, 7, 49]] = 0, 200, 0
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    hashes = r.integers(0, 1 << 63, begins[-1]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    want = []
+    for a, b in zip(begins[:-1], begins[1:]):
+        mine = [int(x) for x in hashes[a:b]]
+        want.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in mine) > len(mine)))
+    for chunk in (1, 7, 64, 1 << 15):
+        monkeypatch.setattr(simhash, "_CHUNK", chunk)
+        assert simhash._majority(hashes, begins).tolist() == want
