@@ -32,14 +32,14 @@ def _paths(sources: str) -> str:
 @query(_paths("SELECT CAST(5 AS BIGINT) AS node, CAST(0 AS BIGINT) AS code") + " SELECT node, CAST(code // 1000 AS DOUBLE) AS dist FROM r")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.createDataFrame([(5, 0.0, 0)], "node long, dist double, owner long")
-    return graph.nearest_owners(road(spark, sf_dir), source, F.floor(F.col("node") / 512)).select("node", "dist")
+    return graph.nearest_owners(road(spark, sf_dir), source, F.floor(F.col("node") / 4096)).select("node", "dist")
 
 
 @query(_paths("SELECT CAST(s_suppkey * 17 % 1000 AS BIGINT) AS node, min(CAST((s_suppkey % 5) * 1000 + s_suppkey AS BIGINT)) AS code FROM supplier WHERE s_suppkey % 10 = 3 AND s_suppkey < 1000 GROUP BY 1") + " SELECT node, CAST(code // 1000 AS DOUBLE) AS dist, code % 1000 AS owner FROM r")
 def multi_source_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     sources = table(spark, sf_dir, "supplier").where((k % 10 == 3) & (k < 1000)).select((k * 17 % 1000).alias("node"), (k % 5).cast("double").alias("dist"), k.alias("owner"))
-    return graph.nearest_owners(road(spark, sf_dir), sources, F.floor(F.col("node") / 512))
+    return graph.nearest_owners(road(spark, sf_dir), sources, F.floor(F.col("node") / 4096))
 
 
 _LINKS = "l1 AS (SELECT c_custkey AS a, c_custkey * 3 % 1499 AS b FROM customer WHERE c_custkey % 4 = 0), l AS (SELECT a, b FROM l1 WHERE a <> b UNION SELECT b, a FROM l1 WHERE a <> b)"
