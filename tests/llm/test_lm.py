@@ -1,12 +1,14 @@
 """Operators 2, 8 and 10 against dictionaries."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from loxodrome.llm import lm_scoring, ngrams, quality_rules
 from loxodrome.llm.lm_scoring import score_texts
@@ -132,6 +134,28 @@ def test_classifier_matches_dictionaries(spark):
     assert all(abs(r.log10_prob / r.n_tokens + math.log10(r.perplexity)) < 1e-6 for r in got)
 
 
+def test_thresholds_take_all_trusted_texts_unseen(spark):
+    r = random.Random(4)
+    kinds = {"en": "abcdefgh", "fr": "mnopqrst"}
+    text = lambda lang: " ".join("".join(r.choice(kinds[lang]) for _ in range(r.randint(2, 7))) for _ in range(40))
+    rows = [(i, text(lang), lang, "a", 1) for i, lang in enumerate(["en"] * 60 + ["fr"] * 4)]
+    docs, trusted, most, folds = spark.createDataFrame(rows, SCHEMA).repartition(3), range(0, 64, 2), 8, 3
+    ids = spark.createDataFrame([(x,) for x in trusted], "doc_id long")
+    order = [x.doc_id for x in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    fold = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(folds)).alias("f")).collect()}
+    fit = order[:most]
+    whole = Slow([rows[i][1] for i in fit], 5)
+    part = {k: Slow([rows[i][1] for i in fit if fold[i] != k], 5) for k in range(folds)}
+    bins = {"en": [], "fr": []}
+    for i in trusted:
+        bins[rows[i][2]].append(math.floor((part[fold[i]] if i in fit else whole).bits(rows[i][1]) * 1000))
+    got = classify(docs, ids, level=0.9, folds=folds, most=most).collect()
+    assert {rows[i][2] for i in order[most:]} == {"en", "fr"} and len(got) == len(rows)
+    for x in got:
+        mine = sorted(bins[rows[x.doc_id][2]])
+        assert abs(math.log2(x.threshold) - (mine[math.ceil(len(mine) * 0.9) - 1] + 1) / 1000) < 0.0011
+
+
 # --- operator 2
 
 
