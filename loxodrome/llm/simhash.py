@@ -15,6 +15,12 @@ Tiles are cut inside buckets, so that work follows the number of classes:
   ``keys`` permutations.  Texts whose shingle sets overlap by a share s miss
   each other with probability (1-s)**keys (below 3e-6 for 0.8 and 8).
 
+With ``share`` (two whole numbers, a fraction) fingerprints only name candidates:
+a link also needs that the sets of shingles overlap by that share (Jaccard, of
+the shingles' 64-bit values), and a class is of equal sets.  Candidates are
+checked in rounds, each row's nearest first; what is already linked is not
+checked again, and everything else is.
+
 A bucket of more than ``split`` rows goes to several tasks, by pairs of tiles.
 A task returns a spanning forest of its links, never all pairs.
 
@@ -76,7 +82,17 @@ def _majority(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > n[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: int) -> Iterator[pa.RecordBatch]:
+def _sets(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text, and where each text's begin."""
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    order = np.lexsort((hashes, text))
+    x, text = hashes[order], text[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (text[1:] != text[:-1])
+    return x[new], np.searchsorted(text[new], np.arange(len(begins)))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: int, sets: bool) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "_text", 1 << 20):
         texts = text_array(batch.column("_text"))
         hashes, begins = shingle_hashes(texts, size)
@@ -86,13 +102,17 @@ def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: i
         for k in range(keys if len(some) else 0):
             least[some, k] = np.minimum.reduceat(mix(hashes ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (1 << 64) - 1)), begins[some])
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel().view(np.int64)), m).cast(pa.list_(pa.int64())) if m else pa.array([[]] * len(texts), pa.list_(pa.int64())) for x, m in ((np.stack(print_, axis=1), words), (least, keys))]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), *lists, pa.array(np.diff(begins))], names=["_id", "_key", "print", "least", "n_shingles"])
+        digest = np.zeros(len(texts), np.uint64)
+        if sets and len(some):
+            x, at = _sets(hashes, begins)
+            digest[some] = np.add.reduceat(mix(x), at[:-1][some])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), *lists, pa.array(np.diff(begins)), pa.array(digest.view(np.int64))], names=["_id", "_key", "print", "least", "n_shingles", "_set"])
 
 
-def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, keys: int = 0) -> DataFrame:
-    """_id, _key, print (array of ``words`` longs), least (minimum hashes), n_shingles of each row."""
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, keys: int = 0, sets: bool = False) -> DataFrame:
+    """_id, _key, print (array of ``words`` longs), least (minimum hashes), n_shingles, _set (a hash of the set of shingles, if ``sets``) of each row."""
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), row_key(id_col, text_col).alias("_key"))
-    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys), "_id long, _key long, print array<long>, least array<long>, n_shingles long")
+    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys, sets=sets), "_id long, _key long, print array<long>, least array<long>, n_shingles long, _set long")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -164,7 +184,6 @@ def _tile_links(prints: np.ndarray, radius: int, side: np.ndarray | None) -> tup
 
 def _compare(batches: Iterator[pa.RecordBatch], *, words: int, radius: int) -> Iterator[pa.RecordBatch]:
     """Links among rows of equal (bucket, pair); rows come in order of these."""
-    rest: pa.Table | None = None
 
     def links(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -192,6 +211,13 @@ def _compare(batches: Iterator[pa.RecordBatch], *, words: int, radius: int) -> I
         a, b = _forest(np.concatenate(a_parts), np.concatenate(b_parts))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    for table in _whole(batches):
+        yield links(table)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that end with a group."""
+    rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if rest is not None:
@@ -199,9 +225,64 @@ def _compare(batches: Iterator[pa.RecordBatch], *, words: int, radius: int) -> I
         start, _ = _groups(_codes(table))
         rest = table.slice(start[-1])
         if start[-1]:
-            yield links(table.slice(0, start[-1]))
+            yield table.slice(0, start[-1])
     if rest is not None:
-        yield links(rest)
+        yield rest
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, since: int, upto: int) -> Iterator[pa.RecordBatch]:
+    """Of each row's later ones within the radius, nearest first, numbers ``since`` to ``upto`` that have another label; a null pair if more of these follow."""
+    for table in _whole(batches):
+        table = table.combine_chunks()
+        cls, label, side = (table[c].to_numpy() for c in ("cls", "label", "side"))
+        prints = table["print"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
+        key = _codes(table)
+        start, length = _groups(key)
+        small = np.repeat(length <= upto, length) & np.repeat(length > since, length) if not since else np.zeros(len(key), bool)
+        a_parts, b_parts, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+        for shift in range(1, upto if not since else 1):
+            i = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
+            far = np.bitwise_count(prints[i] ^ prints[i + shift]).sum(axis=1, dtype=np.int64)
+            i = i[(far <= radius) & ((side[i] < 0) | (side[i] != side[i + shift])) & (label[i] != label[i + shift])]
+            a_parts.append(cls[i])
+            b_parts.append(cls[i + shift])
+        large = length > (since or upto)
+        for s, n in zip(start[large], length[large], strict=True):
+            for i in range(s, s + n, _TILE // 4):
+                j = min(i + _TILE // 4, s + n)
+                far = np.zeros((j - i, s + n - i), np.uint16)
+                for w in range(words):
+                    far += np.bitwise_count(prints[i:j, w, None] ^ prints[None, i : s + n, w])
+                near = (far <= radius) & (np.arange(s + n - i)[None, :] > np.arange(j - i)[:, None])
+                if side[s] >= 0:
+                    near &= side[i:j, None] != side[None, i : s + n]
+                order = np.argsort(np.where(near, far, np.uint16(65535)), axis=1, kind="stable")
+                other = np.take_along_axis(near & (label[i:j, None] != label[None, i : s + n]), order, axis=1)
+                more = more or bool(other[:, upto:].any())
+                p, q = np.nonzero(other[:, since:upto])
+                a_parts.append(cls[i + p])
+                b_parts.append(cls[i + order[p, q + since]])
+        a, b = np.concatenate(a_parts), np.concatenate(b_parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if more:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+
+
+def _set_of(batches: Iterator[pa.RecordBatch], *, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "_text", 1 << 20):
+        x, at = _sets(*shingle_hashes(text_array(batch.column("_text")), size))
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
+
+
+def _overlap(batches: Iterator[pa.RecordBatch], *, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets overlap by the share."""
+    for batch in batches:
+        good = []
+        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(both * share[1] >= share[0] * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _codes(table: pa.Table) -> np.ndarray:
@@ -218,14 +299,14 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
-def near_classes(classes: DataFrame, *, words: int, radius: int, split: int = 16384) -> DataFrame:
-    """(node, component) of linked classes, from cls, print and least."""
+def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame:
+    """cls, print, no, bits, pair, side of the classes in each bucket, by pairs of tiles if it is large."""
     buckets = _bands(F.col("print")) if words == 1 and radius <= 2 else F.transform("least", lambda x, i: F.struct(i.alias("no"), x.alias("bits")))
     keyed = classes.select("cls", "print", F.explode(buckets).alias("k")).select("cls", "print", "k.no", "k.bits")
     size = keyed.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.when(F.col("n") > split, F.ceil(F.col("n") / split).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.col("t")).cast("int")
-    keyed = (
+    return (
         keyed.join(size, ["no", "bits"]).withColumn("t", tiles)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("t") - 1), F.array(F.lit(-1)))))
@@ -233,28 +314,61 @@ def near_classes(classes: DataFrame, *, words: int, radius: int, split: int = 16
         .withColumn("side", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(F.lit(-1)))
         .select("cls", "print", "no", "bits", "pair", "side")
     )
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = keyed.repartition(parts, "no", "bits", "pair").sortWithinPartitions("no", "bits", "pair")
+
+
+def _together(keyed: DataFrame) -> DataFrame:
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(parts, "no", "bits", "pair").sortWithinPartitions("no", "bits", "pair", "cls")
+
+
+def near_classes(classes: DataFrame, *, words: int, radius: int, split: int = 16384) -> DataFrame:
+    """(node, component) of linked classes, from cls, print and least."""
+    together = _together(_dealt(classes, words, radius, split))
     return connected_components(together.mapInArrow(partial(_compare, words=words, radius=radius), "a long, b long"))
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, radius: int = 2, keys: int = 0) -> DataFrame:
+def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: int, radius: int, share: tuple[int, int], split: int = 16384, first: int = 8) -> DataFrame:
+    """As near_classes, of links whose sets of shingles overlap by ``share``; classes also have _key, under which ``texts`` has their _text."""
+    keyed = cut(_dealt(classes, words, radius, split))
+    label = links = None
+    since, upto = 0, first
+    while True:
+        now = keyed.withColumn("label", F.col("cls")) if label is None else keyed.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+        found = cut(_together(now).mapInArrow(partial(_candidates, words=words, radius=radius, since=since, upto=upto), "a long, b long").distinct())
+        pairs = found.where("a IS NOT NULL")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "_key"), "cls")
+        sets = cut(texts.join(needed, "_key").select("cls", "_text").mapInArrow(partial(_set_of, size=size), "cls long, hashes binary"))
+        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
+        good = both.select("a", "b", "x", "y").mapInArrow(partial(_overlap, share=share), "a long, b long")
+        links = cut(good if links is None else links.union(good))
+        label = cut(connected_components(links))
+        if found.where("a IS NULL").isEmpty():
+            return label
+        since, upto = upto, upto * 8
+
+
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, radius: int = 2, keys: int = 0, share: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, _key, print, n_shingles, component (a class), component_id (smallest id reachable through links, itself included) of each row."""
     if (words > 1 or radius > 2) and not keys:
         raise ValueError("wide or far fingerprints need keys")
-    rows = cut(sketches(docs, id_col=id_col, text_col=text_col, size=size, words=words, keys=keys))
-    classes = rows.groupBy("print").agg(F.min("_id").alias("least_id"), F.min("least").alias("least"))
+    rows = cut(sketches(docs, id_col=id_col, text_col=text_col, size=size, words=words, keys=keys, sets=share is not None))
+    classes = rows.groupBy("print", "_set").agg(F.min("_id").alias("least_id"), F.min("least").alias("least"), F.min("_key").alias("_key"))
     # A class is named by its fingerprint, or by a hash of a wide one.
-    name = F.col("print")[0] if words == 1 else F.xxhash64("print")
+    name = F.col("print")[0] if words == 1 and not share else F.xxhash64("print", "_set") if share else F.xxhash64("print")
     classes = classes.withColumn("cls", name)
-    linked = near_classes(classes.select("cls", "print", "least"), words=words, radius=radius)
-    joined = classes.select("cls", "print", "least_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    if share:
+        classes = cut(classes)
+        texts = docs.select(row_key(id_col, text_col).alias("_key"), F.col(f"`{text_col}`").alias("_text"))
+        linked = checked_classes(classes, texts, size=size, words=words, radius=radius, share=share)
+    else:
+        linked = near_classes(classes.select("cls", "print", "least"), words=words, radius=radius)
+    joined = classes.select("cls", "print", "_set", "least_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = joined.join(named, "component").select("print", "component", "component_id")
-    return rows.join(of_class, "print").select(F.col("_id").alias(id_col), "_key", "print", "n_shingles", "component", "component_id")
+    of_class = joined.join(named, "component").select("print", "_set", "component", "component_id")
+    return rows.join(of_class, ["print", "_set"]).select(F.col("_id").alias(id_col), "_key", "print", "n_shingles", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **given: int) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **given: object) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest id stays (null last), of repeated rows one."""
     found = near_groups(docs, id_col=id_col, text_col=text_col, **given)
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_key")).alias("x")

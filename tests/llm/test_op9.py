@@ -85,6 +85,29 @@ def test_wide_prints_catch_near_copies(spark):
     assert len({r.component_id for r in found}) == 4 and len(found) == len(rows)
 
 
+def test_links_need_the_share(spark, monkeypatch):
+    r = random.Random(8)
+    base = [[f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(6)]
+    rows = [(i, " ".join(w), None, None, 0) for i, w in enumerate(base)]
+    for i in range(90):
+        w = list(base[i % 6])
+        for k in range(r.randrange(12)):
+            w[r.randrange(len(w))] = f"n{i}_{k}"
+        rows.append((100 + i, " ".join(w), None, None, 0))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t, *_ in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = list(range(len(rows)))
+    while any(label[i] != label[j] for i, j in close):
+        for i, j in close:
+            label[i] = label[j] = min(label[i], label[j])
+    want = {rows[i][0]: min(rows[k][0] for k in range(len(rows)) if label[k] == label[i]) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    given = {"size": 5, "words": 4, "radius": 64, "keys": 8}
+    found = near_groups(docs, share=(4, 5), **given).collect()
+    assert {x.doc_id: x.component_id for x in found} == want and 6 < len(set(want.values())) < len(rows)
+    assert len({x.component_id for x in near_groups(docs, **given).collect()}) < len(set(want.values()))
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
