@@ -118,6 +118,15 @@ def test_rules_match_dictionaries(spark):
     assert sorted((r.doc_id for r in whole), key=str) == sorted((x[0] for x in want if x[-1]), key=str)
 
 
+def test_bands_reject_what_lies_off_the_middle_half(spark, monkeypatch):
+    bits = [*(2 + i / 1000 for i in range(101)), 1.88, 2.22]  # the middle half is 0.05 wide
+    figures = spark.createDataFrame([("en", i, 60, 300, 0, 0, 0, False, b) for i, b in enumerate(bits)], "_c0 string, _c1 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, bits double")
+    monkeypatch.setattr(quality_rules, "train", lambda *_: None)
+    monkeypatch.setattr(quality_rules, "measure", lambda *_: figures)
+    got = rules(spark.createDataFrame([], SCHEMA), columns=["doc_id"]).collect()
+    assert {r.doc_id for r in got if not r.kept} == {101, 102} and len(got) == len(bits)
+
+
 # --- operator 8
 
 
