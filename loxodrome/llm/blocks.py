@@ -100,7 +100,15 @@ def no_asks() -> pa.Table:
     return _ASK_ARROW.empty_table()
 
 
-def asked(table: pa.Table, unpack: Callable[[bytes], np.ndarray] = lambda x: np.frombuffer(x, np.uint64)) -> tuple[list[int], np.ndarray, np.ndarray]:
+def no_answers() -> pa.Table:
+    return _ANSWER_ARROW.empty_table()
+
+
+def whole(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, np.uint64)
+
+
+def asked(table: pa.Table, unpack: Callable[[bytes], np.ndarray] = whole) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Of one bucket's asks, in order of block: blocks, all keys joined, and the block's place of each key."""
     table = table.sort_by("blk")
     parts = [unpack(x) for x in table["keys"].to_pylist()]
@@ -152,9 +160,9 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(sorted_keys)]]))
 
 
-def elsewhere(bkt: int, table: pa.Table, *, phase: int) -> pa.Table:
+def elsewhere(bkt: int, table: pa.Table, *, phase: int, unpack: Callable[[bytes], np.ndarray] = whole) -> pa.Table:
     """Answer: does another block have the key too?"""
-    blocks, keys, place = asked(table)
+    blocks, keys, place = asked(table, unpack)
     order = np.argsort(keys, kind="stable")
     _, length = runs(keys[order])
     flags = np.zeros(len(keys), bool)

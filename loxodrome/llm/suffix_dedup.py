@@ -1,26 +1,34 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered only through ``length`` bytes, most significant digit
-first, and a suffix leaves the sort as soon as its group has one member; groups
-that stay equal through the last digit are exactly the repeated windows.  The
-digits are content-defined, so that a pass moves one key per ~50 bytes until
-few suffixes are left:
-
-1. First digit: the anchor of the window, its gram of half the length with the
-   least hash (leftmost of equals).  Equal windows have equal anchors at the
-   same offset.  Suffixes of an anchor that occurs once leave.
-2. Second digit: the *run*, all bytes of the neighbouring windows that share
-   one anchor occurrence.  If a run occurs twice, each of its windows does, and
-   they need no further digit.
-3. Last digit: the whole window, for anchors whose runs differ.  One block
-   brings the windows of each distinct run.
-
-Digits are compared by 64-bit hashes of the bytes.  Matches never cross
-documents.  No document pairs are made (see ``blocks``).
+first, and leave the sort as soon as their group has one member; groups that
+stay equal through the last digit are exactly the repeated windows.
+
+The suffixes sorted are those that start at a *token*: at the white space
+before a word, at a character of three bytes or more, and at every byte that
+none of these follows within half the length.  A window belongs to the first of
+them inside it, so equal windows belong to tokens at the same offset, and the
+suffix of that token is a known part of the window.  The passes:
+
+1. First digit: from the token on, what all of its windows have in common (over
+   half the length).  Most suffixes leave here.
+2. Second digit: the token's *run*, all bytes of all its windows.  Where the run
+   is found twice, every window of it is, and needs no further digit.
+3. Among groups of equal first digit, those that hold a run found once are
+   picked out; all other groups are finished.
+4. Last digit: each whole window of these groups.
+
+A digit is ordered by a 64-bit hash of its bytes.  Blocks send each distinct
+suffix that is still tied once (see ``blocks``); passes 1 and 3 only decide who
+stays in the sort, so they send 32 bits beside the bucket's, and one that stays
+by chance leaves in the next pass.  A passage in every document is one entry a
+block in every pass, in whatever context it stands.
 
 Defined results: null text counts as no bytes and is kept as null; texts
 shorter than ``length`` lose nothing; repeated rows are repeats of each other,
-whatever their ids; ids may be null; other columns pass through.
+whatever their ids; ids may be null and of any type; other columns pass through;
+an empty table gives an empty one.  A text of any length is worked on whole, by
+one task.
 """
 
 from __future__ import annotations
@@ -36,10 +44,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks as B
-from .words import sliding_min, text_array
+from .words import text_array
 
 OUT = ("n_bytes", "n_removed", "n_spans", "kept", "spans")
 _BASE = 0xD1342543DE82EF95
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _SYMBOL = B.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 #: Bytes that are worked on at once; a longer document is worked on alone.
 _STRETCH = 1 << 20
@@ -61,32 +70,37 @@ class _Powers:
         return cls.up, cls.down
 
 
+def _starts_token(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a token starts, by this byte and the next alone."""
+    space = _SPACE[data]
+    out = data >= 0xE0
+    out[:-1] |= space[:-1] & ~space[1:]
+    return out
+
+
 class _Stretch:
-    """Windows of neighbouring documents, grouped into runs that share an anchor occurrence."""
+    """Windows of neighbouring documents, grouped into runs that belong to one token."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, first: int, length: int) -> None:
         self.at, self.first, self.length = at, first, length
-        n = len(data)
-        gram = length // 2
+        n, half = len(data), length // 2
         up, self.down = _Powers.get(n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_SYMBOL[data] * up[:n], out=self.prefix[1:])
         room = at[1:] - at[:-1] - length + 1
         some = np.flatnonzero(room > 0)
-        self.start = np.concatenate([np.arange(at[i], at[i] + room[i]) for i in some]) if len(some) else np.zeros(0, np.int64)
-        if not len(self.start):
-            self.low = self.high = self.anchor = np.zeros(0, np.int64)
-            self.anchor_hash = np.zeros(0, np.uint64)
+        if not len(some):
+            self.low = self.high = np.zeros(0, np.int64)
+            self.digit = np.zeros(0, np.uint64)
             return
-        bits = np.uint64(max(21, int(n).bit_length()))  # alike for all but very long texts
-        grams = B.mix((self.prefix[gram:] - self.prefix[:-gram]) * self.down[: n - gram + 1])
-        packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-        best = sliding_min(packed, length - gram + 1)[self.start]
-        anchor = (best & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (self.start[1:] != self.start[:-1] + 1)]))
-        self.low, self.high = self.start[new], self.start[np.concatenate([new[1:], [len(anchor)]]) - 1]
-        self.anchor = anchor[new]
-        self.anchor_hash = grams[self.anchor]
+        start = np.repeat(at[some] - np.concatenate([[0], np.cumsum(room[some])[:-1]]), room[some]) + np.arange(room[some].sum())
+        marks = _starts_token(data)
+        places = np.append(np.flatnonzero(marks), n + length)
+        token = places[(np.cumsum(marks) - marks)[start]]
+        token = np.where(token - start < half, token, start)
+        new = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        self.low, self.high = start[new], start[np.concatenate([new[1:], [len(token)]]) - 1]
+        self.digit = self.hashes(token[new], token[new] + length - half + 1)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return B.mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
@@ -115,32 +129,31 @@ class _Block:
     """One block's passes so far."""
 
     def __init__(self, docs: pa.Table, length: int, buckets: int) -> None:
-        self.docs, self.buckets, self.length = docs, buckets, length
+        self.buckets, self.length = buckets, length
         self.texts = text_array(docs["_text"])
         self.parts = list(_stretches(self.texts, length))
-        anchors = np.concatenate([s.anchor_hash for s in self.parts]) if self.parts else np.zeros(0, np.uint64)
-        #: A run of windows that is cut by a change of anchor and comes back has one anchor occurrence.
-        where = np.concatenate([s.anchor + (i << 40) for i, s in enumerate(self.parts)]) if self.parts else np.zeros(0, np.int64)
         self.part = np.repeat(np.arange(len(self.parts)), [len(s.low) for s in self.parts])
-        self.keys, self.of = np.unique(anchors, return_inverse=True)
-        places = np.bincount(self.of[np.unique(where, return_index=True)[1]], minlength=len(self.keys)) if len(where) else np.zeros(0, np.int64)
+        self.keys, self.of, places = np.unique(np.concatenate([s.digit for s in self.parts] or [np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
         self.twice = places > 1
 
-    def shared(self, answers: pa.Table) -> np.ndarray:
-        """Runs whose anchor occurs elsewhere too."""
-        return np.flatnonzero((self.twice | B.read_bits(answers, 1, self.keys, self.buckets))[self.of])
-
-    def second(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Shared runs; distinct (anchor, run) keys, place of each run among them, how often each occurs."""
-        runs = self.shared(answers)
-        hashes = np.concatenate([s.run_hashes() for s in self.parts]) if self.parts else np.zeros(0, np.uint64)
-        both = np.stack([self.keys[self.of[runs]], hashes[runs]], axis=1)
-        order = np.lexsort((both[:, 1], both[:, 0]))
-        ranked = both[order]
-        new = np.concatenate([[True], (ranked[1:] != ranked[:-1]).any(axis=1)]) if len(runs) else np.zeros(0, bool)
-        place = np.empty(len(runs), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return runs, ranked[new], place, np.bincount(place, minlength=int(new.sum()))
+    def second(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tied runs; their distinct second digits, the first run of each, each run's place among them, how often each occurs."""
+        tied = np.flatnonzero((self.twice | B.read_bits(answers, 1, self.keys, self.buckets))[self.of])
+        digits = np.concatenate([s.run_hashes() for s in self.parts] or [np.zeros(0, np.uint64)])[tied]
+        return tied, *np.unique(digits, return_index=True, return_inverse=True, return_counts=True)
+
+    def third(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs found twice; runs found once; runs found twice of which this block is the first to have one, each once."""
+        tied, keys, first, place, _ = self.second(answers)
+        twice, mine = _two_bits(answers, keys, self.buckets)
+        return tied[twice[place]], tied[~twice[place]], tied[first[twice & mine]]
+
+    def last(self, answers: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
+        """Runs found twice; windows of the runs found once and of those brought to meet them; their keys and counts."""
+        sure, once, mine = self.third(answers)
+        keys, of = _digits_of(self, once, mine)
+        windows = self.windows(np.concatenate([once, mine[B.read_bits(answers, 3, keys, self.buckets)[of]]]))
+        return sure, windows, *np.unique(windows[2], return_inverse=True, return_counts=True)
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the windows of these runs: part, start, hash."""
@@ -151,40 +164,52 @@ class _Block:
         return np.repeat([i for i, _, _ in out], [len(s) for _, s, _ in out]), np.concatenate([s for _, s, _ in out]), np.concatenate([h for _, _, h in out])
 
 
+def _digits_of(block: _Block, once: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct first digits of these runs, and the place among them of each of ``mine``."""
+    keys = np.unique(block.keys[block.of[np.concatenate([once, mine])]])
+    return keys, np.searchsorted(keys, block.keys[block.of[mine]])
+
+
+def _short(keys: np.ndarray) -> bytes:
+    return keys.astype(np.uint32).tobytes()
+
+
+def _long(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, np.uint32)
+
+
 def _first_pass(blk: int, docs: pa.Table, _: None, *, length: int, buckets: int) -> pa.Table:
-    return B.ask_rows(blk, 1, _Block(docs, length, buckets).keys, buckets)
+    return B.ask_rows(blk, 1, _Block(docs, length, buckets).keys, buckets, pack=_short)
 
 
 def _second_pass(blk: int, docs: pa.Table, answers: pa.Table, *, length: int, buckets: int) -> pa.Table:
     if not docs.num_rows:
         return B.no_asks()
-    _, keys, _, count = _Block(docs, length, buckets).second(answers)
-    return B.ask_rows(blk, 2, np.ascontiguousarray(keys[:, 0]), buckets, lambda i, j: np.ascontiguousarray(keys[i:j, 1]).tobytes() + np.packbits(count[i:j] > 1).tobytes())
+    _, keys, _, _, count = _Block(docs, length, buckets).second(answers)
+    return B.ask_rows(blk, 2, keys, buckets, lambda i, j: np.packbits(count[i:j] > 1).tobytes())
+
+
+def _flags(table: pa.Table, place: np.ndarray, blocks: int) -> np.ndarray:
+    """The bit sent with each key, in order of block."""
+    sizes = np.bincount(place, minlength=blocks)
+    parts = [np.unpackbits(np.frombuffer(v, np.uint8), count=n) for v, n in zip(table.sort_by("blk")["vals"].to_pylist(), sizes, strict=True)]
+    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
 def _second_answer(bkt: int, table: pa.Table) -> pa.Table:
-    """Two bits a run: does it occur twice?  Does this block bring its windows to the last pass?"""
-    table = table.sort_by("blk")
-    blks, anchor, place = B.asked(table)
-    sizes = np.bincount(place, minlength=len(blks))
-    run = np.concatenate([np.frombuffer(v, np.uint64, n) for v, n in zip(table["vals"].to_pylist(), sizes, strict=True)])
-    local = np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8, -1, 8 * n), count=n) for v, n in zip(table["vals"].to_pylist(), sizes, strict=True)]).astype(bool)
-    order = np.lexsort((place, run, anchor))
-    a, r = anchor[order], run[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])])
-    start = np.flatnonzero(new)
-    length = np.diff(np.concatenate([start, [len(a)]]))
-    twice = np.repeat((length > 1) | np.logical_or.reduceat(local[order], start), length)
-    first, groups = B.runs(a)
-    kinds = np.add.reduceat(new, first)  # distinct runs of the anchor
-    brings = new & np.repeat(kinds > 1, groups)
-    flags = np.zeros((2, len(a)), bool)
-    flags[0, order], flags[1, order] = twice, brings
+    """Two bits a run: is it found twice?  Is this the first block that has it?"""
+    blks, keys, place = B.asked(table)
+    local = _flags(table, place, len(blks))
+    order = np.argsort(keys, kind="stable")
+    start, length = B.runs(keys[order])
+    flags = np.zeros((2, len(keys)), bool)
+    flags[0, order] = np.repeat((length > 1) | np.logical_or.reduceat(local[order], start), length)
+    flags[1, order[start]] = True
     cut = np.searchsorted(place, np.arange(len(blks) + 1))
     return B.answer_rows(bkt, 2, blks, (np.packbits(flags[:, cut[i] : cut[i + 1]].ravel()).tobytes() for i in range(len(blks))))
 
 
-def _second_bits(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
+def _two_bits(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     out = np.zeros((2, len(keys)), bool)
     cut = B.bounds(keys, buckets)
     for b, p, body in zip(*(answers[c].to_pylist() for c in ("bkt", "phase", "body")), strict=True):
@@ -194,31 +219,34 @@ def _second_bits(answers: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarra
     return out
 
 
-def _last_windows(block: _Block, answers: pa.Table) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
-    """Runs that occur twice; windows of the other shared runs and of one of each run brought; their keys and counts."""
-    runs, keys, place, _ = block.second(answers)
-    twice, brings = _second_bits(answers, np.ascontiguousarray(keys[:, 0]), block.buckets)
-    needed = brings[place]
-    sure = twice[place]
-    once = np.zeros(len(runs), bool)
-    once[np.unique(place, return_index=True)[1]] = True
-    windows = block.windows(runs[needed & (once | ~sure)])
-    distinct, of, count = np.unique(windows[2], return_inverse=True, return_counts=True)
-    return runs[sure], windows, distinct, of, count
+def _third_pass(blk: int, docs: pa.Table, answers: pa.Table, *, length: int, buckets: int) -> pa.Table:
+    if not docs.num_rows:
+        return B.no_asks()
+    block = _Block(docs, length, buckets)
+    _, once, mine = block.third(answers)
+    keys, _ = _digits_of(block, once, mine)
+    open_ = np.isin(keys, block.keys[block.of[once]])
+    return B.ask_rows(blk, 3, keys, buckets, lambda i, j: np.packbits(open_[i:j]).tobytes(), _short)
+
+
+def _third_answer(bkt: int, table: pa.Table) -> pa.Table:
+    """One bit a group: does any block have a run of it that is found once?"""
+    blks, keys, place = B.asked(table, _long)
+    return B.answer_bits(bkt, 3, blks, place, np.isin(keys, keys[_flags(table, place, len(blks))]))
 
 
 def _last_pass(blk: int, docs: pa.Table, answers: pa.Table, *, length: int, buckets: int) -> pa.Table:
     if not docs.num_rows:
         return B.no_asks()
-    return B.ask_rows(blk, 3, _last_windows(_Block(docs, length, buckets), answers)[2], buckets)
+    return B.ask_rows(blk, 4, _Block(docs, length, buckets).last(answers)[2], buckets)
 
 
 def _cover(blk: int, docs: pa.Table, answers: pa.Table, *, length: int, buckets: int, out: pa.Schema) -> pa.Table:
     if not docs.num_rows:
         return out.empty_table()
     block = _Block(docs, length, buckets)
-    sure, (part, start, _), keys, of, count = _last_windows(block, answers)
-    hit = ((count > 1) | B.read_bits(answers, 3, keys, buckets))[of]
+    sure, (part, start, _), keys, of, count = block.last(answers)
+    hit = ((count > 1) | B.read_bits(answers, 4, keys, buckets))[of]
     first = np.searchsorted(block.part, np.arange(len(block.parts)))
     new: dict[str, list] = {k: [] for k in OUT}
     null = docs["_text"].combine_chunks().is_null().to_pylist()
@@ -259,11 +287,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     blocks, buckets = B.deal(plain, "_text")
     blocked = B.into_blocks(plain, blocks, "_id", "_text")
     given = {"length": length, "buckets": buckets}
-    one = B.answer(B.ask(blocked, partial(_first_pass, **given)), partial(B.elsewhere, phase=1))
+    one = B.answer(B.ask(blocked, partial(_first_pass, **given)), partial(B.elsewhere, phase=1, unpack=_long))
     two = one.unionByName(B.answer(B.ask(blocked, partial(_second_pass, **given), one), _second_answer))
-    three = two.unionByName(B.answer(B.ask(blocked, partial(_last_pass, **given), two), partial(B.elsewhere, phase=3)))
+    three = two.unionByName(B.answer(B.ask(blocked, partial(_third_pass, **given), two), _third_answer))
+    four = three.unionByName(B.answer(B.ask(blocked, partial(_last_pass, **given), three), partial(B.elsewhere, phase=4)))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     new = [T.StructField(k, T.LongType()) for k in OUT[:3]] + [T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span))]
     schema = T.StructType([f for f in plain.schema if f.name != "_text"] + new)
-    found = B.over_blocks(blocked, partial(_cover, **given, out=to_arrow_schema(schema)), schema, three)
+    found = B.over_blocks(blocked, partial(_cover, **given, out=to_arrow_schema(schema)), schema, four)
     return found.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(others)], *OUT)
