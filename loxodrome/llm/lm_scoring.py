@@ -2,28 +2,34 @@
 
 The trie holds, for every context of up to five bytes in the training texts,
 how often each byte or the end followed.  A symbol is coded in the longest
-context that was seen; one that never followed it there costs an escape, whose
-chance is the number of distinct symbols of the context over that number and all
-counts (method C), and is then looked for in the context shortened by its oldest
-byte, leaving out all symbols of the longer one (exclusion).  Below the empty
-context all symbols left are equally likely.  The chances of all symbols sum to
-one after any context.
-
-The trie is sharded by a context's last two bytes, so contexts of two bytes and
-more lie in one shard; shorter ones have at most 257 * 256 counts and go to every
-task.  Each block sends its distinct 6-grams with their counts in training
-texts, and gets the logarithm of each one's chance back (see ``blocks``); words
-are counted in the same way for the base score.
+context that was seen; one that never followed it there costs an escape, and is
+then looked for in the context shortened by its oldest byte, leaving out all
+symbols of the longer one (exclusion).  Escapes are of method D: of a context's
+symbols left, each counts twice its count less one, and the escape once for
+each distinct symbol.  Below the empty context all symbols left are equally
+likely.  The chances of all symbols sum to one after any context.
+
+The trie is sharded by a context's last two bytes; where these hold more than a
+256th of all symbols, by its last three, and so on up to five, so no frequent
+pair of bytes fills a shard.  Contexts shorter than their shard's are counted
+beforehand and go to every task: at most 256 of each length, of at most 256
+counts each, and the 65,536 counts of contexts of one byte.  Each block sends
+its distinct 6-grams with their counts in training texts, and gets the logarithm
+of each one's chance back (see ``blocks``); words are counted in the same way
+for the base score.
 
 Defined results: null text is scored as an empty one; a null id is not held
-out; repeated rows stay rows and are learnt from as often as they stand; without
-training texts every symbol has the same chance.
+out; ids may be of any type; repeated rows stay rows and are learnt from as often
+as they stand; without training texts every symbol has the same chance; an
+empty table gives an empty one.  A text of any length is scored whole, by one
+task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,8 @@ from .words import split_words, text_array, word_hashes
 
 ORDER = 6
 BLOCK_BYTES = 8 << 20
-_SPREAD, _BACK = 40503, pow(40503, -1, 1 << 16)  # odd: permutes the last two bytes
+#: Contexts with more than this share of all symbols are split by one byte more.
+SHARE = 1 / 256
 _ALPHABET = 255  # all bytes, and the end for one of the two that UTF-8 never uses
 _END_WORD = B.mix(np.array([1], np.uint64))[0]
 
@@ -46,15 +53,40 @@ def _u(x: int) -> np.uint64:
     return np.uint64(x)
 
 
-def _keys(six: np.ndarray) -> np.ndarray:
-    """From oldest-first 6-grams: last two context bytes (permuted), the next older ones, the symbol; in the high 48 bits."""
-    c = [(six >> _u(8 * i)) & _u(255) for i in range(6)]  # c[0] is the symbol, c[1] the last byte before it
-    pair = ((c[2] << _u(8) | c[1]) * _u(_SPREAD)) & _u(0xFFFF)
-    return (pair << _u(32) | c[3] << _u(24) | c[4] << _u(16) | c[5] << _u(8) | c[0]) << _u(16)
+class Nodes(NamedTuple):
+    """Contexts too frequent for one shard, by length from 2, and counts in training texts of all that are shorter than their shard's."""
+
+    hot: dict[int, np.ndarray]
+    pairs: np.ndarray
+    counts: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def is_hot(self, contexts: np.ndarray, length: int) -> np.ndarray:
+        return find(self.hot[length], contexts) >= 0 if length in self.hot else np.zeros(len(contexts), bool)
+
+
+def _newest_first(six: np.ndarray) -> np.ndarray:
+    """Of oldest-first 6-grams: the context's bytes from the last on, then the symbol; 48 bits."""
+    out = six & _u(255)
+    for i in range(1, 6):
+        out |= ((six >> _u(8 * i)) & _u(255)) << _u(48 - 8 * i)
+    return out
+
+
+def _keys(six: np.ndarray, nodes: Nodes) -> np.ndarray:
+    """16 bits that tell the shard, and the 6-gram."""
+    x = _newest_first(six)
+    node = x >> _u(32)
+    deeper = nodes.is_hot(node, 2)
+    for length in (3, 4, 5):
+        if not deeper.any():
+            break
+        node[deeper] = x[deeper] >> _u(48 - 8 * length) | _u(length << 56)
+        deeper = deeper & nodes.is_hot(node & _u((1 << 56) - 1), length)
+    return B.mix(node) >> _u(48) << _u(48) | x
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray((keys >> _u(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _unpack(body: bytes) -> np.ndarray:
@@ -64,16 +96,18 @@ def _unpack(body: bytes) -> np.ndarray:
 
 
 class Trie:
-    """Counts of one shard, by context length 5 to 2, and of all contexts of length 1 and 0."""
+    """Counts of one shard, by context length 5 to 2, and of all contexts that are shorter than their shard's."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> None:
-        """``keys``: 48 bits; ``pairs``: counts [last byte, symbol] of all training texts."""
-        self.pairs = pairs
-        self.single = pairs.sum(axis=0)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, nodes: Nodes) -> None:
+        """``keys``: 48 bits, sorted."""
+        self.pairs = nodes.pairs
+        self.single = self.pairs.sum(axis=0)
         self.pair = {5: (keys, counts)}
         for o in (4, 3, 2):
             k, c = self.pair[o + 1]
-            self.pair[o] = merged([(k >> _u(16)) << _u(8) | k & _u(255)], [c])
+            mine = ~nodes.is_hot(k >> _u(16), o)
+            given = nodes.counts.get(o, (k[:0], c[:0]))
+            self.pair[o] = merged([(k[mine] >> _u(16)) << _u(8) | k[mine] & _u(255), given[0]], [c[mine], given[1]])
         self.context, self.total, self.kinds, self.above = {}, {}, {}, {}
         for o in (5, 4, 3, 2):
             k, c = self.pair[o]
@@ -84,14 +118,9 @@ class Trie:
                 shorter = self.pair[o - 1]
                 mass = shorter[1][find(shorter[0], (k >> _u(16)) << _u(8) | k & _u(255))]
             else:
-                mass = pairs[self._last(k >> _u(8)), (k & _u(255)).astype(np.int64)]
+                mass = self.pairs[(k >> _u(16)).astype(np.int64), (k & _u(255)).astype(np.int64)]
             self.above[o] = np.bincount(of, mass, size)
 
-    @staticmethod
-    def _last(two: np.ndarray) -> np.ndarray:
-        """The last byte, of a context of two."""
-        return ((two * _u(_BACK)) & _u(255)).astype(np.int64)
-
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Of the chance of each 6-gram's symbol."""
         symbol = (keys & _u(255)).astype(np.int64)
@@ -115,7 +144,7 @@ class Trie:
             found = find(self.pair[o][0], context << _u(8) | keys & _u(255))
             if len(self.context[o]):
                 at(place >= 0, np.where(found < 0, 0, self.pair[o][1][found]), self.total[o][place], self.kinds[o][place], self.above[o][place])
-        last = self._last(keys >> _u(32))
+        last = (keys >> _u(40)).astype(np.int64)
         kinds = (self.pairs > 0).sum(axis=1).astype(float)
         above = (self.pairs > 0) @ self.single
         at(kinds[last] > 0, self.pairs[last, symbol], self.pairs.sum(axis=1)[last].astype(float), kinds[last], above[last].astype(float))
@@ -130,21 +159,48 @@ def _six(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, *grams(*symbols(data, at, LOWER, BYTE_START, BYTE_END, ORDER), ORDER, 8)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_contexts(batches: Iterator[pa.RecordBatch], *, length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What follows the contexts ``hot`` (all, if there are none) and what stands before them: in all texts, and in training texts."""
     for batch in batches:
-        total = np.zeros(1 << 16, np.int64)
-        for _, data, at in stretches(text_array(batch.column("_text"))):
-            x, wide = symbols(data, at, LOWER, BYTE_START, BYTE_END, 2)
-            two = np.delete(x[:-1].astype(np.int64) << 8 | x[1:], wide[1:-1] - 1)
-            total += np.bincount(two, minlength=1 << 16)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+        learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        for first, six, at in _six(text_array(batch.column("_text"))):
+            x = _newest_first(six)
+            context = x >> _u(48 - 8 * length)
+            mine = find(hot, context) >= 0 if len(hot) else np.ones(len(x), bool)
+            x, context, weight = x[mine], context[mine], np.repeat(learn[first : first + len(at) - 1], np.diff(at))[mine]
+            for kind, key in enumerate((context << _u(8) | x & _u(255), x >> _u(40 - 8 * length))):
+                distinct, of = np.unique(key, return_inverse=True)
+                columns = [np.full(len(distinct), kind, np.int32), distinct.astype(np.int64), np.bincount(of, minlength=len(distinct)), np.bincount(of, weight, len(distinct)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "learnt"])
+
+
+def frequent_contexts(plain: DataFrame, share: float = SHARE) -> Nodes:
+    """From rows (_text, held_out); each length's counts are bounded by those of the contexts split before it."""
+    hot, counts, pairs, found = {}, {}, np.zeros((256, 256), np.int64), np.zeros(0, np.uint64)
+    for length in (1, 2, 3, 4):
+        if length > 1 and not len(found):
+            break
+        counted = plain.mapInArrow(partial(_count_contexts, length=length, hot=found), "kind int, key long, n long, learnt long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
+        table = counted.toArrow().sort_by("key")  # at most 2 * 256 * 256 rows
+        kind, key, n, learnt = (table[c].combine_chunks().to_numpy() for c in ("kind", "key", "n", "learnt"))
+        mine = (kind == 0) & (learnt > 0)
+        if length == 1:
+            pairs[key[mine] >> 8, key[mine] & 255] = learnt[mine]
+            total = n[kind == 0].sum()
+        else:
+            counts[length] = key[mine].astype(np.uint64), learnt[mine]
+        found = key[(kind == 1) & (n > total * share)].astype(np.uint64)
+        if len(found) and length < 4:
+            hot[length + 1] = found
+        if length == 4:
+            break
+    return Nodes(hot, pairs, counts)
 
 
 class _Block:
     """Distinct 6-grams and words of a block, with their counts in training texts."""
 
-    def __init__(self, docs: pa.Table) -> None:
+    def __init__(self, docs: pa.Table, nodes: Nodes) -> None:
         self.texts = text_array(docs["_text"])
         self.learn = ~docs["held_out"].combine_chunks().to_numpy(zero_copy_only=False)
         self.parts, counts = [], []
@@ -153,7 +209,7 @@ class _Block:
             counts.append(np.bincount(of, np.repeat(self.learn[first : first + len(at) - 1], np.diff(at)), len(key)))
             self.parts.append((first, key, of.astype(np.int32), at))
         key, count = merged([k for _, k, _, _ in self.parts], counts)
-        key = _keys(key)
+        key = _keys(key, nodes)
         order = np.argsort(key)
         self.keys, self.counts = key[order], count[order]
         words, self.at = split_words(pc.ascii_lower(self.texts))
@@ -164,8 +220,8 @@ class _Block:
         self.word_counts[self.end] += self.learn.sum()
 
 
-def _ask(blk: int, docs: pa.Table, _: None, *, buckets: int) -> pa.Table:
-    x = _Block(docs)
+def _ask(blk: int, docs: pa.Table, _: None, *, buckets: int, nodes: Nodes) -> pa.Table:
+    x = _Block(docs, nodes)
     six = B.ask_rows(blk, 1, x.keys, buckets, lambda i, j: x.counts[i:j].astype(np.uint32).tobytes(), _pack)
     return pa.concat_tables([six, B.ask_rows(blk, 2, x.words, buckets, lambda i, j: x.word_counts[i:j].astype(np.uint32).tobytes())])
 
@@ -179,7 +235,7 @@ def _counts(table: pa.Table) -> np.ndarray:
     return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
-def _answer(bkt: int, table: pa.Table, *, pairs: np.ndarray) -> pa.Table:
+def _answer(bkt: int, table: pa.Table, *, nodes: Nodes) -> pa.Table:
     """Base-10 logarithms of chances (phase 1) and counts (phase 2), for each key asked."""
     out = []
     six, words = _of_phase(table, 1), _of_phase(table, 2)
@@ -189,7 +245,7 @@ def _answer(bkt: int, table: pa.Table, *, pairs: np.ndarray) -> pa.Table:
         total = np.bincount(of, _counts(rows), len(distinct)).astype(np.int64)
         if phase == 1:
             known = total > 0
-            values = Trie(distinct[known], total[known], pairs).log10(distinct).astype(np.float32)[of]
+            values = Trie(distinct[known], total[known], nodes).log10(distinct).astype(np.float32)[of]
         else:
             values = total[of]
         edge = np.searchsorted(place, np.arange(len(blks) + 1))
@@ -204,14 +260,14 @@ def _vocabulary(bkt: int, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([len(np.unique(keys[counts > 0]))], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["v", "n"])
 
 
-def _score(blk: int, docs: pa.Table, answers: pa.Table, *, buckets: int) -> pa.Table:
-    x = _Block(docs)
+def _score(blk: int, docs: pa.Table, answers: pa.Table, *, buckets: int, nodes: Nodes) -> pa.Table:
+    x = _Block(docs, nodes)
     log10 = B.read_values(answers, 1, x.keys, buckets, np.float32)
     counts = B.read_values(answers, 2, x.words, buckets, np.int64)
     rows = len(x.texts)
     score = np.zeros(rows)
     for first, key, of, at in x.parts:
-        score[first : first + len(at) - 1] = np.add.reduceat(log10[find(x.keys, _keys(key))].astype(np.float64)[of], at[:-1])
+        score[first : first + len(at) - 1] = np.add.reduceat(log10[find(x.keys, _keys(key, nodes))].astype(np.float64)[of], at[:-1])
     known = np.concatenate([[0], np.cumsum(counts[x.of] > 0)])
     mass = np.concatenate([[0.0], np.cumsum(np.log10(counts[x.of] + 0.5))])
     end = counts[x.end]
@@ -221,7 +277,7 @@ def _score(blk: int, docs: pa.Table, answers: pa.Table, *, buckets: int) -> pa.T
     )
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (base-10 logarithms).
 
     Learns from the rows whose crc32 of the id's text modulo ``folds`` is not ``fold``.
@@ -229,15 +285,13 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     held = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), held.alias("held_out"))
-    pairs = np.zeros((256, 256), np.int64)
-    for row in plain.where("NOT held_out").select("_text").mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most 65,536
-        pairs[row["pair"] >> 8, row["pair"] & 255] = row["n"]
+    nodes = frequent_contexts(plain.select("_text", "held_out"), share)
     blocks, buckets = B.deal(plain, "_text", BLOCK_BYTES)
     buckets = B.power_of_two(buckets, 1 << 16)
     blocked = B.into_blocks(plain, blocks, "_id", "_text")
-    asks = B.ask(blocked, partial(_ask, buckets=buckets))
-    answers = B.answer(asks, partial(_answer, pairs=pairs))
+    asks = B.ask(blocked, partial(_ask, buckets=buckets, nodes=nodes))
+    answers = B.answer(asks, partial(_answer, nodes=nodes))
     sizes = asks.groupBy("bkt").applyInArrow(lambda key, table: _vocabulary(key[0].as_py(), table), "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    scored = B.over_blocks(blocked, partial(_score, buckets=buckets), f"_id {kind}, held_out boolean, n_tokens long, n_known long, mass double, score double", answers)
+    scored = B.over_blocks(blocked, partial(_score, buckets=buckets, nodes=nodes), f"_id {kind}, held_out boolean, n_tokens long, n_known long, mass double, score double", answers)
     base = F.col("mass") - F.col("n_tokens") * F.log10(F.col("n") + 0.5 * (F.col("v") + 1))
     return scored.join(F.broadcast(sizes)).select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.col("n").alias("train_tokens"), base.alias("base_score"), "score")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loxodrome.llm import blocks as B
 from loxodrome.llm import lm_scoring, ngrams, quality_rules
 from loxodrome.llm.lm_scoring import score_texts
 from loxodrome.llm.quality_classifier import classify
@@ -208,10 +209,23 @@ def test_scores_match_dictionaries(spark):
     for (d, t, *_), h in zip(rows, held):
         tokens = [*words(lower((t or "").encode()).decode()), "\n"]
         want.append((d, h, len(tokens), sum(count[x] > 0 for x in tokens), total, sum(math.log10((count[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in tokens), trie.log10(t)))
-    got = score_texts(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    a, b = sorted(want, key=lambda x: (str(x[0]), x[5])), sorted(map(tuple, got), key=lambda x: (str(x[0]), x[5]))
-    assert [x[:5] for x in a] == [x[:5] for x in b]
-    assert np.allclose([x[5:] for x in a], [x[5:] for x in b], rtol=1e-5)
+    for share in (1 / 256, 1 / 40, 1.0):  # contexts of up to three bytes are split, of up to two, none
+        got = score_texts(spark.createDataFrame(rows, SCHEMA).repartition(3), share=share).collect()
+        a, b = sorted(want, key=lambda x: (str(x[0]), x[5])), sorted(map(tuple, got), key=lambda x: (str(x[0]), x[5]))
+        assert [x[:5] for x in a] == [x[:5] for x in b]
+        assert np.allclose([x[5:] for x in a], [x[5:] for x in b], rtol=1e-5)
+
+
+def test_a_frequent_pair_of_bytes_is_split(spark):
+    """Half of all places follow one pair of bytes; no shard of 64 gets more than a few times the mean."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("abcdefghijklmnopqrstuvwxyz0123456789") + "e " for _ in range(800)) for _ in range(40)]
+    plain = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "_id long, _text string, held_out boolean")
+    for share, fits in ((1 / 256, True), (1.0, False)):
+        nodes = lm_scoring.frequent_contexts(plain.select("_text", "held_out"), share)
+        keys = lm_scoring._Block(pa.table({"_text": texts, "held_out": [i % 5 == 0 for i in range(40)]}), nodes).keys
+        load = np.diff(B.bounds(keys, 64))
+        assert (load.max() < 5 * load.mean()) == fits
 
 
 def test_chances_sum_to_one():
