@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loxodrome.llm import blocks as B
-from loxodrome.llm import lm_scoring, ngrams, quality_rules
+from loxodrome.llm import lm_scoring, ngrams, quality_classifier, quality_rules
 from loxodrome.llm.lm_scoring import score_texts
 from loxodrome.llm.quality_classifier import classify
 from loxodrome.llm.quality_rules import plain_counts
@@ -131,39 +131,90 @@ def test_bands_reject_what_lies_off_the_middle_half(spark, monkeypatch):
 # --- operator 8
 
 
-def test_classifier_matches_dictionaries(spark):
-    rows = corpus(n=80)
-    trusted = sorted({x[0] for x in rows if x[0] is not None and x[0] % 3 == 0})
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = classify(docs, spark.createDataFrame([(x,) for x in trusted], "doc_id long")).collect()
-    model = Slow([t or "" for d, t, *_ in rows if d in trusted], 5)
-    want = sorted(((str(d), round(2 ** model.bits(t), 3)) for d, t, *_ in rows))
-    close = sorted((str(r.doc_id), round(r.perplexity, 3)) for r in got)
-    assert [x[0] for x in want] == [x[0] for x in close] and np.allclose([x[1] for x in want], [x[1] for x in close], rtol=1e-3)
-    assert {r.kept for r in got} <= {True, False} and any(r.kept for r in got) and all(r.kept == (r.perplexity <= r.threshold * (1 + 1e-9)) for r in got)
-    assert all(abs(r.log10_prob / r.n_tokens + math.log10(r.perplexity)) < 1e-6 for r in got)
+def trigrams(text):
+    x = ["<s>", "<s>", *words(lower((text or "").encode()).decode()), "</s>"]
+    return [tuple(x[i : i + 3]) for i in range(len(x) - 2)]
 
 
-def test_thresholds_take_all_trusted_texts_unseen(spark):
-    r = random.Random(4)
-    kinds = {"en": "abcdefgh", "fr": "mnopqrst"}
-    text = lambda lang: " ".join("".join(r.choice(kinds[lang]) for _ in range(r.randint(2, 7))) for _ in range(40))
-    rows = [(i, text(lang), lang, "a", 1) for i, lang in enumerate(["en"] * 60 + ["fr"] * 4)]
-    docs, trusted, most, folds = spark.createDataFrame(rows, SCHEMA).repartition(3), range(0, 64, 2), 8, 3
+class SlowWords:
+    """Interpolated modified Kneser-Ney of word trigrams, by dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = {3: Counter(g for t in texts for g in trigrams(t))}
+        for n in (2, 1):
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.cut, self.by = {}, {n: defaultdict(list) for n in self.counts}
+        for n, c in self.counts.items():
+            m = Counter(c.values())
+            self.cut[n] = ngrams.discounts(m[1], m[2], m[3], m[4])
+            for g, k in c.items():
+                self.by[n][g[:-1]].append(k)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (len(self.counts[1]) + 1)
+        n, below = len(gram), self.p(gram[1:])
+        own = self.by[n].get(gram[:-1])
+        if not own:
+            return below
+        c, total = self.counts[n].get(gram, 0), sum(own)
+        return (c - self.cut[n][min(c, 3)]) / total + sum(self.cut[n][min(k, 3)] for k in own) / total * below
+
+    def bits(self, text):
+        g = trigrams(text)
+        return sum(-math.log2(self.p(x)) for x in g) / len(g)
+
+
+def classified(spark, rows, trusted, level, most):
+    """By dictionaries: (id, bits a token, limit) of each row."""
+    docs = spark.createDataFrame(rows, SCHEMA)
+    even = {r.doc_id: r.even for r in docs.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("even")).collect()}
     ids = spark.createDataFrame([(x,) for x in trusted], "doc_id long")
-    order = [x.doc_id for x in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    fold = {x.doc_id: x.f for x in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(folds)).alias("f")).collect()}
-    fit = order[:most]
-    whole = Slow([rows[i][1] for i in fit], 5)
-    part = {k: Slow([rows[i][1] for i in fit if fold[i] != k], 5) for k in range(folds)}
-    bins = {"en": [], "fr": []}
-    for i in trusted:
-        bins[rows[i][2]].append(math.floor((part[fold[i]] if i in fit else whole).bits(rows[i][1]) * 1000))
-    got = classify(docs, ids, level=0.9, folds=folds, most=most).collect()
-    assert {rows[i][2] for i in order[most:]} == {"en", "fr"} and len(got) == len(rows)
-    for x in got:
-        mine = sorted(bins[rows[x.doc_id][2]])
-        assert abs(math.log2(x.threshold) - (mine[math.ceil(len(mine) * 0.9) - 1] + 1) / 1000) < 0.0011
+    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    fit = [i for i in order if even.get(i)][:most]
+    text = {d: t for d, t, *_ in rows}
+    model = SlowWords([text[i] for i in fit])
+    bins = defaultdict(list)
+    for d, t, lang, *_ in rows:
+        if d in trusted and d not in fit:
+            for key in (lang, "every"):
+                bins[key].append(math.floor(model.bits(t) * 1000))
+    limit = {k: (sorted(x)[math.ceil(len(x) * level) - 1] + 1) / 1000 for k, x in bins.items()}
+    return [(d, model.bits(t), limit.get(lang, limit.get("every"))) for d, t, lang, *_ in rows], fit
+
+
+def test_classifier_matches_dictionaries(spark):
+    r = random.Random(4)
+    kinds = {"en": "abcdefgh", "fr": "mnopqrst", "de": "uvwxyz", None: "ij"}
+    vocabulary = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 5))) for _ in range(40)] for k, v in kinds.items()}
+    text = lambda lang: " ".join(r.choice(vocabulary[lang]) for _ in range(r.choice([0, 1, 5, 40, 90])))
+    rows = [(i, text(lang), lang, "a", 1) for i, lang in enumerate(["en"] * 60 + ["fr"] * 30 + ["de"] * 6 + [None] * 4)]
+    rows += [(200 + i, rows[7][1], "en", "a", 1) for i in range(3)] + [(300, None, "en", "a", 1), (None, "ab \tcd", "fr", "a", 1), (301, " ".join(vocabulary["en"] * 200), "en", "a", 1)]
+    trusted = [i for i in range(90) if i % 3] + [200, 300]  # none of the third language
+    want, fit = classified(spark, rows, trusted, 0.9, 20)
+    assert len(fit) == 20
+    got = classify(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame([(str(x),) for x in [*trusted, "none"]], "id string"), level=0.9, most=20).collect()
+    a, b = sorted(want, key=lambda x: (str(x[0]), x[1])), sorted(((x.doc_id, math.log2(x.perplexity), math.log2(x.threshold), x) for x in got), key=lambda x: (str(x[0]), x[1]))
+    assert [x[0] for x in a] == [x[0] for x in b]
+    assert np.allclose([x[1] for x in a], [x[1] for x in b], rtol=1e-5)
+    assert np.allclose([x[2] for x in a], [x[2] for x in b], atol=0.0011)
+    assert all(x[3].kept == (x[1] <= x[2] + 1e-9) for x in b) and {x[3].kept for x in b} == {True, False}
+    assert all(abs(x.log10_prob / x.n_tokens + math.log10(x.perplexity)) < 1e-6 for x in got)
+
+
+def test_a_model_without_texts_and_ids_of_text(spark):
+    docs = spark.createDataFrame([("a", "x y", "en"), (None, None, None)], "doc_id string, text string, lang string")
+    assert [x.kept for x in classify(docs, spark.createDataFrame([], "doc_id long")).collect()] == [False, False]
+    same = spark.createDataFrame([(f"d{i}", "x y z", "en") for i in range(6)], "doc_id string, text string, lang string")
+    assert len(classify(same, same.select("doc_id")).collect()) == 6
+
+
+def test_the_filter_holds_all_it_was_given(spark):
+    keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = spark.createDataFrame([(2 + i % 2, int(k)) for i, k in enumerate(keys.view(np.int64))], "order int, key long")
+    body = quality_classifier.known_filter(rows)
+    assert quality_classifier._passes(body, keys).all()
+    assert quality_classifier._passes(body, keys + np.uint64(12345)).mean() < 0.1
 
 
 # --- operator 2
