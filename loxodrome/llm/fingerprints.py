@@ -9,17 +9,26 @@ bucket ever holds two forms, their fingerprints get a part of their SHA-256.
 The likeness of two fingerprints is that of exact digests: 1 if the forms are
 equal, else 0.
 
-Defined results: null text counts as empty; rows follow each other by
-descending id (null last), then descending text, repeated rows each for itself;
-a table of one row follows itself.
+Rows meet their digest's group in a join.  A digest of more than a thousandth of
+all rows (there are at most a thousand such) meets its rows in as many tasks as
+there are shuffle partitions, so a text that a third of all rows repeat fills
+none.  Ranges of neighbouring ids are sized by bytes of text; rows without an id
+are ranged by the first bytes of their texts.
+
+Defined results: null text counts as empty; ids are numbers (others are
+refused); rows follow each other by descending id (null last), then descending
+text, repeated rows each for itself; a table of one row follows itself; an empty
+table gives an empty one.  A text of any length is handled whole.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loxodrome.plans.lineage import cut
@@ -55,29 +64,54 @@ def digest_groups(forms: DataFrame) -> DataFrame:
     return forms.groupBy("_digest", "_form").agg(F.count("*").alias("n")).groupBy("_digest").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_forms"))
 
 
+def with_group(rows: DataFrame, found: DataFrame, *, part: int = 1000) -> DataFrame:
+    """``rows`` (with _digest) and n_rows, n_forms of their digest; ``found`` has one line a digest."""
+    found = cut(found)
+    total = found.agg(F.sum("n_rows")).first()[0] or 0
+    frequent = F.broadcast(cut(found.where(F.col("n_rows") * part > total).select("_digest", F.lit(True).alias("_many"))))  # fewer than ``part`` rows
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *rows.columns), F.lit(salts)).cast("int")
+    mine = rows.join(frequent, "_digest", "left").withColumn("_salt", F.when(F.col("_many"), salt).otherwise(0)).drop("_many")
+    every = F.when(F.col("_many"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return mine.join(found.join(frequent, "_digest", "left").withColumn("_salt", F.explode(every)).drop("_many"), ["_digest", "_salt"]).drop("_salt")
+
+
 def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs``, and fingerprint, n_copies (rows with the same form)."""
+    """The columns of ``docs``, and fingerprint, n_copies (rows with the same form); columns of these names are replaced."""
     formed = docs.select(F.struct("*").alias("_row"), canonical(F.col(f"`{text_col}`")).alias("_form"))
     formed = formed.withColumn("_digest", digest(F.col("_form")))
     found = digest_groups(formed.select("_digest", "_form"))
     named = F.when(F.col("n_forms") > 1, F.concat("_digest", F.lit("-"), F.substring(F.sha2("_form", 256), 1, 16))).otherwise(F.col("_digest"))
-    return formed.join(found, "_digest").select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("fingerprint", "n_copies")], named.alias("fingerprint"), F.col("n_rows").alias("n_copies"))
+    return with_group(formed, found).select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in ("fingerprint", "n_copies")], named.alias("fingerprint"), F.col("n_rows").alias("n_copies"))
 
 
-def _range_of(ids: Column, cuts: list[int]) -> Column:
-    """How many of the sorted ``cuts`` are not above the id, by a search in two steps; -1 for null."""
+def _rank(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are not above the value, by a search in two steps; the cuts are one constant of the plan."""
     if not cuts:
-        return F.when(ids.isNull(), -1).otherwise(0)
+        return F.lit(0)
     step = max(1, math.isqrt(len(cuts)))
     fine = [cuts[i : i + step] for i in range(0, len(cuts), step)]
 
     def upto(array: Column) -> Column:
-        return F.size(F.filter(array, lambda x: x <= ids))
+        return F.size(F.filter(array, lambda x: x <= value))
 
-    heads = F.array(*[F.lit(part[0]).cast("long") for part in fine])
-    parts = F.array(*[F.array(*[F.lit(x).cast("long") for x in part]) for part in fine])
+    heads = F.from_json(F.lit(json.dumps([part[0] for part in fine])), "array<bigint>")
+    parts = F.from_json(F.lit(json.dumps(fine)), "array<array<bigint>>")
     part = upto(heads)
-    return F.when(ids.isNull(), -1).when(part == 0, 0).otherwise((part - 1) * step + upto(F.element_at(parts, F.greatest(part, F.lit(1)))))
+    return F.when(part == 0, 0).otherwise((part - 1) * step + upto(F.element_at(parts, F.greatest(part, F.lit(1)))))
+
+
+def _cuts(rows: DataFrame, value: Column, parts: int) -> list[int]:
+    """At most parts - 1 numbers that cut the rows into about equal parts."""
+    if parts < 2:
+        return []
+    found = rows.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    return sorted({int(x) for x in found or []})
+
+
+def range_count(bytes_: int, least: int, each: int = 32 << 20, most: int = 100_000) -> int:
+    """Ranges of about ``each`` bytes; ``least`` if that makes more."""
+    return min(most, max(least, -(-bytes_ // each)))
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -86,8 +120,14 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     Rows are dealt once, into ranges of ids; a range's last row gets the first
     text of the next range.  What is broadcast has one row a range.
     """
-    cuts = docs.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 10 * parts) if parts > 1 else F.lit(None)).first()[0]
-    ranged = docs.withColumn("_range", _range_of(F.col("_id"), sorted(set(cuts or []))))
+    lone = docs.where("_id IS NULL")
+    without = lone.count()
+    # Seven bytes make a number that is in order of the texts.
+    head = F.coalesce(F.conv(F.hex(F.rpad(F.substring(F.col("_text").cast("binary"), 1, 7), 7, F.lit(b"\x00"))), 16, 10).cast("long"), F.lit(0).cast("long"))
+    null_cuts = _cuts(lone, head, parts) if without > 10_000 else []
+    whole = F.floor("_id").cast("long")
+    ids = _rank(whole, _cuts(docs, whole, parts))
+    ranged = docs.withColumn("_range", F.when(F.col("_id").isNull(), _rank(head, null_cuts) - (len(null_cuts) + 1)).otherwise(ids))
     heads = cut(ranged.groupBy("_range").agg(F.max("_id").alias("_head")))
     every = Window.orderBy(F.desc("_range"))  # one row a range
     after = heads.select("_range", F.coalesce(F.lead("_range").over(every), F.max("_range").over(Window.partitionBy())).alias("_after"))
@@ -103,8 +143,11 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, n_copies.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        raise ValueError("ids must be numbers")
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    size = plain.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = range_count(size, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = digest_groups(plain.select(canonical(F.col("_text")).alias("_form")).select(digest(F.col("_form")).alias("_digest"), "_form"))
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
@@ -116,4 +159,4 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
     named = F.when(F.col("n_forms") > 1, F.concat("_digest", F.lit("-"), "_more")).otherwise(F.col("_digest"))
     edited = F.when(F.col("near_edited") == 1, named).otherwise(F.col("_edited_digest"))
-    return lines.join(found, "_digest").select(F.col("_id").alias(id_col), "n_chars", "edited_sha256", named.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next", F.col("n_rows").alias("n_copies"))
+    return with_group(lines, found).select(F.col("_id").alias(id_col), "n_chars", "edited_sha256", named.alias("fingerprint"), edited.alias("edited_fingerprint"), "near_edited", "near_next", F.col("n_rows").alias("n_copies"))

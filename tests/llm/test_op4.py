@@ -2,9 +2,10 @@ import hashlib
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
-from loxodrome.llm.fingerprints import canonical, compare_edits, fingerprints
+from loxodrome.llm.fingerprints import canonical, compare_edits, digest_groups, fingerprints, range_count, with_group, with_next
 
 from .helpers import SCHEMA, corpus
 
@@ -55,3 +56,28 @@ def test_groups(spark):
 
 def test_empty_table(spark):
     assert compare_edits(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_frequent_digests_meet_their_rows_in_many_tasks(spark):
+    rows = spark.createDataFrame([("hot" if i % 3 else f"d{i}", "f", i) for i in range(600)], "_digest string, _form string, n int").repartition(4)
+    found = digest_groups(rows.select("_digest", "_form"))
+    got = with_group(rows.drop("_form"), found, part=4)
+    assert sorted((r.n, r.n_rows, r.n_forms) for r in got.collect()) == [(i, 400 if i % 3 else 1, 1) for i in range(600)]
+
+
+def test_rows_without_ids_are_ranged_by_their_texts(spark):
+    texts = [f"{chr(97 + i % 26)}{'é' * (i % 4)} {i}" for i in range(12_000)] + ["", "", "\x00"]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(5, "five"), (-7, "seven"), (5, "a")], "_id long, _text string")
+    got = {(r["_id"], r["_text"]): r["_next"] for r in with_next(docs, 6).collect()}
+    order = ["five", "a", "seven", *sorted(texts, key=str.encode, reverse=True)]
+    ids = {"five": 5, "a": 5, "seven": -7}
+    assert all(got[ids.get(t), t] == order[i + 1] for i, t in enumerate(order[:-2]) if t)
+
+
+def test_ranges_follow_bytes():
+    assert range_count(0, 8) == 8 and range_count(1 << 40, 8) == 32768 and range_count(1 << 50, 8) == 100_000
+
+
+def test_ids_must_be_numbers(spark):
+    with pytest.raises(ValueError):
+        compare_edits(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
