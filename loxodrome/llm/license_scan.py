@@ -2,21 +2,27 @@
 
 The automaton accepts every run of words of the licence templates.  Reading a
 text through it gives, at each word, the longest run ending there that some
-template holds (matching statistics).  Runs of at least ``least`` words that
-cannot be extended are chained per template, in order of both text and
-template, into covered spans; a template is found if its chain covers enough of
-it.  Only stretches that hold a run of ``least`` template words are read word by
-word; they are found with array operations over whole batches.
+template holds (matching statistics); the shorter runs that other templates, or
+other places of one, hold there are found along the suffix links.  Runs of at
+least ``least`` words that cannot be extended are chained per template, in order
+of both text and template, into covered spans; a template is found wherever a
+chain covers enough of it.  Only stretches that hold a run of ``least`` template
+words are read word by word; they are found with array operations over whole
+batches.  A link of a chain is looked for among the matches within a template's
+length and ``gap`` words before, so work follows the length of the text.
 
 Plain phrases (two or three words) are counted too, wherever they stand.
 
 Defined results: null text counts as empty; no phrase gives null positions and
-empty labels; ties between templates of one label take the better covered, then
-the earlier; repeated rows and null ids stay rows.
+empty labels; a template of fewer than ``least`` words is never found; where
+notices of one label overlap, the one with more words covered stays, then the
+earlier; repeated rows and null ids stay rows; ids may be of any type; an empty
+table gives an empty one.  A text of any length is read whole, by one task.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import partial
 
@@ -31,44 +37,94 @@ from .words import pieces, split_words, text_array
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public licence notices, lower case, words only.
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+#: licences' names, and what a short notice calls them.
+NAMES = {
+    "mit": ["mit license"],
+    "apache": ["apache license version 2 0", "apache license 2 0"],
+    "gpl": ["gnu general public license version 2", "gnu general public license version 3", "gnu gpl v2", "gnu gpl v3"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license"],
+    "agpl": ["gnu affero general public license"],
+    "bsd": ["bsd license", "2 clause bsd license", "3 clause bsd license"],
+    "mpl": ["mozilla public license version 2 0", "mozilla public license v 2 0"],
+    "epl": ["eclipse public license version 2 0"],
+    "cc-by": ["creative commons attribution 4 0 international license", "cc by 4 0"],
+    "cc-by-sa": ["creative commons attribution sharealike 4 0 international license", "cc by sa 4 0"],
+    "cc-by-nc": ["creative commons attribution noncommercial 4 0 international license", "cc by nc 4 0"],
+    "cc0": ["creative commons zero v1 0 universal license", "cc0 1 0"],
+}
+
+#: Public licences and the notices that they ask for, lower case, words only.
+TEXTS = [
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or
+        sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+        fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+        liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings
+        in the software"""),
+    ("apache", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+        software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license"""),
+    *[(label, f"""this program is free software you can redistribute it and or modify it under the terms of the {name} as published by
+        the free software foundation either version {version} of the license or at your option any later version this program is distributed in the hope
+        that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+        see the {name} for more details you should have received a copy of the {name} along with this program if not see""")
+        for label, name, versions in (("gpl", "gnu general public license", "2 3"), ("lgpl", "gnu lesser general public license", "2 3"), ("agpl", "gnu affero general public license", "3"))
+        for version in versions.split()],
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+        and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or
+        implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+        in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on
+        any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this
+        software even if advised of the possibility of such damage"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above
+        copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard
+        to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct
+        indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence
+        or other tortious action arising out of or in connection with the use or performance of this software"""),
+    ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages
+        arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications
+        and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented
+        you must not claim that you wrote the original software"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+        distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""),
+    ("mpl", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file
+        you can obtain one at"""),
 ]
 
 
+def default_templates() -> list[tuple[str, str]]:
+    """The texts, and a short notice of each name."""
+    short = [(label, f"{how} under the {name}") for label, names in NAMES.items() for name in names for how in ("licensed", "released", "distributed")]
+    return [*TEXTS, *short]
+
+
 class SuffixAutomaton:
-    """Of several sequences; each state knows one end in every sequence that holds its runs."""
+    """Of several sequences; each state knows all ends of its runs, as (sequence, end)."""
 
     def __init__(self, sequences: list[list[int]]) -> None:
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[set[tuple[int, int]]] = [set()]
         for number, sequence in enumerate(sequences):
             last = 0
             for place, symbol in enumerate(sequence):
                 last = self._extend(last, symbol)
-                self.ends[last].setdefault(number, place + 1)
+                self.ends[last].add((number, place + 1))
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            for number, end in self.ends[state].items():
-                self.ends[self.link[state]].setdefault(number, end)
+            if self.link[state]:
+                self.ends[self.link[state]] |= self.ends[state]
 
     def _new(self, length: int, link: int, step: dict[int, int]) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, state: int, symbol: int) -> int:
@@ -77,7 +133,6 @@ class SuffixAutomaton:
         if self.length[to] == self.length[state] + 1:
             return to
         copy = self._new(self.length[state] + 1, self.link[to], dict(self.step[to]))
-        self.ends[copy] = dict(self.ends[to])
         self.link[to] = copy
         while state >= 0 and self.step[state].get(symbol) == to:
             self.step[state][symbol] = copy
@@ -110,30 +165,53 @@ class SuffixAutomaton:
                 state = length = 0
             yield state, length
 
+    def shorter(self, state: int, length: int, least: int) -> Iterator[tuple[int, int, int]]:
+        """(sequence, end, words) of the longest run at each place of a sequence that ends where this one does."""
+        seen: set[tuple[int, int]] = set()
+        while state > 0 and length >= least:
+            for number, end in self.ends[state] - seen:
+                yield number, end, length
+            seen |= self.ends[state]
+            state = self.link[state]
+            length = self.length[state]
 
-def chain(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-    """Of matches (text start, template start, words), the chain that covers most of the template.
+
+def chains(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Chains of matches (text start, template start, words) without a common match, each with the template words it covers; the fullest first.
 
     Both starts ascend; what overlaps counts once, and text between two links of
-    the chain is at most ``gap`` words.
+    a chain is at most ``gap`` words.
     """
     matches = sorted(set(matches))
+    reach = max((n for _, _, n in matches), default=0) + gap
     best: list[tuple[int, int]] = []
+    first = 0
     for i, (t, p, n) in enumerate(matches):
+        while matches[first][0] + reach < t:
+            first += 1
         here = (n, -1)
-        for j in range(i):
+        for j in range(first, i):
             t0, p0, n0 = matches[j]
             if t0 < t and p0 < p and t <= t0 + n0 + gap:
                 new = n - max(0, p0 + n0 - p, t0 + n0 - t)
                 if new > 0 and best[j][0] + new > here[0]:
                     here = (best[j][0] + new, j)
         best.append(here)
-    out = []
-    i = max(range(len(best)), key=lambda k: best[k][0], default=-1)
-    while i >= 0:
-        out.append(matches[i])
-        i = best[i][1]
-    return out[::-1]
+    out, used = [], [False] * len(matches)
+    for i in sorted(range(len(best)), key=lambda k: (-best[k][0], k)):
+        links, k = [], i
+        while k >= 0 and not used[k]:
+            used[k] = True
+            links.append(matches[k])
+            k = best[k][1]
+        if links:
+            links.reverse()
+            done = covered = 0
+            for _, p, n in links:
+                covered += max(0, p + n - max(p, done))
+                done = max(done, p + n)
+            out.append((covered, links))
+    return sorted(out, key=lambda x: (-x[0], x[1]))
 
 
 class Scanner:
@@ -144,7 +222,7 @@ class Scanner:
         vocabulary = sorted({w for t in texts for w in t} | {w for p in phrases for w in p.split()})
         self.ids = {w: i for i, w in enumerate(vocabulary)}
         self.sizes = [len(t) for t in texts]
-        coded = [[self.ids[w] for w in t] for t in texts]
+        self.coded = coded = [[self.ids[w] for w in t] for t in texts]
         self.automaton = SuffixAutomaton(coded)
         self.vocabulary = pa.array(vocabulary)
         self.phrases = [([self.ids[w] for w in p.split()], label) for p, label in phrases.items()]
@@ -166,7 +244,7 @@ class Scanner:
     def stretches(self, codes: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By text: [start, end) of runs of known words that hold a template's run of ``least`` words."""
         n = len(codes) - self.least + 1
-        if n <= 0:
+        if n <= 0 or not len(self.grams):
             return {}
         key = np.zeros(n, np.uint64)
         for i in range(self.least):
@@ -186,25 +264,34 @@ class Scanner:
         return out
 
     def spans(self, codes: np.ndarray, stretches: list[tuple[int, int]], start: int) -> list[dict]:
-        """Best chain of each label: label, words covered from start to end, share of the template."""
+        """Every notice found, and the best chain of a label without any: label, words covered from start to end, share of the template."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for lo, hi in stretches:
-            stats = [*self.automaton.statistics(codes[lo:hi].tolist()), (0, 0)]
-            for i, (state, n) in enumerate(stats[:-1]):
-                if n >= self.least and stats[i + 1][1] <= n:
-                    for number, end in self.automaton.ends[state].items():
-                        by.setdefault(number, []).append((lo + i + 1 - n - start, end - n, n))
-        best: dict[str, dict] = {}
+            words = codes[lo:hi].tolist()
+            after = [*words[1:], -1]
+            for i, (state, n) in enumerate(self.automaton.statistics(words)):
+                if n >= self.least:
+                    for number, end, run in self.automaton.shorter(state, n, self.least):
+                        if end == self.sizes[number] or self.coded[number][end] != after[i]:
+                            by.setdefault(number, []).append((lo + i + 1 - run - start, end - run, run))
+        found = []
         for number in sorted(by):
-            links = chain(by[number], self.gap)
-            done, covered = 0, 0
-            for _, p, n in links:
-                covered += max(0, p + n - max(p, done))
-                done = max(done, p + n)
-            found = {"label": self.labels[number], "start": links[0][0], "end": links[-1][0] + links[-1][2], "share": covered / self.sizes[number]}
-            if found["share"] > best.get(found["label"], {"share": 0.0})["share"]:
-                best[found["label"]] = found
-        return [best[k] for k in sorted(best)]
+            for covered, links in chains(by[number], self.gap):
+                found.append((-covered, links[0][0], {"label": self.labels[number], "start": links[0][0], "end": links[-1][0] + links[-1][2], "share": covered / self.sizes[number]}))
+        out: list[dict] = []
+        taken: dict[str, list[int]] = {}
+        for _, _, x in sorted((x for x in found if x[2]["share"] >= self.cover), key=lambda x: x[:2]):
+            ends = taken.setdefault(x["label"], [])
+            i = bisect.bisect_right(ends, x["start"])
+            # Starts and ends of what is taken, in order: a free place lies between an end and a start.
+            if i % 2 == 0 and bisect.bisect_left(ends, x["end"]) in (i, i - 1):
+                ends[i:i] = [x["start"], x["end"]]
+                out.append(x)
+        partial_: dict[str, dict] = {}
+        for *_, x in found:
+            if x["label"] not in taken and x["share"] > partial_.get(x["label"], {"share": 0.0})["share"]:
+                partial_[x["label"]] = x
+        return sorted([*out, *partial_.values()], key=lambda x: (x["start"], x["label"]))
 
     def places(self, codes: np.ndarray, at: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
         """Label and starts of each phrase's places."""
@@ -264,8 +351,8 @@ def _scan(batches: Iterator[pa.RecordBatch], *, templates: list, phrases: dict,
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, least: int = 4, cover: float = 0.8, gap: int = 8) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (best share of a template covered), spans.  No shuffle."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (best share of a template covered), spans (each notice, and of a label without one the best chain).  No shuffle."""
     kind = dict(docs.dtypes)[id_col]
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    given = {"templates": templates or TEMPLATES, "phrases": phrases or PHRASES, "least": least, "cover": cover, "gap": gap}
+    given = {"templates": templates or default_templates(), "phrases": phrases or PHRASES, "least": least, "cover": cover, "gap": gap}
     return plain.mapInArrow(partial(_scan, **given), f"_id {kind}, {_OUT}").withColumnRenamed("_id", id_col)

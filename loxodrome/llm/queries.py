@@ -54,7 +54,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+    return scan_licenses(documents(spark, sf_dir))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
