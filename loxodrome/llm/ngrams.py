@@ -8,9 +8,12 @@ Each text is followed by an end symbol and stands after start symbols.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 
 BITS = 6
 SYMBOLS = 1 << BITS
@@ -102,64 +105,69 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.clip(found, [0, 0.05, 0.1, 0.15], [0, 0.95, 1.9, 2.85])
 
 
-def count_of_counts(counts: np.ndarray) -> np.ndarray:
-    return np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
+class Level(NamedTuple):
+    """One order's n-grams with their discounted shares of their contexts, and what each context leaves to the order below; both sorted."""
 
-
-class Level:
-    """N-grams of one order with (adjusted) counts, and what interpolation needs of their contexts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, cut: np.ndarray) -> None:
-        self.keys = keys
-        self.contexts, of = np.unique(keys >> np.uint64(BITS), return_inverse=True)
-        size = len(self.contexts)
-        total = np.bincount(of, counts, size)
-        self.share = (counts - cut[np.minimum(counts, 3)]) / total[of] if len(keys) else np.zeros(0)
-        self.rest = np.bincount(of, cut[np.minimum(counts, 3)], size) / total if size else np.zeros(0)
+    keys: np.ndarray
+    share: np.ndarray
+    contexts: np.ndarray
+    rest: np.ndarray
 
     def mixed(self, wanted: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """Probability of each wanted n-gram, given the lower order's; a context never seen leaves that as it is."""
-        context, place = find(self.contexts, wanted >> np.uint64(BITS)), find(self.keys, wanted)
+        context, place = find(self.contexts, (wanted >> np.uint64(BITS)).astype(self.contexts.dtype)), find(self.keys, wanted.astype(self.keys.dtype))
         rest = np.where(context < 0, 1.0, self.rest[context] if len(self.rest) else 1.0)
         return rest * lower + np.where(place < 0, 0.0, self.share[place] if len(self.share) else 0.0)
 
 
-def suffixes(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams one shorter, and how many distinct symbols stand before each."""
-    return np.unique(keys & np.uint64((1 << BITS * (order - 1)) - 1), return_counts=True)
-
+class KneserNey(NamedTuple):
+    """Interpolated modified Kneser-Ney, by order from 1."""
 
-class KneserNey:
-    """Interpolated modified Kneser-Ney of a fixed order.
-
-    ``top`` are the counted n-grams, perhaps only those of some contexts; the
-    orders of at least ``local`` are derived from them, lower ones come as
-    ``low``: {order: (keys, counts)}.  ``cuts``: discounts by order.
-    """
-
-    def __init__(self, order: int, top: tuple[np.ndarray, np.ndarray], cuts: dict[int, np.ndarray], low: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> None:
-        self.order = order
-        self.levels: dict[int, Level] = {}
-        keys, counts = top
-        for n in range(order, 0, -1):
-            if low and n in low:
-                keys, counts = low[n]
-            elif n < order:
-                keys, counts = suffixes(keys, n + 1)
-            self.levels[n] = Level(keys, counts, cuts[n])
+    levels: tuple[Level, ...]
 
     def probabilities(self, wanted: np.ndarray) -> np.ndarray:
         out = np.full(len(wanted), 1 / SYMBOLS)
-        for n in range(1, self.order + 1):
-            out = self.levels[n].mixed(wanted & np.uint64((1 << BITS * n) - 1), out)
+        for n, level in enumerate(self.levels, 1):
+            out = level.mixed(wanted & np.uint64((1 << BITS * n) - 1), out)
         return out
 
-
-def fit(order: int, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-    """From all counted n-grams."""
-    cuts, k, c = {}, keys, counts
-    for n in range(order, 0, -1):
-        if n < order:
-            k, c = suffixes(k, n + 1)
-        cuts[n] = discounts(*count_of_counts(c))
-    return KneserNey(order, (keys, counts), cuts)
+    def nbytes(self) -> int:
+        return sum(x.nbytes for level in self.levels for x in level)
+
+
+def discounted(n: Column, cuts: np.ndarray) -> Column:
+    """What modified Kneser-Ney takes from a count."""
+    return F.when(n == 1, F.lit(float(cuts[1]))).when(n == 2, F.lit(float(cuts[2]))).otherwise(F.lit(float(cuts[3])))
+
+
+def discounts_of(tables: dict[int, DataFrame]) -> tuple[dict[int, np.ndarray], dict[int, Row]]:
+    """Discounts by order, and each order's n1 to n4, kinds and total, from tables with a count n."""
+    found = None
+    for order, table in tables.items():
+        row = table.agg(F.lit(order).alias("order"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("kinds"), F.sum("n").alias("total"))
+        found = row if found is None else found.union(row)
+    known = {r["order"]: r for r in found.collect()}  # a row an order
+    return {o: discounts(*[r[f"n{i}"] for i in (1, 2, 3, 4)]) for o, r in known.items()}, known
+
+
+def fit(order: int, counted: DataFrame) -> KneserNey:
+    """From all n-grams (gram, n); of 64**order at most, 8 bytes each come to the driver."""
+    tables = {order: counted}
+    for n in range(order - 1, 0, -1):
+        tables[n] = tables[n + 1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    cuts, _ = discounts_of(tables)
+    levels = []
+    for n in range(1, order + 1):
+        rows = tables[n].select("gram", "n", F.shiftright("gram", BITS).alias("context"), discounted(F.col("n"), cuts[n]).alias("cut"))
+        sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("all"))
+        shares = rows.join(sums, "context").select(F.col("gram").cast("int").alias("key"), ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("value"))
+        rests = sums.select(F.col("context").cast("int").alias("key"), (F.col("all") / F.col("total")).cast("float").alias("value"))
+        levels.append(Level(*_sorted(shares), *_sorted(rests)))
+    return KneserNey(tuple(levels))
+
+
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = rows.toArrow()
+    keys, values = (table[c].combine_chunks().to_numpy() for c in ("key", "value"))
+    order = np.argsort(keys)
+    return keys[order].astype(np.uint32), values[order]
