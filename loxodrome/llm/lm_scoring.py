@@ -9,11 +9,12 @@ symbols left, each counts twice its count less one, and the escape once for
 each distinct symbol.  Below the empty context all symbols left are equally
 likely.  The chances of all symbols sum to one after any context.
 
-The trie is sharded by a context's last two bytes; where these hold more than a
-256th of all symbols, by its last three, and so on up to five, so no frequent
-pair of bytes fills a shard.  Contexts shorter than their shard's are counted
-beforehand and go to every task: at most 256 of each length, of at most 256
-counts each, and the 65,536 counts of contexts of one byte.  Each block sends
+The trie is sharded by a context's last two bytes; where these hold more than
+twice a shard's even part of all symbols, by its last three, and so on up to
+five, so no frequent pair of bytes fills a shard.  Contexts shorter than their
+shard's are counted beforehand and go to every task: at most 4,096 of each length
+(``LEAST_SHARE``), of at most 256 counts each, and the 65,536 counts of contexts
+of one byte.  Each block sends
 its distinct 6-grams with their counts in training texts, and gets the logarithm
 of each one's chance back (see ``blocks``); words are counted in the same way
 for the base score.
@@ -43,8 +44,8 @@ from .words import split_words, text_array, word_hashes
 
 ORDER = 6
 BLOCK_BYTES = 8 << 20
-#: Contexts with more than this share of all symbols are split by one byte more.
-SHARE = 1 / 256
+#: The least share of all symbols at which a context is split by one byte more.
+LEAST_SHARE = 1 / 4096
 _ALPHABET = 255  # all bytes, and the end for one of the two that UTF-8 never uses
 _END_WORD = B.mix(np.array([1], np.uint64))[0]
 
@@ -159,41 +160,66 @@ def _six(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, *grams(*symbols(data, at, LOWER, BYTE_START, BYTE_END, ORDER), ORDER, 8)
 
 
-def _count_contexts(batches: Iterator[pa.RecordBatch], *, length: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """What follows the contexts ``hot`` (all, if there are none) and what stands before them: in all texts, and in training texts."""
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each two neighbouring symbols, in all texts and in training texts."""
+    for batch in batches:
+        learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        n, learnt = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        for first, data, at in stretches(text_array(batch.column("_text"))):
+            x, wide = symbols(data, at, LOWER, BYTE_START, BYTE_END, 2)
+            two = x[:-1].astype(np.uint16) << 8 | x[1:]
+            inside = np.ones(len(two), bool)
+            inside[wide[1:-1] - 1] = False
+            known = inside & np.repeat(learn[first : first + len(at) - 1], np.diff(wide))[1:]
+            n += np.bincount(two[inside], minlength=1 << 16)
+            learnt += np.bincount(two[known], minlength=1 << 16)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int32)), *[pa.array(c) for c in (some, n[some], learnt[some])]], names=["kind", "key", "n", "learnt"])
+
+
+def _count_contexts(batches: Iterator[pa.RecordBatch], *, length: int, hot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What follows the hot contexts of a length (kind 0) and what stands before them (1): in all texts, and in training texts."""
+    pair = np.zeros(1 << 16, bool)
+    pair[hot[2].astype(np.int64)] = True
     for batch in batches:
         learn = ~batch.column("held_out").to_numpy(zero_copy_only=False)
         for first, six, at in _six(text_array(batch.column("_text"))):
-            x = _newest_first(six)
-            context = x >> _u(48 - 8 * length)
-            mine = find(hot, context) >= 0 if len(hot) else np.ones(len(x), bool)
-            x, context, weight = x[mine], context[mine], np.repeat(learn[first : first + len(at) - 1], np.diff(at))[mine]
-            for kind, key in enumerate((context << _u(8) | x & _u(255), x >> _u(40 - 8 * length))):
+            mine = np.flatnonzero(pair[((six >> _u(8)) & _u(255)) << _u(8) | (six >> _u(16)) & _u(255)])
+            x = _newest_first(six[mine])
+            for longer in range(3, length + 1):
+                some = find(hot[longer], x >> _u(48 - 8 * longer)) >= 0
+                mine, x = mine[some], x[some]
+            weight = learn[first + np.searchsorted(at, mine, "right") - 1]
+            for kind, key in enumerate((x >> _u(48 - 8 * length) << _u(8) | x & _u(255), x >> _u(40 - 8 * length))):
                 distinct, of = np.unique(key, return_inverse=True)
                 columns = [np.full(len(distinct), kind, np.int32), distinct.astype(np.int64), np.bincount(of, minlength=len(distinct)), np.bincount(of, weight, len(distinct)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "learnt"])
 
 
-def frequent_contexts(plain: DataFrame, share: float = SHARE) -> Nodes:
-    """From rows (_text, held_out); each length's counts are bounded by those of the contexts split before it."""
-    hot, counts, pairs, found = {}, {}, np.zeros((256, 256), np.int64), np.zeros(0, np.uint64)
-    for length in (1, 2, 3, 4):
-        if length > 1 and not len(found):
+def _counted(rows: DataFrame) -> tuple[np.ndarray, ...]:
+    table = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt")).toArrow().sort_by("key")
+    return tuple(table[c].combine_chunks().to_numpy() for c in ("kind", "key", "n", "learnt"))
+
+
+def frequent_contexts(plain: DataFrame, share: float) -> Nodes:
+    """From rows (_text, held_out).  What comes to the driver is bounded: 65,536 pairs, then for each length 512 counts of each context that is split."""
+    schema = "kind int, key long, n long, learnt long"
+    _, key, n, learnt = _counted(plain.mapInArrow(_count_pairs, schema))
+    pairs = np.zeros((256, 256), np.int64)
+    pairs[key >> 8, key & 255] = learnt
+    total, texts = n.sum(), n[(key & 255) == BYTE_END].sum()
+    # A context's last byte is a pair's second symbol; all texts begin after two starts.
+    context, often = np.append((key & 255) << 8 | key >> 8, BYTE_START << 8 | BYTE_START), np.append(np.where((key & 255) == BYTE_END, 0, n), texts)
+    hot, counts = {2: np.sort(context[often > total * share]).astype(np.uint64)}, {}
+    for length in (2, 3, 4):
+        if not len(hot[length]):
+            del hot[length]
             break
-        counted = plain.mapInArrow(partial(_count_contexts, length=length, hot=found), "kind int, key long, n long, learnt long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("learnt").alias("learnt"))
-        table = counted.toArrow().sort_by("key")  # at most 2 * 256 * 256 rows
-        kind, key, n, learnt = (table[c].combine_chunks().to_numpy() for c in ("kind", "key", "n", "learnt"))
+        kind, key, n, learnt = _counted(plain.mapInArrow(partial(_count_contexts, length=length, hot=hot), schema))
         mine = (kind == 0) & (learnt > 0)
-        if length == 1:
-            pairs[key[mine] >> 8, key[mine] & 255] = learnt[mine]
-            total = n[kind == 0].sum()
-        else:
-            counts[length] = key[mine].astype(np.uint64), learnt[mine]
-        found = key[(kind == 1) & (n > total * share)].astype(np.uint64)
-        if len(found) and length < 4:
-            hot[length + 1] = found
-        if length == 4:
-            break
+        counts[length] = key[mine].astype(np.uint64), learnt[mine]
+        if length < 4:
+            hot[length + 1] = key[(kind == 1) & (n > total * share)].astype(np.uint64)
     return Nodes(hot, pairs, counts)
 
 
@@ -277,17 +303,18 @@ def _score(blk: int, docs: pa.Table, answers: pa.Table, *, buckets: int, nodes:
     )
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, share: float = SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, share: float | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (base-10 logarithms).
 
     Learns from the rows whose crc32 of the id's text modulo ``folds`` is not ``fold``.
+    Contexts of more than ``share`` of all symbols are split (none: twice a shard's part).
     """
     kind = dict(docs.dtypes)[id_col]
     held = F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), held.alias("held_out"))
-    nodes = frequent_contexts(plain.select("_text", "held_out"), share)
     blocks, buckets = B.deal(plain, "_text", BLOCK_BYTES)
     buckets = B.power_of_two(buckets, 1 << 16)
+    nodes = frequent_contexts(plain.select("_text", "held_out"), max(LEAST_SHARE, 2 / buckets) if share is None else share)
     blocked = B.into_blocks(plain, blocks, "_id", "_text")
     asks = B.ask(blocked, partial(_ask, buckets=buckets, nodes=nodes))
     answers = B.answer(asks, partial(_answer, nodes=nodes))

@@ -262,7 +262,7 @@ def test_scores_match_dictionaries(spark):
     for (d, t, *_), h in zip(rows, held):
         tokens = [*words(lower((t or "").encode()).decode()), "\n"]
         want.append((d, h, len(tokens), sum(count[x] > 0 for x in tokens), total, sum(math.log10((count[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in tokens), trie.log10(t)))
-    for share in (1 / 256, 1 / 40, 1.0):  # contexts of up to three bytes are split, of up to two, none
+    for share in (1 / 256, 1 / 40, None):  # contexts of up to three bytes are split, of up to two, none
         got = score_texts(spark.createDataFrame(rows, SCHEMA).repartition(3), share=share).collect()
         a, b = sorted(want, key=lambda x: (str(x[0]), x[5])), sorted(map(tuple, got), key=lambda x: (str(x[0]), x[5]))
         assert [x[:5] for x in a] == [x[:5] for x in b]
