@@ -176,8 +176,9 @@ def merge_groups(rows: DataFrame, distance: float) -> DataFrame:
     its commonest (equal ones: the least), its place the mean of its rows.
     """
     from loxodrome.functions.text import display_line
+    from loxodrome.operators.records import with_row_index
 
-    base = cut(rows.groupBy("group").agg(F.mode("name", True).alias("name"), F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("id", F.dense_rank().over(Window.orderBy("group"))))
+    base = with_row_index(rows.groupBy("group").agg(F.mode("name", True).alias("name"), F.avg("x").alias("x"), F.avg("y").alias("y")), "group", name="id").withColumn("id", F.col("id") + 1)
     near = within_distance(base.select("id", "name", "x", "y"), base.select("id", "name", "x", "y"), distance).where("left_name = right_name AND left_id < right_id")
     joined = connected_components(near, "left_id", "right_id")
     merged = base.join(joined, base["id"] == joined["node"], "left").select("group", F.coalesce("component", "id").alias("merged"), F.col("name").alias("group_name"), "id")

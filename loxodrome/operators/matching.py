@@ -38,10 +38,17 @@ def comparison_view(source: str, records: DataFrame, *, source_id: Column, name:
     )
 
 
-def exact_name_distances(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs of one name that isn't empty, at any distance: a diagnostic, not a match."""
+def exact_name_distances(left: DataFrame, right: DataFrame, each: int = 1000) -> DataFrame:
+    """All pairs of one name that isn't empty, at any distance: a diagnostic, not a match.
+
+    The result holds every pair; a name of more than ``each`` records on the left
+    meets the right in as many tasks as it has thousands of them.
+    """
     a, b = (v.where("name_normalized <> ''").select(F.col("source_id").alias(f"{s}_id"), "name_normalized", F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y")) for v, s in ((left, "left"), (right, "right")))
-    return a.join(b, "name_normalized").select("left_id", "right_id", "name_normalized", F.hypot(F.col("left_x") - F.col("right_x"), F.col("left_y") - F.col("right_y")).alias("distance_m"))
+    spread = a.groupBy("name_normalized").agg(F.ceil(F.count("*") / each).cast("int").alias("_salts"))
+    a = a.join(spread, "name_normalized").withColumn("_salt", F.pmod(F.xxhash64("left_id"), "_salts").cast("int")).drop("_salts")
+    b = b.join(spread, "name_normalized").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return a.join(b, ["name_normalized", "_salt"]).select("left_id", "right_id", "name_normalized", F.hypot(F.col("left_x") - F.col("right_x"), F.col("left_y") - F.col("right_y")).alias("distance_m"))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, radius: float = 100.0, *, similarity: bool = True) -> DataFrame:

@@ -40,13 +40,16 @@ def count_cells(assigned: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(counts, ["ix", "iy"], "left").withColumn("poi_count", F.coalesce("poi_count", F.lit(0).cast("long"))).withColumn("density_per_km2", F.col("poi_count") / (F.col("area_m2") / 1e6))
 
 
-def level_table(assigned: DataFrame, cells: DataFrame, field: str) -> DataFrame:
-    """Every cell with every level seen (and the missing one): n, denominator, share."""
+def level_table(assigned: DataFrame, cells: DataFrame, field: str, most: int = 10_000) -> DataFrame:
+    """Every cell with every level seen (and the missing one): n, denominator, share; more than ``most`` levels are refused."""
     seen = assigned.select(field).union(assigned.sparkSession.range(1).select(F.lit(MISSING))).distinct()
     counts = assigned.groupBy("ix", "iy", field).agg(F.count("*").alias("n"))
     whole = assigned.groupBy("ix", "iy").agg(F.count("*").alias("denominator"))
     zero = F.lit(0).cast("long")
-    dense = cells.select("cell_id", "ix", "iy").crossJoin(F.broadcast(seen))  # levels of one field
+    levels = seen.agg(F.collect_set(field).alias("_levels"))  # one row
+    if seen.count() > most:
+        raise ValueError(f"{field} has more than {most} levels")
+    dense = cells.select("cell_id", "ix", "iy").join(F.broadcast(levels)).withColumn(field, F.explode("_levels")).drop("_levels")
     out = dense.join(counts, ["ix", "iy", field], "left").join(whole, ["ix", "iy"], "left")
     return out.select("cell_id", field, F.coalesce("n", zero).alias("n"), F.coalesce("denominator", zero).alias("denominator")).withColumn("share", share(F.col("n"), F.col("denominator")))
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from loxodrome.operators.records import with_row_index
 
 DENSITY, CONCENTRATION = "poi_density_per_km2", "peak_to_mean_density_250m"
 MODES = ("main", "standard", "density_only", "no_density", "no_concentration")
@@ -63,10 +64,9 @@ def rank_regions(profiles: DataFrame, regions: DataFrame, target: object, shares
     found = z.join(t).where(F.col("region_id") != target).select("region_id", *[v.alias(f"{k}_squared") for k, v in blocks.items()])
     total = F.col("density_squared") + F.col("composition_squared") + F.col("concentration_squared")
     found = found.select("region_id", F.sqrt(total).alias("distance"), *[f"{k}_squared" for k in blocks], *[F.try_divide(F.col(f"{k}_squared"), total).alias(f"{k}_contribution") for k in blocks])
-    every = Window.orderBy("distance", "region_id")
-    joined = found.join(overlap_audit(regions, target, width), "region_id").withColumn("audit_rank", F.row_number().over(every).cast("long"))
-    kept = F.sum((~F.col("excluded_from_main")).cast("long")).over(every.rowsBetween(Window.unboundedPreceding, 0))
-    return joined.withColumn("rank", F.when(~F.col("excluded_from_main"), kept))
+    joined = with_row_index(found.join(overlap_audit(regions, target, width), "region_id"), "distance", "region_id", name="audit_rank").withColumn("audit_rank", F.col("audit_rank") + 1)
+    kept = with_row_index(joined.where("NOT excluded_from_main").select("region_id", F.col("audit_rank").alias("_audit")), "_audit", name="rank")
+    return joined.join(kept.select("region_id", (F.col("rank") + 1).alias("rank")), "region_id", "left")
 
 
 def stability(profiles: DataFrame, regions: DataFrame, target: object, shares: Sequence[str], top: int = 10) -> DataFrame:

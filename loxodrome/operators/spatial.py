@@ -8,10 +8,14 @@ the number of close pairs, and AQE splits a crowded bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loxodrome.plans.lineage import cut
+
 
 def _bucket(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(float(size))).cast("long")
@@ -75,15 +79,27 @@ def least_total(queries: DataFrame, points: DataFrame, k: int, reach: float, cos
 def all_within_or_nearest(queries: DataFrame, points: DataFrame, radius: float, query_key: str = "id", point_key: str = "id") -> DataFrame:
     """All points within ``radius``; for a query without any, its single nearest point, however far.
 
-    The nearest is searched in rings that double until every query has one.
+    The nearest is searched in rings that grow fourfold, at most until they reach
+    across queries and points.  A query or point without finite coordinates has
+    no row.
     """
+    finite = F.lit(True)
+    for c in "xy":
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf"))
+    queries, points = cut(queries.where(finite)), cut(points.where(finite))
     near = within_distance(queries, points, radius, ("query_", "point_"))
-    left = queries.join(near.select(F.col(f"query_{query_key}").alias(query_key)).distinct(), query_key, "left_anti")
+    left = cut(queries.join(near.select(F.col(f"query_{query_key}").alias(query_key)).distinct(), query_key, "left_anti"))
+    box = queries.select("x", "y").union(points.select("x", "y")).agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]).first()
+    if points.isEmpty() or left.isEmpty():
+        return near
+    across = math.hypot(box["highx"] - box["lowx"], box["highy"] - box["lowy"])
     reach, out = 2.0 * radius, near
-    while not left.isEmpty() and not points.isEmpty():
-        found = nearest(left, points, 1, reach, query_key, point_key)
+    while not left.isEmpty():
+        found = cut(nearest(left, points, 1, reach, query_key, point_key))
         out = out.unionByName(found.drop("rank"))
-        left = left.join(found.select(F.col(f"query_{query_key}").alias(query_key)), query_key, "left_anti")
+        left = cut(left.join(found.select(F.col(f"query_{query_key}").alias(query_key)), query_key, "left_anti"))
+        if reach > across:
+            break
         reach *= 4
     return out
 

@@ -42,22 +42,51 @@ def cosine_parts(weights: DataFrame, a: object, b: object) -> DataFrame:
     return x.join(y, "term").select("term", (F.col("wa") * F.col("wb")).alias("part"))
 
 
-def shared_items(rows: DataFrame, region: str, item: str) -> DataFrame:
-    """Pairs of regions a < b with the number of items in both and their Jaccard."""
-    own = rows.select(F.col(region).alias("r"), F.col(item).alias("i")).distinct()
+def shared_items(rows: DataFrame, region: str, item: str, each: int = 1000) -> DataFrame:
+    """Pairs of regions a < b with the number of items in both and their Jaccard.
+
+    Each pair with a common item is in the result, so work is that of the result
+    and more for pairs with many.  An item of more than ``each`` regions meets
+    itself in as many tasks as it has thousands of them.
+    """
+    own = rows.select(F.col(region).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL").distinct()
     size = own.groupBy("r").agg(F.count("*").alias("n"))
-    both = own.select(F.col("r").alias("a"), "i").join(own.select(F.col("r").alias("b"), "i"), "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    spread = own.groupBy("i").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
+    salted = own.join(spread, "i")
+    left = salted.select(F.col("r").alias("a"), "i", F.pmod(F.xxhash64("r"), "salts").cast("int").alias("salt"))
+    right = salted.select(F.col("r").alias("b"), "i", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = left.join(right, ["i", "salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     joined = both.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     return joined.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
-def _gram(batches, names: list[str], width: int):  # noqa: ANN001, ANN202
-    total = np.zeros((width, width))
+def _sums(batches, names: list[str], shift: np.ndarray):  # noqa: ANN001, ANN202
+    width = len(names)
+    total = np.zeros((width + 1, width))
     for pdf in batches:
-        x = pdf[names].to_numpy(float)
-        total += x.T @ x
-    i, j = np.nonzero(total)
-    yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+        x = pdf[names].to_numpy(float) - shift
+        total[:width] += x.T @ x
+        total[width] += x.sum(axis=0)
+    i, j = np.indices(total.shape)
+    yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+
+def gram_matrix(dense: DataFrame, columns: Sequence[str], shift: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Products of all pairs of columns (less ``shift``), and their sums; columns squared numbers a task are added up."""
+    names, width = list(columns), len(columns)
+    shift = np.zeros(width) if shift is None else shift
+    found = dense.select(*names).mapInPandas(lambda it: _sums(it, names, shift), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    m = np.zeros((width + 1, width))
+    m[found.i, found.j] = found.v
+    return (m[:width] + m[:width].T) / 2, m[width]
+
+
+def _leading(m: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """First eigenvectors (as columns, their largest entry positive) and all eigenvalues, greatest first."""
+    values, vectors = np.linalg.eigh(m)
+    order = np.argsort(values)[::-1]
+    v = vectors[:, order[:dim]]
+    return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(dim)]), values[order]
 
 
 def singular_vectors(dense: DataFrame, columns: Sequence[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,17 +94,10 @@ def singular_vectors(dense: DataFrame, columns: Sequence[str], dim: int) -> tupl
 
     Signs: each vector's largest entry is positive.
     """
-    width = len(columns)
-    if not 1 <= dim < width:
+    if not 1 <= dim < len(columns):
         raise ValueError("dim must be at least 1 and below the number of columns")
-    gram = dense.select(*columns).mapInPandas(lambda it: _gram(it, list(columns), width), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    m = np.zeros((width, width))
-    m[gram.i, gram.j] = gram.v
-    values, vectors = np.linalg.eigh((m + m.T) / 2)
-    order = np.argsort(values)[::-1][:dim]
-    v = vectors[:, order]
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(dim)])
-    return v, np.sqrt(np.maximum(values[order], 0))
+    v, values = _leading(gram_matrix(dense, columns)[0], dim)
+    return v, np.sqrt(np.maximum(values[:dim], 0))
 
 
 def project(dense: DataFrame, columns: Sequence[str], vectors: np.ndarray, keep: Sequence[str], normalise: bool = True) -> DataFrame:
@@ -90,16 +112,13 @@ def project(dense: DataFrame, columns: Sequence[str], vectors: np.ndarray, keep:
 
 
 def principal_components(dense: DataFrame, columns: Sequence[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Loadings (as columns) and explained shares of the centred columns' covariance, from sums alone."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = dense.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    m = np.zeros((len(columns), len(columns)))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"c{i}_{j}"]
-    values, vectors = np.linalg.eigh(m)
-    order = np.argsort(values)[::-1][:dim]
-    v = vectors[:, order]
-    return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(dim)]), values[order] / values.sum()
+    """Loadings (as columns) and explained shares of the centred columns' covariance; columns squared numbers come to the driver."""
+    row = dense.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    if not row["n"]:
+        raise ValueError("no rows")
+    m, sums = gram_matrix(dense, columns, np.array([row[f"m{i}"] for i in range(len(columns))]))
+    v, values = _leading((m - np.outer(sums, sums) / row["n"]) / row["n"], dim)
+    return v, values[:dim] / values.sum()
 
 
 def vector_distance(a: Column, b: Column, metric: str = "cosine") -> Column:
@@ -114,36 +133,54 @@ def vector_distance(a: Column, b: Column, metric: str = "cosine") -> Column:
     raise ValueError("metric must be cosine or euclidean")
 
 
-def _tile_top(key, left, right, k: int, metric: str):  # noqa: ANN001, ANN202
-    """Of one tile pair, the k nearest of each query."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"query": [], "id": [], "distance": []}).astype({"query": "int64", "id": "int64", "distance": "float64"})
-    a, b = np.stack(left["v"].to_numpy()).astype(float), np.stack(right["v"].to_numpy()).astype(float)
+#: Rows of a tile, and of the part of it whose distances are held at once.
+_TILE, _PART = 8192, 256
+
+
+def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
-        n = [np.linalg.norm(x, axis=1) for x in (a, b)]
-        d = 1 - a @ b.T / np.where(np.outer(*n) > 0, np.outer(*n), np.nan)
-    else:
-        d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-    q, i = left["id"].to_numpy(), right["id"].to_numpy()
-    d[q[:, None] == i[None]] = np.inf
-    d = np.where(np.isnan(d), np.inf, d)
-    near = np.stack([np.lexsort((i, row))[:k] for row in np.round(d, 12)])
-    rows = np.arange(len(q))[:, None]
-    out = pd.DataFrame({"query": np.repeat(q, near.shape[1]), "id": i[near].ravel(), "distance": d[rows, near].ravel()})
-    return out[np.isfinite(out.distance)]
-
-
-def top_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine", tiles: int | None = None) -> DataFrame:
+        n = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+        return 1 - x @ y.T / np.where(n > 0, n, np.nan)
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def _tile_top(left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """Of one tile pair, the k nearest of each query."""
+    out = [pd.DataFrame({"query": [], "id": [], "distance": []}).astype({"query": "int64", "id": "int64", "distance": "float64"})]
+    if len(left) and len(right):
+        right = right.sort_values("id")
+        b, i = np.stack(right["v"].to_numpy()).astype(float), right["id"].to_numpy()
+        for at in range(0, len(left), _PART):
+            part = left.iloc[at : at + _PART]
+            q = part["id"].to_numpy()
+            d = _distances(np.stack(part["v"].to_numpy()).astype(float), b, metric)
+            d[(q[:, None] == i[None]) | np.isnan(d)] = np.inf
+            near = np.argsort(np.round(d, 12), axis=1, kind="stable")[:, :k]  # equal ones by id
+            found = pd.DataFrame({"query": np.repeat(q, near.shape[1]), "id": i[near].ravel(), "distance": np.take_along_axis(d, near, axis=1).ravel()})
+            out.append(found[np.isfinite(found.distance)])
+    return pd.concat(out)
+
+
+def _tiled(left: DataFrame, right: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt into tiles of about ``size`` rows, each tile of one copied to all of the other: columns ta, tb name the pair."""
+    counts = [max(1, -(-side.count() // size)) for side in (left, right)]
+    own = [F.pmod(F.xxhash64("id"), F.lit(n)).cast("int") for n in counts]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in counts]
+    return left.withColumn("ta", own[0]).withColumn("tb", every[1]), right.withColumn("tb", own[1]).withColumn("ta", every[0])
+
+
+def top_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine", tile: int = _TILE) -> DataFrame:
     """query, id, distance, rank: the k nearest other vectors, exactly; equal distances by id.
 
-    A stated query set meets all rows in tiles: each task multiplies two blocks
-    and returns k rows a query, so only tiles times k a query are shuffled.
+    A stated query set meets all rows tile by tile, each of at most about
+    ``tile`` rows whatever the table's size, and a tile pair returns k rows a
+    query.  Null vectors are neither asked for nor found.
     """
-    tiles = tiles or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"))
-    asked = rows.drop("t") if queries is None else queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    spread = asked.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    found = spread.groupBy("t").cogroup(rows.groupBy("t")).applyInPandas(lambda key, a, b: _tile_top(key, a, b, k, metric), "query long, id long, distance double")
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError("metric must be cosine or euclidean")
+    rows, asked = (df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")) for df in (vectors, queries if queries is not None else vectors))
+    left, right = _tiled(asked, rows, tile)
+    found = left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(lambda key, a, b: _tile_top(a, b, k, metric), "query long, id long, distance double")
     order = Window.partitionBy("query").orderBy(F.round("distance", 12), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -161,28 +198,29 @@ def ordered_labels(frame: DataFrame, label: str, value: str, key: str) -> DataFr
     return frame.join(named, label)
 
 
-def silhouettes(points: DataFrame, label: str, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def silhouettes(points: DataFrame, label: str, vector: str = "embedding", key: str = "vec_id", tile: int = _TILE) -> DataFrame:
     """key, label, silhouette by Euclidean distance, exactly; null for a cluster of one.
 
-    All pairs are needed by definition; sums per point and cluster are taken
-    tile by tile.
+    All pairs are needed by definition; sums per point and cluster are taken tile
+    pair by tile pair, each of at most about ``tile`` rows a side whatever the
+    table's size.
     """
-    tiles = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = points.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"))
-    spread = rows.drop("t").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    rows = points.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
 
     def sums(_, a, b):  # noqa: ANN001, ANN202
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "c": [], "other": [], "s": [], "n": []}).astype({"id": "int64", "c": "int64", "other": "int64", "s": "float64", "n": "int64"})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)) if len(x) * y.size < 4e7 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
-        out = []
-        for c in np.unique(b["c"]):
-            mask = (b["c"] == c).to_numpy()
-            out.append(pd.DataFrame({"id": a["id"], "c": a["c"], "other": c, "s": d[:, mask].sum(axis=1), "n": mask.sum()}))
+        out = [pd.DataFrame({"id": [], "c": [], "other": [], "s": [], "n": []}).astype({"id": "int64", "c": "int64", "other": "int64", "s": "float64", "n": "int64"})]
+        if len(a) and len(b):
+            clusters, of = np.unique(b["c"], return_inverse=True)
+            y, member = np.stack(b["v"].to_numpy()), np.eye(len(clusters))[of]
+            for at in range(0, len(a), _PART):
+                part = a.iloc[at : at + _PART]
+                s = _distances(np.stack(part["v"].to_numpy()), y, "euclidean") @ member
+                n = len(clusters)
+                out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), n), "c": np.repeat(part["c"].to_numpy(), n), "other": np.tile(clusters, len(part)), "s": s.ravel(), "n": np.tile(np.bincount(of), len(part))}))
         return pd.concat(out)
 
-    met = spread.groupBy("t").cogroup(rows.groupBy("t")).applyInPandas(sums, "id long, c long, other long, s double, n long")
+    left, right = _tiled(rows, rows, tile)
+    met = left.groupBy("ta", "tb").cogroup(right.groupBy("ta", "tb")).applyInPandas(sums, "id long, c long, other long, s double, n long")
     each = met.groupBy("id", "c", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own, near = F.max(F.when(F.col("c") == F.col("other"), F.try_divide("s", F.col("n") - 1))), F.min(F.when(F.col("c") != F.col("other"), F.col("s") / F.col("n")))
     one = each.groupBy("id", "c").agg(own.alias("a"), near.alias("b"))
@@ -207,59 +245,122 @@ def separation(points: DataFrame, label: str, columns: Sequence[str]) -> DataFra
 
 def kmeans(points: DataFrame, k: int, seeds: Sequence[int], vector: str = "features", max_iter: int = 500, tol: float = 1e-4) -> tuple[DataFrame, list[tuple[int, float]]]:
     """Labels of the seed with the least cost (column cluster), and each seed's cost."""
+    models = kmeans_models(points, [k], seeds, vector, max_iter, tol)
+    costs = [(seed, models[k, seed].summary.trainingCost) for seed in seeds]
+    return models[k, min(costs, key=lambda c: c[1])[0]].transform(points), costs
+
+
+def kmeans_models(points: DataFrame, ks: Sequence[int], seeds: Sequence[int], vector: str = "features", max_iter: int = 500, tol: float = 1e-4) -> dict:
+    """A model for each number of clusters and seed; fits run side by side, so their small jobs fill the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
 
     cached = points.persist()
-    best, costs = None, []
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster", maxIter=max_iter, tol=tol).fit(cached)
-        costs.append((seed, model.summary.trainingCost))
-        if best is None or costs[-1][1] < best[0]:
-            best = (costs[-1][1], model)
-    return best[1].transform(cached), costs
+    try:
+        cached.count()
+
+        def fit(kind: tuple[int, int]):  # noqa: ANN202
+            return KMeans(k=kind[0], seed=kind[1], featuresCol=vector, predictionCol="cluster", maxIter=max_iter, tol=tol).fit(cached)
+
+        kinds = [(k, seed) for k in ks for seed in seeds]
+        with ThreadPoolExecutor(8) as pool:
+            return dict(zip(kinds, pool.map(fit, kinds), strict=True))
+    finally:
+        cached.unpersist()
 
 
 def compare_k(points: DataFrame, ks: Sequence[int], seeds: Sequence[int], columns: Sequence[str], key: str, vector: str = "features") -> DataFrame:
-    """Per number of clusters: cost, mean silhouette, Calinski-Harabasz, Davies-Bouldin, least and greatest size, and least and mean adjusted Rand index of the seeds to the first."""
+    """Per number of clusters: cost, mean silhouette, Calinski-Harabasz, Davies-Bouldin, least and greatest size, least and mean adjusted Rand index of the seeds to the first, and that of Ward's labels to the best."""
     from loxodrome.operators.stats import adjusted_rand
     from loxodrome.plans.lineage import cut
 
+    models = kmeans_models(points.select(key, vector, *columns), ks, seeds, vector)
+    joined = cut(ward_labels(points, columns, ks, key))
     out = None
-    spread = points.select(key, vector, *columns, F.array(*columns).alias("_v"))
     for k in ks:
-        best, costs = kmeans(spread, k, seeds, vector)
-        best = cut(best.select(key, "_v", *columns, F.col("cluster").cast("long").alias("cluster")))
-        runs = [cut(kmeans(spread, k, [s], vector)[0].select(key, F.col("cluster").alias("c"))) for s in seeds]
-        rand = [adjusted_rand(runs[0].join(r.withColumnRenamed("c", "d"), key), "c", "d") for r in runs[1:]]
+        costs = {s: models[k, s].summary.trainingCost for s in seeds}
+        best = min(seeds, key=lambda s: costs[s])
+        runs = points.select(key, vector, *columns)
+        for i, s in enumerate(seeds):
+            runs = models[k, s].transform(runs).withColumn(f"s{i}", F.col("cluster").cast("long")).drop("cluster")
+        runs = cut(runs.drop(vector).join(joined.select(key, F.col(f"ward_{k}").alias("ward")), key).withColumn("cluster", F.col(f"s{list(seeds).index(best)}")))
         agree = None
-        for r in rand:
-            agree = r if agree is None else agree.union(r)
-        one = separation(best, "cluster", columns).join(silhouettes(best, "cluster", "_v", key).agg(F.avg("silhouette").alias("silhouette")))
-        one = one.join(best.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest")))
-        one = one.join(agree.agg(F.min("adjusted_rand").alias("rand_min"), F.avg("adjusted_rand").alias("rand_mean"))) if agree is not None else one.withColumns({"rand_min": F.lit(1.0), "rand_mean": F.lit(1.0)})
-        one = one.select(F.lit(k).alias("k"), F.lit(min(c for _, c in costs)).alias("cost"), "*")  # one row
-        out = one if out is None else out.union(one)
+        for i in range(1, len(seeds)):
+            one = adjusted_rand(runs, "s0", f"s{i}")
+            agree = one if agree is None else agree.union(one)
+        row = separation(runs, "cluster", columns).join(silhouettes(runs.withColumn("_v", F.array(*columns)), "cluster", "_v", key).agg(F.avg("silhouette").alias("silhouette")))
+        row = row.join(runs.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest")))
+        row = row.join(adjusted_rand(runs, "cluster", "ward").withColumnRenamed("adjusted_rand", "ward_rand"))
+        row = row.join(agree.agg(F.min("adjusted_rand").alias("rand_min"), F.avg("adjusted_rand").alias("rand_mean"))) if agree is not None else row.withColumns({"rand_min": F.lit(1.0), "rand_mean": F.lit(1.0)})
+        row = row.select(F.lit(k).alias("k"), F.lit(min(costs.values())).alias("cost"), "*")  # one row
+        out = row if out is None else out.union(row)
     return out
 
 
-def ward(points: pd.DataFrame, columns: Sequence[str], k: int) -> np.ndarray:
-    """Labels 0 to k-1 of Ward's agglomeration; for one bounded group, inside applyInPandas."""
-    x = points[list(columns)].to_numpy(float)
+def ward(x: np.ndarray, ks: Sequence[int]) -> dict[int, np.ndarray]:
+    """Labels 0 to k-1 of Ward's agglomeration for each k, numbered by first row.
+
+    Follows chains of nearest neighbours over the clusters' means, so it holds the
+    rows and no matrix of their distances; merges are then put in order of height.
+    """
     n = len(x)
-    size, alive, label = np.ones(n), np.ones(n, bool), np.arange(n)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) / 2
-    np.fill_diagonal(d, np.inf)
-    for _ in range(n - k):
-        i, j = np.unravel_index(np.argmin(np.where(alive[:, None] & alive[None], d, np.inf)), d.shape)
-        i, j = sorted((int(i), int(j)))
-        total = size[i] + size[j] + size
-        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / total
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
+    mean, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    merges, path = [], []
+    for _ in range(n - 1):
+        if not path:
+            path.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            i = path[-1]
+            away = mean - mean[i]
+            d = np.einsum("ij,ij->i", away, away) * size * size[i] / (size + size[i])
+            d[~alive] = np.inf
+            d[i] = np.inf
+            j = int(d.argmin())
+            if len(path) > 1 and d[path[-2]] <= d[j]:
+                j = path[-2]
+                break
+            path.append(j)
+        height, path = float(d[j]), path[:-2]
+        i, j = sorted((i, j))
+        merges.append((height, i, j))
+        mean[i] = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
         size[i] += size[j]
         alive[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+    return {k: _cut_tree(n, sorted(merges, key=lambda m: m[0])[: max(0, n - k)]) for k in ks}
+
+
+def _cut_tree(n: int, merges: list[tuple[float, int, int]]) -> np.ndarray:
+    parent = np.arange(n)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for _, i, j in merges:
+        a, b = sorted((root(i), root(j)))
+        parent[b] = a
+    return np.unique([root(i) for i in range(n)], return_inverse=True)[1]
+
+
+def ward_labels(points: DataFrame, columns: Sequence[str], ks: Sequence[int], key: str, most: int = 50_000) -> DataFrame:
+    """key and ward_k for each k, of all rows in order of key.
+
+    Agglomeration needs all rows together, so they go to one task; more than
+    ``most`` are refused, not sampled.
+    """
+    if points.count() > most:
+        raise ValueError(f"Ward's agglomeration takes at most {most} rows")
+    names = list(columns)
+
+    def labels(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        found = ward(pdf[names].to_numpy(float), [min(k, len(pdf)) for k in ks])
+        return pd.DataFrame({key: pdf[key], **{f"ward_{k}": found[min(k, len(pdf))] for k in ks}})
+
+    return points.select(key, *names, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(labels, f"{key} {dict(points.dtypes)[key]}, " + ", ".join(f"ward_{k} long" for k in ks))
 
 
 def best_alignment(frame: DataFrame, base: str, current: str, k: int = 3) -> dict[int, int]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loxodrome.functions import crs, shapes
+from loxodrome.functions.categories import display_group, known
 from loxodrome.operators import graph, records, regions, similarity, spatial, territory, vectors
 from loxodrome.plans.inputs import GROUPS, SQL, lonlat, pois, stations, table
 from loxodrome.plans.queries_regions import profiles
@@ -20,11 +21,11 @@ def row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_row_index(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), "o_totalprice", "o_orderkey").select("o_orderkey", "row_index")
 
 
-@query(f"""WITH {SQL}, b AS (SELECT id AS k, x - 150 AS w, x + 150 AS e, y - 100 AS s, y + 100 AS n FROM station WHERE id % 7 = 0), d AS (SELECT p.id, CASE WHEN x BETWEEN w AND e AND y BETWEEN s AND n THEN least(x - w, e - x, y - s, n - y) ELSE sqrt(pow(greatest(w - x, 0, x - e), 2) + pow(greatest(s - y, 0, y - n), 2)) END AS d FROM poi p, b)
+@query(f"""WITH {SQL}, b AS (SELECT id AS k, x - 150 AS w, x + 150 AS e, y - 100 AS s, y + 100 AS n FROM station), d AS (SELECT p.id, CASE WHEN x BETWEEN w AND e AND y BETWEEN s AND n THEN least(x - w, e - x, y - s, n - y) ELSE sqrt(pow(greatest(w - x, 0, x - e), 2) + pow(greatest(s - y, 0, y - n), 2)) END AS d FROM poi p, b)
 SELECT p.id, round(CASE WHEN min(d) <= 120 THEN min(d) END, 6) AS boundary_m FROM poi p LEFT JOIN d USING (id) GROUP BY p.id""")
 def boundary_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.struct((F.col("x") - 150).alias("west"), (F.col("y") - 100).alias("south"), (F.col("x") + 150).alias("east"), (F.col("y") + 100).alias("north"))
-    polygons = stations(spark, sf_dir).where("id % 7 = 0").select(F.col("id").alias("polygon_id"), shapes.box_ring(box).alias("ring"))
+    polygons = stations(spark, sf_dir).select(F.col("id").alias("polygon_id"), shapes.box_ring(box).alias("ring"))
     return rounded(records.boundary_distance(pois(spark, sf_dir).select("id", "x", "y"), polygons, 120).select("id", "boundary_m"))
 
 
@@ -61,11 +62,12 @@ def similarity_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_number_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three to eight clusters, ten seeds each, over all dimensions, against Ward's."""
     from pyspark.ml.feature import VectorAssembler
 
-    names = [f"d{i}" for i in range(4)]
+    names = [f"d{i}" for i in range(64)]
     rows = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return vectors.compare_k(VectorAssembler(inputCols=names, outputCol="features").transform(rows), (3, 4), (1, 2), names, "vec_id")
+    return vectors.compare_k(VectorAssembler(inputCols=names, outputCol="features").transform(rows), range(3, 9), range(10), names, "vec_id")
 
 
 @query()
@@ -74,23 +76,26 @@ def territory_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = pois(spark, sf_dir).select(F.col("id").alias("node_id"), "x", "y")
     close = spatial.within_distance(nodes.withColumnRenamed("node_id", "id"), nodes.withColumnRenamed("node_id", "id"), 120).where("left_id < right_id")
     edges = close.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"), F.col("distance_m").alias("length_m"), F.xxhash64("left_id", "right_id").alias("edge_id"))
-    sources = nodes.where("node_id % 100 = 7").select(F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.col("node_id").alias("owner"))
+    snapped = spatial.nearest(stations(spark, sf_dir), nodes, 1, 300, "id", "node_id")
+    sources = snapped.select(F.col("point_node_id").alias("node"), F.col("distance_m").alias("dist"), F.col("query_id").alias("owner"))
     owners = graph.nearest_owners(edges, sources, F.floor(F.col("node") / 256))
     known = nodes.join(owners.withColumnRenamed("node", "node_id"), "node_id")
     cells = territory.raster(territory.densify(edges.where("length_m > 0"), known, 60.0), -2000.0, -2000.0, 40, 40, 100.0, 300.0)
     return rounded(territory.owner_stats(cells, 10_000.0, 300.0))
 
 
-@query(f"WITH {SQL} SELECT category, category_group, count(*) AS n FROM (SELECT CASE WHEN category IS NULL THEN '__MISSING__' ELSE category END AS category, category_group FROM poi) GROUP BY ALL")
+@query(f"""WITH {SQL} SELECT CASE WHEN category IS NULL THEN '__MISSING__' WHEN category IN ('BUILDING', 'HOUSEHOLD') THEN 'home' WHEN category = 'AUTOMOBILE' THEN 'road' ELSE '__OTHER__' END AS shown, coalesce(category, '__MISSING__') AS category, count(*) AS n FROM poi GROUP BY ALL""")
 def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loxodrome.functions.categories import known
+    shown = display_group(F.col("category"), {"home": ["BUILDING", "HOUSEHOLD"], "road": ["AUTOMOBILE"]})
+    return pois(spark, sf_dir).groupBy(shown.alias("shown"), known(F.col("category")).alias("category")).agg(F.count("*").alias("n"))
 
-    return pois(spark, sf_dir).groupBy(known(F.col("category")).alias("category"), "category_group").agg(F.count("*").alias("n"))
 
-
-@query("SELECT '' AS cell_id, CAST(0 AS BIGINT) AS denominator, CAST(0 AS BIGINT) AS s WHERE false")
+@query(f"""WITH {SQL}, p AS (SELECT least(CAST(floor(x / 500) AS BIGINT), 3) AS ix, least(CAST(floor(y / 500) AS BIGINT), 3) AS iy FROM poi)
+SELECT '500:' || ix || ':' || iy AS cell_id, count(*) AS denominator, count(*) AS s, true AS conserved FROM p GROUP BY ix, iy
+UNION ALL SELECT '500:' || a.i || ':' || b.i, 0, 0, true FROM range(-4, 4) a(i), range(-4, 4) b(i) WHERE NOT EXISTS (SELECT 1 FROM p WHERE ix = a.i AND iy = b.i)""")
 def level_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells whose levels don't add up to their count; always empty."""
+    """Of every cell: its points, the sum over its levels, and whether they agree."""
     cells = regions.grid(spark, (-2000.0, -2000.0), (2000.0, 2000.0), 500)
     levels = regions.level_table(regions.assign(pois(spark, sf_dir), (-2000.0, -2000.0), (2000.0, 2000.0), 500), cells, "category_group")
-    return levels.groupBy("cell_id", "denominator").agg(F.sum("n").alias("s")).where("s <> denominator")
+    sums = levels.groupBy("cell_id", "denominator").agg(F.sum("n").alias("s"))
+    return sums.withColumn("conserved", F.col("s") == F.col("denominator"))

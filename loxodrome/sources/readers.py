@@ -166,15 +166,35 @@ def relation_ways(relations: DataFrame, lines: DataFrame, key: str = "id") -> Da
     return sums.select(key, *[F.when(F.col("known") == F.col("n"), F.col(c)).alias(c) for c in ("outer", "inner")])
 
 
-@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-def wkb_point(blobs: pd.Series) -> pd.DataFrame:
-    """x and y of WKB points; null for null and for other shapes."""
-    rows = []
-    for b in blobs:
-        order = "<" if b is not None and len(b) >= 21 and b[0] == 1 else ">"
-        ok = b is not None and len(b) >= 21 and struct.unpack(order + "I", b[1:5])[0] & 0xFF == 1
-        rows.append(struct.unpack(order + "dd", b[-16:] if len(b) == 21 else b[len(b) - 16 :]) if ok else (None, None))
-    return pd.DataFrame(rows, columns=["x", "y"], dtype="float64")
+def _unsigned(blob: Column, little: Column, at: int, bytes_: int) -> Column:
+    """The bytes from ``at`` (from 1) as hexadecimal digits, most significant first."""
+    part = F.hex(F.substring(blob, at, bytes_))
+    turned = F.concat(*[F.substring(part, 2 * i + 1, 2) for i in reversed(range(bytes_))])
+    return F.when(little, turned).otherwise(part)
+
+
+def _float(digits: Column) -> Column:
+    """A double from its 16 hexadecimal digits; null if it is no finite number."""
+    head = F.conv(F.substring(digits, 1, 3), 16, 10).cast("int")
+    sign, exponent = F.when(head >= 2048, -1.0).otherwise(1.0), head % 2048
+    fraction = F.conv(F.substring(digits, 4, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    normal = sign * (1 + fraction) * F.pow(F.lit(2.0), exponent - 1023)
+    return F.when(exponent == 2047, None).when(exponent == 0, sign * fraction * F.pow(F.lit(2.0), F.lit(-1022))).otherwise(normal)
+
+
+def wkb_point(blob: Column | str) -> Column:
+    """Struct of x and y of WKB and EWKB points, with or without Z, M and SRID; both are null for null, for other shapes and for cut or empty ones."""
+    blob = F.col(blob) if isinstance(blob, str) else blob
+    little = F.hex(F.substring(blob, 1, 1)) == F.lit("01")
+    kind = F.conv(_unsigned(blob, little, 2, 4), 16, 10).cast("long")
+    flags = F.floor(kind / (1 << 29)).cast("long")  # Z 4, M 2, SRID 1
+    plain = kind % (1 << 29)
+    axes = 2 + F.when(flags.bitwiseAND(F.lit(4)) != 0, 1).otherwise(0) + F.when(flags.bitwiseAND(F.lit(2)) != 0, 1).otherwise(0) + F.when(plain.isin(1001, 2001), 1).when(plain == 3001, 2).otherwise(0)
+    named = flags.bitwiseAND(F.lit(1)) != 0
+    good = plain.isin(1, 1001, 2001, 3001) & (F.octet_length(blob) == 5 + F.when(named, 4).otherwise(0) + 8 * axes)
+    x, y = (F.when(named, _float(_unsigned(blob, little, at + 4, 8))).otherwise(_float(_unsigned(blob, little, at, 8))) for at in (6, 14))
+    whole = good & x.isNotNull() & y.isNotNull()
+    return F.struct(F.when(whole, x).alias("x"), F.when(whole, y).alias("y"))
 
 
 @F.pandas_udf(T.BinaryType())

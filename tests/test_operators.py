@@ -234,6 +234,65 @@ def test_singular_vectors(spark):
     assert np.allclose(np.linalg.norm(got, axis=1), 1)
 
 
+def plain_ward(x, k):
+    """Merging the pair whose union raises the sum of squares least, by brute force."""
+    groups = [[i] for i in range(len(x))]
+
+    def rise(a, b):
+        return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+
+    while len(groups) > k:
+        i, j = min(((i, j) for i in range(len(groups)) for j in range(i)), key=lambda p: rise(groups[p[0]], groups[p[1]]))
+        groups[j] += groups.pop(i)
+    return {frozenset(g) for g in groups}
+
+
+def test_ward_matches_brute_force(spark):
+    x = np.random.default_rng(3).normal(size=(45, 3))
+    for k, labels in vectors.ward(x, [1, 2, 5, 9, 45]).items():
+        assert {frozenset(np.flatnonzero(labels == c)) for c in set(labels)} == plain_ward(x, k)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(45)))
+    got = {r.id: (r.ward_2, r.ward_5) for r in vectors.ward_labels(df, list("abc"), [2, 5], "id").collect()}
+    assert {frozenset(i for i in got if got[i][1] == c) for c in range(5)} == plain_ward(x, 5)
+    with pytest.raises(ValueError):
+        vectors.ward_labels(df, list("abc"), [2], "id", most=44)
+
+
+def test_neighbours_and_silhouettes_do_not_depend_on_tiles(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(70, 4))
+    x[10] = x[11]
+    x[20] = 0
+    df = spark.createDataFrame([(i, [float(v) for v in row], i % 3) for i, row in enumerate(x)] + [(99, None, 0)], "vec_id long, embedding array<double>, label int")
+    for metric in ("cosine", "euclidean"):
+        got = [sorted((a.query, a["rank"], a.id) for a in vectors.top_neighbours(df, 3, df.where("vec_id % 5 = 0"), metric=metric, tile=t).collect()) for t in (7, 1000)]
+        assert got[0] == got[1] and len(got[0]) >= 39
+    known = df.where("embedding IS NOT NULL")
+    a, b = ({s.vec_id: s.silhouette for s in vectors.silhouettes(known, "label", tile=t).collect()} for t in (9, 1000))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_shared_items_and_names_are_split(spark):
+    r = random.Random(3)
+    rows = {(r.randrange(40), r.choice(["hot", f"i{r.randrange(30)}"])) for _ in range(500)}
+    df = spark.createDataFrame([*rows, (None, "hot"), (1, None)], "r long, i string")
+    got = {(x.a, x.b): (x.shared, x.jaccard) for x in vectors.shared_items(df, "r", "i", each=5).collect()}
+    items = {a: {i for b, i in rows if b == a} for a, _ in rows}
+    want = {(a, b): (len(items[a] & items[b]), len(items[a] & items[b]) / len(items[a] | items[b])) for a in items for b in items if a < b and items[a] & items[b]}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    view = spark.createDataFrame([(f"s{i}", "same" if i % 3 else f"n{i}", float(i), 0.0) for i in range(30)], "source_id string, name_normalized string, x double, y double")
+    assert matching.exact_name_distances(view, view, each=4).count() == 20 * 20 + 10
+
+
+def test_nearest_of_all_ends_with_null_coordinates(spark):
+    schema = "id long, x double, y double"
+    queries = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 5.0), (3, float("nan"), 0.0), (4, 9000.0, 9000.0)], schema)
+    points = spark.createDataFrame([(10, 1.0, 0.0), (11, 2.0, None), (12, 300.0, 0.0)], schema)
+    got = sorted((r.query_id, r.point_id) for r in spatial.all_within_or_nearest(queries, points, 5.0).collect())
+    assert got == [(1, 10), (4, 12)]
+    assert spatial.all_within_or_nearest(queries, points.limit(0), 5.0).collect() == []
+
+
 def test_independent_subset(spark):
     r = random.Random(9)
     data = [(i, r.uniform(0, 6000), r.uniform(0, 6000)) for i in range(80)]
@@ -247,7 +306,7 @@ def test_independent_subset(spark):
 
 def test_ward_and_alignment(spark):
     x = np.concatenate([np.random.default_rng(1).normal(c, 0.1, (12, 2)) for c in (0, 5, 9)])
-    labels = vectors.ward(pd.DataFrame(x, columns=["a", "b"]), ["a", "b"], 3)
+    labels = vectors.ward(x, [3])[3]
     assert [len(set(labels[i : i + 12])) for i in (0, 12, 24)] == [1, 1, 1] and len(set(labels)) == 3
     df = spark.createDataFrame([(1, 2)] * 5 + [(2, 3)] * 4 + [(3, 1)] * 3 + [(1, 1)], "a long, b long")
     assert vectors.best_alignment(df, "a", "b") == {2: 1, 3: 2, 1: 3}

@@ -63,6 +63,20 @@ def test_wkb(spark):
     assert tuple(big.select(readers.wkb_point("w")).first()[0]) == (3.0, 4.0)
 
 
+def test_wkb_kinds(spark):
+    values = [0.0, -0.0, 1e-310, -1.7976931348623157e308, 139.5812345678901, 5e-324, 3.0]
+    plain = [(struct.pack("<BIdd", 1, 1, v, -v), (v, -v)) for v in values]
+    kinds = [
+        (struct.pack("<BIddd", 1, 0x80000001, 10.0, 20.0, 30.0), (10.0, 20.0)), (struct.pack(">BIddd", 0, 1001, 10.0, 20.0, 30.0), (10.0, 20.0)), (struct.pack("<BIIdd", 1, 0x20000001, 4326, 7.0, 8.0), (7.0, 8.0)),
+        (struct.pack("<BIIdddd", 1, 0xE0000001, 4326, 7.0, 8.0, 9.0, 1.0), (7.0, 8.0)), (struct.pack("<BIdddd", 1, 3001, 7.0, 8.0, 9.0, 1.0), (7.0, 8.0)), (struct.pack("<BII", 1, 2, 0), None),
+        (struct.pack("<BIdd", 1, 1, float("nan"), float("nan")), None), (struct.pack("<BId", 1, 1, 1.0), None), (b"", None), (None, None),
+    ]
+    given = [*plain, *kinds]
+    df = spark.createDataFrame([(i, bytearray(w) if w is not None else None) for i, (w, _) in enumerate(given)], "i long, w binary")
+    got = {r.i: tuple(r.p) for r in df.select("i", readers.wkb_point("w").alias("p")).collect()}
+    assert [got[i] for i in range(len(given))] == [p or (None, None) for _, p in given]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(2, "b", None), (1, "a", 0.5)], "id long, n string, v double")
     writers.write_csv(df, str(tmp_path / "c"), "id")
