@@ -13,7 +13,10 @@ Tiles are cut inside buckets, so that work follows the number of classes:
   nine buckets (about 35 equal bits).  No link is missed.
 * wider: buckets of equal minimum hash of the shingles under each of
   ``keys`` permutations.  Texts whose shingle sets overlap by a share s miss
-  each other with probability (1-s)**keys (below 3e-6 for 0.8 and 8).
+  each other with probability (1-s)**keys (below 3e-6 for 0.8 and 8).  A bucket
+  of more than ``split`` rows, as a very common shingle makes it, is cut into
+  buckets of two equal minima, so that it holds like texts; a pair whose only
+  common minimum is of such a bucket is missed too (below 9e-5).
 
 With ``share`` (two whole numbers, a fraction) fingerprints only name candidates:
 a link also needs that the sets of shingles overlap by that share (Jaccard, of
@@ -26,7 +29,9 @@ A task returns a spanning forest of its links, never all pairs.
 
 Defined results: null text counts as empty; no words give fingerprint zero and
 no minimum, so such texts are one class; a null id is kept as a row and is never
-a component's name, which is null if no id is known; repeated rows stay rows.
+a component's name, which is null if no id is known; ids may be of any type that
+has an order; repeated rows stay rows; an empty table gives an empty one.  A text
+of any length is sketched whole, by one task.
 """
 
 from __future__ import annotations
@@ -111,13 +116,13 @@ def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: i
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, keys: int = 0, sets: bool = False) -> DataFrame:
     """_id, _key, print (array of ``words`` longs), least (minimum hashes), n_shingles, _set (a hash of the set of shingles, if ``sets``) of each row."""
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), row_key(id_col, text_col).alias("_key"))
-    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys, sets=sets), "_id long, _key long, print array<long>, least array<long>, n_shingles long, _set long")
+    plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), row_key(id_col, text_col).alias("_key"))
+    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys, sets=sets), f"_id {dict(docs.dtypes)[id_col]}, _key long, print array<long>, least array<long>, n_shingles long, _set long")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows of one id apart."""
-    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
 
 def _bands(print_: Column) -> Column:
@@ -299,15 +304,27 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
+def _finer(met: DataFrame) -> DataFrame:
+    """Buckets of one equal minimum, cut into those of two: for each other key, rows whose minimum under it is equal too."""
+    other = F.filter(F.transform("least", lambda x, i: F.struct((1000 + F.col("no") * 1000 + i).alias("no"), F.xxhash64("bits", x).alias("bits"))), lambda _, i: i != F.col("no"))
+    same = F.array(F.struct(F.col("no").alias("no"), F.col("bits").alias("bits")))
+    cut_ = met.withColumn("k", F.explode(F.when(F.size("least") > 1, other).otherwise(same))).select("cls", "print", "k.no", "k.bits")
+    return cut_.join(cut_.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1"), ["no", "bits"])
+
+
 def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame:
     """cls, print, no, bits, pair, side of the classes in each bucket, by pairs of tiles if it is large."""
-    buckets = _bands(F.col("print")) if words == 1 and radius <= 2 else F.transform("least", lambda x, i: F.struct(i.alias("no"), x.alias("bits")))
-    keyed = classes.select("cls", "print", F.explode(buckets).alias("k")).select("cls", "print", "k.no", "k.bits")
+    banded = words == 1 and radius <= 2
+    buckets = _bands(F.col("print")) if banded else F.transform("least", lambda x, i: F.struct(i.alias("no"), x.alias("bits")))
+    keyed = classes.select("cls", "print", "least", F.explode(buckets).alias("k")).select("cls", "print", "least", "k.no", "k.bits")
     size = keyed.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(size, ["no", "bits"])
+    if not banded:
+        met = met.where(F.col("n") <= split).drop("least").unionByName(_finer(met.where(F.col("n") > split).drop("n")))
     tiles = F.when(F.col("n") > split, F.ceil(F.col("n") / split).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.col("t")).cast("int")
     return (
-        keyed.join(size, ["no", "bits"]).withColumn("t", tiles)
+        met.withColumn("t", tiles)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("t") - 1), F.array(F.lit(-1)))))
         .withColumn("pair", F.coalesce(F.least("own", "other") * F.col("t") + F.greatest("own", "other"), F.lit(-1)))
@@ -361,7 +378,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         texts = docs.select(row_key(id_col, text_col).alias("_key"), F.col(f"`{text_col}`").alias("_text"))
         linked = checked_classes(classes, texts, size=size, words=words, radius=radius, share=share)
     else:
-        linked = near_classes(classes.select("cls", "print", "least"), words=words, radius=radius)
+        # Rows of one wide fingerprint may have different shingles, and lie in all of their buckets.
+        shown = rows.select("print", "_set", "least").distinct().withColumn("cls", name) if keys else classes
+        linked = near_classes(shown.select("cls", "print", "least"), words=words, radius=radius)
     joined = classes.select("cls", "print", "_set", "least_id").join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = joined.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = joined.join(named, "component").select("print", "_set", "component", "component_id")
@@ -373,7 +392,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = near_groups(docs, id_col=id_col, text_col=text_col, **given)
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_key")).alias("x")
     stay = found.groupBy("component").agg(first).select(F.col("x._key").alias("_key"), F.col("x.id").alias("_stay"))
-    keyed = docs.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"), F.col(f"`{id_col}`").cast("long").alias("_own"))
+    keyed = docs.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"), F.col(f"`{id_col}`").alias("_own"))
     kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & keyed["_own"].eqNullSafe(stay["_stay"]), "left_semi")
     again = F.row_number().over(Window.partitionBy("_key", "_own").orderBy(F.col("_row")[text_col]))
     return kept.withColumn("_again", again).where("_again = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

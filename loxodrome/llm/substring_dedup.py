@@ -19,7 +19,9 @@ block (see ``blocks``).
 Defined results: null text counts as no words and is kept as null; a null id
 is greater than any other and rows with the same id never remove each other's
 words; repeated rows are handled each on its own and get the same result;
-texts of fewer than ``window`` words lose nothing; other columns pass through.
+texts of fewer than ``window`` words lose nothing; other columns pass through;
+an empty table gives an empty one; ids are whole numbers (others are refused).  A
+text of any length is handled whole, by one task.
 """
 
 from __future__ import annotations
@@ -169,6 +171,8 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if not 1 <= seed <= window:
         raise ValueError("seed must be between 1 and window")
     others = [c for c in docs.columns if c not in (id_col, text_col, *OUT)]
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError("ids must be whole numbers")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
     blocks, buckets = B.deal(plain, "_text")
     blocked = B.into_blocks(plain, blocks, "_id", "_text")

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from loxodrome.llm.substring_dedup import dedup_substrings
 
 from .helpers import SCHEMA, corpus, words
@@ -41,3 +43,8 @@ def test_spans_and_other_columns(spark):
 
 def test_empty_table(spark):
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(ValueError):
+        dedup_substrings(spark.createDataFrame([("a", "x y")], "doc_id string, text string"))

@@ -108,6 +108,34 @@ def test_links_need_the_share(spark, monkeypatch):
     assert len({x.component_id for x in near_groups(docs, **given).collect()}) < len(set(want.values()))
 
 
+def test_a_large_bucket_of_one_minimum_is_cut(spark):
+    """All texts share one minimum, and pairs their others; the cut buckets link the same ones."""
+    r = random.Random(9)
+    rows = []
+    for i in range(30):
+        own = [r.randrange(1 << 60) for _ in range(7)]
+        bits = [r.randrange(-(1 << 63), 1 << 63) for _ in range(4)]
+        rows += [(2 * i, bits, [5, *own]), (2 * i + 1, [bits[0] ^ 6, *bits[1:]], [5, *own[:-1], 7 + i])]
+    classes = spark.createDataFrame(rows, "cls long, print array<long>, least array<long>")
+    whole, cut_ = ({(x.node, x.component) for x in simhash.near_classes(classes, words=4, radius=48, split=n).collect()} for n in (16384, 8))
+    assert whole == cut_ == {(i, i - i % 2) for i in range(60)}
+
+
+def test_rows_of_one_print_keep_all_their_buckets(spark, monkeypatch):
+    """Rows of one fingerprint but different shingles: each one's buckets count."""
+    sketch = [(1, 1, [0, 0, 0, 0], [1, 1], 9, 0), (2, 2, [0, 0, 0, 0], [2, 2], 9, 0), (3, 3, [1, 0, 0, 0], [2, 9], 9, 0), (4, 4, [2, 0, 0, 0], [1, 8], 9, 0)]
+    frame = spark.createDataFrame(sketch, "_id long, _key long, print array<long>, least array<long>, n_shingles long, _set long")
+    monkeypatch.setattr(simhash, "sketches", lambda *_, **__: frame)
+    found = near_groups(spark.createDataFrame([], SCHEMA), words=4, radius=8, keys=2).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_ids_of_text(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([("b", text), ("a", text), (None, "other words here")], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in near_groups(docs).collect()} == {("a", "a"), ("b", "a"), (None, None)}
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
