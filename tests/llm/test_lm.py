@@ -213,7 +213,7 @@ def test_a_model_without_texts_and_ids_of_text(spark):
 
 def test_the_filter_holds_all_it_was_given(spark):
     keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    rows = spark.createDataFrame([(2 + i % 2, int(k)) for i, k in enumerate(keys.view(np.int64))], "order int, key long")
+    rows = spark.createDataFrame([(2 + i % 2, int(k)) for i, k in enumerate(keys.view(np.int64))], "words int, key long")
     body = quality_classifier.known_filter(rows)
     assert quality_classifier._passes(body, keys).all()
     assert quality_classifier._passes(body, keys + np.uint64(12345)).mean() < 0.1
