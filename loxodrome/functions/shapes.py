@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,3 +111,106 @@ def mgrs(lon: Column, lat: Column, zone: int, precision: int = 2) -> Column:
     digits = [F.lpad(F.floor(v % 100_000 / size).cast("string"), precision, "0") for v in (x, y)] if precision else []
     fits = (F.floor((lon + 180) / 6) + 1 == zone) & (lat >= 0) & (lat < 72)
     return F.when(fits, F.concat(F.lit(f"{zone:02d}"), band, column, row, *digits))
+
+
+def closed(ring: Column) -> Column:
+    """The ring with its first point at its end, once."""
+    first, last = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
+    return F.when((F.size(ring) == 0) | ((first["x"] == last["x"]) & (first["y"] == last["y"])), ring).otherwise(F.concat(ring, F.array(first)))
+
+
+def _cut_side(ring: Column, axis: str, bound: Column, sign: int) -> Column:
+    """The part of a closed ring on one side of a line along an axis."""
+    other = "y" if axis == "x" else "x"
+
+    def kept(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        da, db = (a[axis] - bound) * sign, (b[axis] - bound) * sign
+        t = F.try_divide(da, da - db)
+        at = F.struct(*[(bound if c == axis else a[other] + t * (b[other] - a[other])).cast("double").alias(c) for c in "xy"])
+        start = F.struct(a["x"].cast("double").alias("x"), a["y"].cast("double").alias("y"))
+        both = F.array(F.when(da >= 0, start), F.when(((da > 0) & (db < 0)) | ((da < 0) & (db > 0)), at))
+        return F.filter(both, lambda p: p.isNotNull())
+
+    return let(F.flatten(F.transform(segments(ring), kept)), closed)
+
+
+def clip_to_box(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """A closed ring cut to a box, one side after another; its area is that of the common part, whatever the ring's shape."""
+
+    def cut(axis: str, bound: Column, sign: int) -> Callable[[Column], Column]:
+        return lambda r: _cut_side(r, axis, bound, sign)
+
+    out = closed(ring)
+    for axis, bound, sign in (("x", west, 1), ("x", east, -1), ("y", south, 1), ("y", north, -1)):
+        out = let(out, cut(axis, bound, sign))
+    return out
+
+
+def boundary_gap(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point to the nearest side of a closed ring."""
+
+    def gap(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        t = F.coalesce(F.try_divide((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(x - e["a"]["x"] - t * dx, y - e["a"]["y"] - t * dy)
+
+    return F.array_min(F.transform(segments(ring), gap))
+
+
+def assemble_rings(lines: Column) -> Column:
+    """Closed rings from an array of lines that meet at their ends, in either direction; null if any line is left over or a ring stays open.
+
+    Lines are taken in order: a ring begins with the first one left, and grows by
+    the first one left that begins or ends where it ends.
+    """
+
+    def same(a: Column, b: Column) -> Column:
+        return (a["x"] == b["x"]) & (a["y"] == b["y"])
+
+    def first(line: Column) -> Column:
+        return F.try_element_at(line, F.lit(1))
+
+    def last(line: Column) -> Column:
+        return F.try_element_at(line, F.lit(-1))
+
+    point = "array<struct<x:double,y:double>>"
+    plain = F.transform(lines, lambda line: F.transform(line, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))))
+    start = F.struct(F.array().cast(f"array<{point}>").alias("done"), F.array().cast(point).alias("now"), plain.alias("left"), F.lit(True).alias("good"))
+
+    def step(state: Column, _: Column) -> Column:
+        now, left = state["now"], state["left"]
+        whole = (F.size(now) >= 4) & F.coalesce(same(first(now), last(now)), F.lit(False))
+        fresh = whole | (F.size(now) == 0)
+        place = F.array_position(F.transform(left, lambda line: F.coalesce(same(first(line), last(now)) | same(last(line), last(now)), F.lit(False))), F.lit(True)).cast("int")
+        taken = F.try_element_at(left, F.when(fresh, F.lit(1)).otherwise(F.greatest(place, F.lit(1))))
+        turned = F.when(F.coalesce(same(first(taken), last(now)), F.lit(False)), taken).otherwise(F.reverse(taken))
+        longer = F.concat(now, F.slice(turned, F.lit(2), F.greatest(F.size(turned) - 1, F.lit(0))))
+        none = F.array().cast(point)
+        lost = ~fresh & (place == 0)
+        return F.struct(
+            F.when(whole, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"),
+            F.when(lost, none).when(fresh, F.coalesce(taken, none)).otherwise(longer).alias("now"),
+            F.when(lost, left).otherwise(F.filter(left, lambda _, i: i != F.when(fresh, 0).otherwise(place - 1))).alias("left"),
+            (state["good"] & ~lost).alias("good"),
+        )
+
+    ended = F.aggregate(F.sequence(F.lit(0), 2 * F.size(lines)), start, step)
+    return let(ended, lambda e: F.when(e["good"] & (F.size(e["left"]) == 0) & (F.size(e["now"]) == 0), e["done"]))
+
+
+def in_rings(x: Column, y: Column, outer: Column, inner: Column) -> Column:
+    """Inside an outer ring and outside all inner ones."""
+    from loxodrome.operators.spatial import in_ring
+
+    return F.exists(outer, lambda r: in_ring(x, y, r)) & ~F.exists(inner, lambda r: in_ring(x, y, r))
+
+
+def rings_area(outer: Column, inner: Column) -> Column:
+    from loxodrome.operators.spatial import ring_area
+
+    def total(rings: Column) -> Column:
+        return F.aggregate(rings, F.lit(0.0), lambda s, r: s + F.abs(ring_area(r)))
+
+    return total(outer) - total(inner)

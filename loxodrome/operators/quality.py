@@ -69,3 +69,13 @@ def first_reason(df: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:
     for name, c in reasons.items():
         chain = F.when(c, name) if chain is None else chain.when(c, name)
     return df.withColumn("reason", chain)
+
+
+def redacted(message: str, secrets: Sequence[str]) -> str:
+    """A message without secrets: each, and its percent-encoded form, is replaced; longer ones first, so none leaves a part behind."""
+    from urllib.parse import quote
+
+    known = {form for s in secrets if s for form in (s, quote(s, safe=""))}
+    for form in sorted(known, key=lambda x: (-len(x), x)):
+        message = message.replace(form, "[redacted]")
+    return message

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from loxodrome.functions.categories import MISSING, OTHER
 from loxodrome.functions.grid import cell_index, clamp, clipped, share
-from loxodrome.operators.spatial import covered_by_squares
+from loxodrome.functions.shapes import boundary_gap, clip_to_box
+from loxodrome.operators.spatial import covered_by_squares, in_ring, ring_area
 
 
 def grid(spark: SparkSession, low: tuple[float, float], high: tuple[float, float], size: float) -> DataFrame:
@@ -40,6 +41,49 @@ def count_cells(assigned: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(counts, ["ix", "iy"], "left").withColumn("poi_count", F.coalesce("poi_count", F.lit(0).cast("long"))).withColumn("density_per_km2", F.col("poi_count") / (F.col("area_m2") / 1e6))
 
 
+def _bounds() -> dict[str, Column]:
+    """_lowx, _highx, _lowy, _highy of the column ring."""
+    values = {"x": F.transform("ring", lambda p: p["x"]), "y": F.transform("ring", lambda p: p["y"])}
+    return {f"_{n}{c}": f(v) for c, v in values.items() for n, f in (("low", F.array_min), ("high", F.array_max))}
+
+
+def polygon_grid(areas: DataFrame, size: float, key: str = "area_id") -> DataFrame:
+    """Cells ix, iy on lines through the origin that share a positive area with each polygon (column ring): key, cell_id, area_m2 of the common part, partial_cell."""
+    bounds = _bounds()
+    spans = {i: F.sequence(F.floor(F.col(f"_low{c}") / size).cast("long"), (F.ceil(F.col(f"_high{c}") / size) - 1).cast("long")) for i, c in (("ix", "x"), ("iy", "y"))}
+    each = areas.withColumns(bounds).withColumn("ix", F.explode(spans["ix"])).withColumn("iy", F.explode(spans["iy"]))
+    west, south = F.col("ix") * F.lit(float(size)), F.col("iy") * F.lit(float(size))
+    cells = each.withColumn("area_m2", F.abs(ring_area(clip_to_box(F.col("ring"), west, south, west + F.lit(float(size)), south + F.lit(float(size))))))
+    named = F.concat_ws(":", F.lit(f"{size:g}"), F.col("ix").cast("string"), F.col("iy").cast("string"))
+    return cells.where("area_m2 > 1e-9").select(key, named.alias("cell_id"), "ix", "iy", "area_m2", (F.col("area_m2") < F.lit(size * size - 1e-6)).alias("partial_cell"))
+
+
+def assign_to_polygons(points: DataFrame, areas: DataFrame, cells: DataFrame, size: float, key: str = "area_id", point_key: str = "id", edge: float = 1e-6) -> DataFrame:
+    """key, point, cell_id of each point in each polygon, its edges included.
+
+    Inner lines go east and north.  A point whose own cell shares no area with the
+    polygon, as on its outer edge, goes to the first cell (by iy, ix) that touches
+    it and does.
+    """
+    bounds = _bounds()
+    near = F.array(F.lit(0), F.lit(-1), F.lit(1))
+    spread = areas.withColumns(bounds)
+    for i, c in (("_bx", "x"), ("_by", "y")):
+        spread = spread.withColumn(i, F.explode(F.sequence(F.floor((F.col(f"_low{c}") - edge) / size).cast("long"), F.floor((F.col(f"_high{c}") + edge) / size).cast("long"))))
+    placed = points.select(F.col(point_key).alias("point"), "x", "y", cell_index(F.col("x"), size).alias("_bx"), cell_index(F.col("y"), size).alias("_by"))
+    met = placed.join(spread.select(key, "ring", "_bx", "_by"), ["_bx", "_by"])
+    inside = met.where(in_ring(F.col("x"), F.col("y"), F.col("ring")) | (boundary_gap(F.col("x"), F.col("y"), F.col("ring")) <= edge)).drop("ring")
+    around = inside.withColumn("ix", F.explode(F.transform(near, lambda d: F.col("_bx") + d))).withColumn("iy", F.explode(F.transform(near, lambda d: F.col("_by") + d)))
+    touch = F.lit(True)
+    for i, c in (("ix", "x"), ("iy", "y")):
+        low = F.col(i) * F.lit(float(size))
+        touch = touch & F.col(c).between(low - edge, low + F.lit(float(size)) + edge)
+    found = around.where(touch).join(cells.select(key, "cell_id", "ix", "iy"), [key, "ix", "iy"])
+    own = (F.col("ix") == F.col("_bx")) & (F.col("iy") == F.col("_by"))
+    best = F.min(F.struct((~own).alias("other"), "iy", "ix", "cell_id")).alias("b")
+    return found.groupBy(key, "point").agg(best).select(key, "point", F.col("b.cell_id").alias("cell_id"))
+
+
 def level_table(assigned: DataFrame, cells: DataFrame, field: str, most: int = 10_000) -> DataFrame:
     """Every cell with every level seen (and the missing one): n, denominator, share; more than ``most`` levels are refused."""
     seen = assigned.select(field).union(assigned.sparkSession.range(1).select(F.lit(MISSING))).distinct()

@@ -142,7 +142,8 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Signed area of a closed ring; positive if it runs counter-clockwise."""
-    pairs = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
+    sides = F.greatest(F.size(ring) - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice(ring, F.lit(1), sides).alias("a"), F.slice(ring, F.lit(2), sides).alias("b"))
     return F.aggregate(pairs, F.lit(0.0), lambda s, e: s + (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2
 
 

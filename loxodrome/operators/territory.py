@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loxodrome.operators.spatial import least_total
+from loxodrome.functions.shapes import clip_to_box
+from loxodrome.operators.spatial import least_total, ring_area
 
 
 def densify(edges: DataFrame, nodes: DataFrame, step: float) -> DataFrame:
@@ -75,7 +74,7 @@ def by_category(points: DataFrame, cells: DataFrame, x0: float, y0: float, cell:
 
 
 def clip_ring(ring: np.ndarray, low: tuple[float, float], high: tuple[float, float]) -> float:
-    """Area of a polygon inside a box, one side of the box after another."""
+    """Area of a polygon inside a box, one side of the box after another; for outlines that come out of Python already."""
     for axis in (0, 1):
         for bound, sign in ((low[axis], 1.0), (high[axis], -1.0)):
             if not len(ring):
@@ -93,7 +92,23 @@ def clip_ring(ring: np.ndarray, low: tuple[float, float], high: tuple[float, flo
     return abs(float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum())) / 2 if len(ring) else 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def clipped_area(xs: pd.Series, ys: pd.Series, west: pd.Series, south: pd.Series, east: pd.Series, north: pd.Series) -> pd.Series:
-    """Area of a ring (two arrays, closed or not) inside a box."""
-    return pd.Series([clip_ring(np.column_stack([x, y]).astype(float), (w, s), (e, n)) for x, y, w, s, e, n in zip(xs, ys, west, south, east, north, strict=True)], dtype="float64")
+def clipped_area(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Area of a ring (closed or not) inside a box."""
+    return F.abs(ring_area(clip_to_box(ring, west, south, east, north)))
+
+
+def to_arrays(cells: DataFrame, ny: int, nx: int, most: int = 100_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """A raster's distances (NaN where undefined) and owners (-1 for none) as arrays on the driver; more than ``most`` cells are refused."""
+    if ny * nx > most:
+        raise ValueError(f"a raster of more than {most} cells")
+    table = cells.where(F.col("row").between(0, ny - 1) & F.col("col").between(0, nx - 1)).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("dist").cast("double"), F.coalesce(F.col("owner").cast("long"), F.lit(-1)).alias("owner")).toArrow()
+    at = table["row"].to_numpy() * nx + table["col"].to_numpy()
+    dist, owner = np.full(ny * nx, np.nan), np.full(ny * nx, -1, np.int64)
+    dist[at], owner[at] = table["dist"].to_numpy(), table["owner"].to_numpy()
+    return dist.reshape(ny, nx), owner.reshape(ny, nx)
+
+
+def write_arrays(path: str, **arrays: np.ndarray) -> None:
+    """Arrays as one compressed NPZ file of the driver; an existing file is an error."""
+    with open(path, "xb") as out:
+        np.savez_compressed(out, **arrays)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loxodrome.functions.shapes import assemble_rings
 from loxodrome.operators.quality import QualityError, require_columns
 
 GEOJSON = "struct<type:string,features:array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
@@ -166,6 +167,13 @@ def relation_ways(relations: DataFrame, lines: DataFrame, key: str = "id") -> Da
     return sums.select(key, *[F.when(F.col("known") == F.col("n"), F.col(c)).alias(c) for c in ("outer", "inner")])
 
 
+def relation_polygons(members: DataFrame, key: str = "id") -> DataFrame:
+    """key, outer, inner: closed rings of what ``relation_ways`` returns; both null where a way is missing or a ring stays open."""
+    rings = members.select(key, *[assemble_rings(F.col(c)).alias(c) for c in ("outer", "inner")])
+    whole = F.col("outer").isNotNull() & F.col("inner").isNotNull() & (F.size("outer") > 0)
+    return rings.select(key, *[F.when(whole, F.col(c)).alias(c) for c in ("outer", "inner")])
+
+
 def _unsigned(blob: Column, little: Column, at: int, bytes_: int) -> Column:
     """The bytes from ``at`` (from 1) as hexadecimal digits, most significant first."""
     part = F.hex(F.substring(blob, at, bytes_))

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from loxodrome.functions import shapes
 from loxodrome.operators import categories, graph, matching, quality, regions, similarity, spatial, stats, territory, vectors
 
 
@@ -212,7 +213,7 @@ def test_allocation_conserves(spark):
 
 def test_clipped_area(spark):
     df = spark.createDataFrame([([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0], 1.0), ([0.0, 2.0, 0.0], [0.0, 0.0, 2.0], 2.0), ([9.0, 10.0, 9.0], [9.0, 9.0, 10.0], 0.0)], "xs array<double>, ys array<double>, want double")
-    got = df.select(territory.clipped_area("xs", "ys", F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("a"), "want").collect()
+    got = df.select(territory.clipped_area(F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y")), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("a"), "want").collect()
     assert [r.a for r in got] == [1.0, 1.0, 0.0]
 
 
@@ -310,3 +311,37 @@ def test_ward_and_alignment(spark):
     assert [len(set(labels[i : i + 12])) for i in (0, 12, 24)] == [1, 1, 1] and len(set(labels)) == 3
     df = spark.createDataFrame([(1, 2)] * 5 + [(2, 3)] * 4 + [(3, 1)] * 3 + [(1, 1)], "a long, b long")
     assert vectors.best_alignment(df, "a", "b") == {2: 1, 3: 2, 1: 3}
+
+
+def test_rings_are_assembled_in_any_direction(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0), (0.0, 0.0)]
+    cases = [
+        ([ring[:3], ring[2:]], [ring]), ([ring[:3], ring[2:][::-1]], [ring]), ([ring, [(9.0, 9.0), (10.0, 9.0)], [(9.0, 9.0), (9.0, 10.0), (10.0, 9.0)]], [ring, [(9.0, 9.0), (10.0, 9.0), (9.0, 10.0), (9.0, 9.0)]]),
+        ([ring[:3]], None), ([ring, ring[:2]], None), ([], []), ([ring[:2], ring[3:], ring[1:4]], [ring]),
+    ]
+    df = spark.createDataFrame([(i, [[{"x": x, "y": y} for x, y in line] for line in lines]) for i, (lines, _) in enumerate(cases)], "i int, lines array<array<struct<x:double,y:double>>>")
+    got = {r.i: r.r and [[tuple(p) for p in ring] for ring in r.r] for r in df.select("i", shapes.assemble_rings(F.col("lines")).alias("r")).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert (got[i] is None) == (want is None)
+        assert want is None or [(len(r), set(r), r[0] == r[-1]) for r in got[i] or []] == [(len(r), set(r), True) for r in want]
+
+
+def test_polygon_edges_belong_to_it(spark):
+    ring = [{"x": float(x), "y": float(y)} for x, y in [(0, 0), (20, 0), (20, 10), (0, 10), (0, 0)]]
+    areas = spark.createDataFrame([(1, ring)], "area_id long, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 20.0, 10.0), (2, 20.0, 5.0), (3, 10.0, 5.0), (4, 0.0, 0.0), (5, 20.1, 5.0), (6, 10.0, 10.0)], "id long, x double, y double")
+    cells = regions.polygon_grid(areas, 10)
+    assert sorted((r.cell_id, r.area_m2, r.partial_cell) for r in cells.collect()) == [("10:0:0", 100.0, False), ("10:1:0", 100.0, False)]
+    got = {r.point: r.cell_id for r in regions.assign_to_polygons(points, areas, cells, 10).collect()}
+    assert got == {1: "10:1:0", 2: "10:1:0", 3: "10:1:0", 4: "10:0:0", 6: "10:0:0"}
+
+
+def test_arrays_and_redaction(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 0, 1.5, 7), (1, 1, None, None), (0, 1, 2.5, 8), (9, 9, 1.0, 1)], "row long, col long, dist double, owner long")
+    dist, owner = territory.to_arrays(cells, 2, 2)
+    assert owner.tolist() == [[7, 8], [-1, -1]] and dist[0].tolist() == [1.5, 2.5] and np.isnan(dist[1]).all()
+    territory.write_arrays(str(tmp_path / "a.npz"), owner=owner)
+    assert np.load(tmp_path / "a.npz")["owner"].tolist() == owner.tolist()
+    with pytest.raises(FileExistsError):
+        territory.write_arrays(str(tmp_path / "a.npz"), owner=owner)
+    assert quality.redacted("at http://x/?k=a%2Fb&t=a/b%20 abc", ["a/b", "", "abc"]) == "at http://x/?k=[redacted]&t=[redacted]%20 [redacted]"
