@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from loxodrome.llm.fingerprints import fingerprints
+from loxodrome.llm.fingerprints import compare_edits, fingerprints
 from loxodrome.llm.license_scan import scan_licenses
 from loxodrome.llm.lm_scoring import score_texts
 from loxodrome.llm.mixing import mix
 from loxodrome.llm.packing import pack_documents
+from loxodrome.llm.quality_classifier import classify
 from loxodrome.llm.quality_rules import quality_rules
 from loxodrome.llm.simhash import near_groups, one_of_each
 from loxodrome.llm.substring_dedup import dedup_substrings
@@ -25,5 +26,5 @@ def test_clashing_names(spark):
         passed = [n for n in NAMES if n in made.columns]
         assert rows and len(set(made.columns)) == len(made.columns) and {r.doc_id for r in rows} == {1, 2}
         assert all(r[n] == f"own {n}" for r in rows for n in passed if n not in ("kept", "n_words", "copies", "bits", "target"))
-    assert near_groups(docs).count() == scan_licenses(docs).count() == score_texts(docs).count() == 3
+    assert near_groups(docs).count() == scan_licenses(docs).count() == score_texts(docs).count() == compare_edits(docs).count() == classify(docs, docs.select("doc_id")).count() == 3
     assert pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).count() >= 3
