@@ -74,12 +74,14 @@ def nearest_owners(edges: DataFrame, sources: DataFrame, block: Column | None =
     """node, dist, owner: the least network distance from any source (node, dist, owner), and whose it is; equal distances take the smaller owner.
 
     Nodes lie in blocks (``block`` is an expression of the column node; near nodes
-    should share one).  Each round settles every block's new labels with a heap
+    should share one); without it they are dealt by hash, into blocks of about
+    250,000 edges at most.  Each round settles every block's new labels with a heap
     and offers the rest to its neighbours, so rounds follow the number of block
     borders on the longest path, not its edges.  Nodes out of reach have no row.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("node"), F.lit(parts)) if block is None else block
+    if block is None:
+        parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // 250_000))
+        block = F.pmod(F.xxhash64("node"), F.lit(parts))
     both = edges.select("u", "v", F.col("length_m").cast("double").alias("w")).union(edges.select("v", "u", F.col("length_m").cast("double")))
     for k in "uv":
         both = both.withColumn("node", F.col(k)).withColumn(f"{k}b", block.cast("long")).drop("node")

@@ -79,7 +79,10 @@ def edges_of_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_of_ways(ways, lone.select(key.alias("node_id"), (key % 97).cast("double").alias("x"), (key % 89).cast("double").alias("y"))).select("u", "v", "way_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SQL}, b AS (SELECT CAST(id % 60 AS VARCHAR) AS g, 'S' || (id % 6) AS name, avg(x) AS x, avg(y) AS y FROM station GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY g) AS i FROM b),
+l AS (SELECT a.i AS a, c.i AS b FROM n a JOIN n c ON a.i <> c.i AND a.name = c.name AND sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)) <= 600),
+r(node, comp) USING KEY (node) AS (SELECT i, i FROM n UNION SELECT c.node, min(c.label) FROM (SELECT l.b AS node, r.comp AS label FROM r JOIN l ON l.a = r.node) c LEFT JOIN recurring.r o ON o.node = c.node WHERE c.label < o.comp GROUP BY c.node)
+SELECT string_agg(DISTINCT g, '|' ORDER BY g) AS key, min_by(n.name, i) AS name, round(avg(s.x), 3) AS x, round(avg(s.y), 3) AS y, CAST(count(*) AS INTEGER) AS members FROM r JOIN n ON n.i = r.node JOIN station s ON CAST(s.id % 60 AS VARCHAR) = n.g GROUP BY comp""")
 def merge_station_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier groups of one name that chain within 600 m."""
     k = F.col("id")
