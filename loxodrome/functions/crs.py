@@ -163,3 +163,47 @@ def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, ro
 
     u1, u2 = reduced(lat1), reduced(lat2)
     return let(fields(s1=F.sin(u1), c1=F.cos(u1), s2=F.sin(u2), c2=F.cos(u2), big=F.radians(lon2 - lon1)), distance)
+
+
+def geodesic_point(lon: Column, lat: Column, azimuth: Column, distance: Column, rounds: int = 8) -> Column:
+    """Struct (lon, lat) of the point at a distance along a geodesic that leaves by an azimuth (degrees from north): Vincenty's direct solution on WGS84, a fixed number of rounds."""
+    a, inverse = WGS84
+    f = 1 / inverse
+    b = a * (1 - f)
+
+    def fields(**columns: Column) -> Column:
+        return F.struct(*[c.alias(name) for name, c in columns.items()])
+
+    def from_start(p: Column) -> Column:
+        sin_u, cos_u, sin_az, cos_az = p["su"], p["cu"], p["sz"], p["cz"]
+
+        def along(v: Column) -> Column:
+            first = distance / (F.lit(b) * v["a"])
+
+            def step(sigma: Column, _: Column) -> Column:
+                def better(m: Column) -> Column:
+                    s, c = F.sin(sigma), F.cos(sigma)
+                    return first + v["b"] * s * (m + v["b"] / 4 * (c * (-1 + 2 * m * m) - v["b"] / 6 * m * (-3 + 4 * s * s) * (-3 + 4 * m * m)))
+
+                return let(F.cos(2 * v["sigma1"] + sigma), better)
+
+            def end(x: Column) -> Column:
+                s, c, m = x["s"], x["c"], x["m"]
+                across = sin_u * s - cos_u * c * cos_az
+                lat2 = F.atan2(sin_u * c + cos_u * s * cos_az, F.lit(1 - f) * F.hypot(v["sa"], across))
+                lam = F.atan2(s * sin_az, cos_u * c - sin_u * s * cos_az)
+                k = F.lit(f / 16) * v["ca2"] * (4 + F.lit(f) * (4 - 3 * v["ca2"]))
+                turned = let(k, lambda k: lam - (1 - k) * F.lit(f) * v["sa"] * (x["sigma"] + k * s * (m + k * c * (-1 + 2 * m * m))))
+                return fields(lon=lon + F.degrees(turned), lat=F.degrees(lat2))
+
+            settled = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
+            return let(settled, lambda sigma: let(fields(sigma=sigma, s=F.sin(sigma), c=F.cos(sigma), m=F.cos(2 * v["sigma1"] + sigma)), end))
+
+        def series(w: Column) -> Column:
+            u2 = w["ca2"] * F.lit((a * a - b * b) / (b * b))
+            return let(u2, lambda u2: fields(a=1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))), b=u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))), sigma1=F.atan2(sin_u, cos_u * cos_az), sa=w["sa"], ca2=w["ca2"]))
+
+        return let(let(cos_u * sin_az, lambda sa: fields(sa=sa, ca2=1 - sa * sa)), lambda w: let(series(w), along))
+
+    u, z = F.atan(F.lit(1 - f) * F.tan(F.radians(lat))), F.radians(azimuth)
+    return let(fields(su=F.sin(u), cu=F.cos(u), sz=F.sin(z), cz=F.cos(z)), from_start)

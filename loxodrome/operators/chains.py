@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loxodrome.functions.crs import geodesic_distance, geodesic_point
 from loxodrome.operators import matching
 from loxodrome.operators.stats import presence
 from loxodrome.plans.lineage import cut
@@ -133,3 +134,23 @@ def compare_providers(views: dict[str, DataFrame], radius: float = 100.0, auto_d
         a, b, c = names
         out["triples"] = matching.three_way(accepted[a, b], accepted[a, c], accepted[b, c])
     return out
+
+
+def distance_errors(points: DataFrame, trips: Sequence[tuple[str, float, float]], planes: dict[str, object], key: str = "id") -> DataFrame:
+    """key, point, crs, geodesic_m, projected_m, error_m, error_pct: how far each plane misjudges the way to points at known azimuths and distances.
+
+    ``points`` have lon and lat; ``trips`` are (name, azimuth, distance); ``planes``
+    give x and y of a lon and a lat.
+    """
+    goals = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(float(z)).alias("azimuth"), F.lit(float(d)).alias("distance")) for n, z, d in trips])
+    each = points.select(key, "lon", "lat", F.explode(goals).alias("g"))
+    each = each.withColumn("to", geodesic_point(F.col("lon"), F.col("lat"), F.col("g.azimuth"), F.col("g.distance")))
+    each = each.withColumn("geodesic_m", geodesic_distance(F.col("lon"), F.col("lat"), F.col("to.lon"), F.col("to.lat")))
+
+    def measured(plane) -> Column:  # noqa: ANN001
+        (x, y), (u, v) = plane(F.col("lon"), F.col("lat")), plane(F.col("to.lon"), F.col("to.lat"))
+        return F.hypot(u - x, v - y)
+
+    found = each.select(key, F.col("g.point").alias("point"), "geodesic_m", F.explode(F.array(*[F.struct(F.lit(n).alias("crs"), measured(p).alias("projected_m")) for n, p in planes.items()])).alias("m"))
+    error = F.col("m.projected_m") - F.col("geodesic_m")
+    return found.select(key, "point", "m.crs", "geodesic_m", "m.projected_m", error.alias("error_m"), (100 * error / F.col("geodesic_m")).alias("error_pct"))

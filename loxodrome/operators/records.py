@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +18,26 @@ from loxodrome.operators.territory import clip_ring
 from loxodrome.plans.lineage import cut
 
 
-def with_row_index(df: DataFrame, *keys: str, name: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, *keys: str, name: str = "row_index", counted: Mapping[str, Column] | None = None) -> DataFrame:
     """``df`` with numbers 0, 1, ... in order of the keys, without bringing all rows together.
 
-    Rows are range-partitioned and numbered within a part; the parts' sizes, one
-    line each, give where a part begins.
+    ``counted`` adds columns with the number of rows, up to and with this one, that
+    meet a condition.  Rows are range-partitioned and numbered within a part; the
+    parts' sizes, one line each, give where a part begins.
     """
+    counted = counted or {}
+    marks = {f"_c{i}": c.cast("long") for i, c in enumerate(counted.values())}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))  # one line a part
-    numbered = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1)
-    return numbered.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin") + F.col("_i")).drop("_part", "_begin", "_i")
+    placed = cut(df.withColumns(marks).repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in marks])
+    before = Window.orderBy("_part")  # one line a part
+    begins = sizes.select("_part", *[(F.sum(c).over(before) - F.col(c)).alias(f"_begin{c}") for c in ("_n", *marks)])
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumns({"_i": F.row_number().over(inside) - 1, **{f"_r{c}": F.sum(c).over(upto) for c in marks}})
+    joined = numbered.join(F.broadcast(begins), "_part").withColumn(name, F.col("_begin_n") + F.col("_i"))
+    joined = joined.withColumns({n: F.col(f"_begin{c}") + F.col(f"_r{c}") for n, c in zip(counted, marks, strict=True)})
+    return joined.drop("_part", "_begin_n", "_i", *[x for c in marks for x in (c, f"_begin{c}", f"_r{c}")])
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

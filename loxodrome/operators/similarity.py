@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loxodrome.operators.records import with_row_index
+from loxodrome.plans.lineage import cut
 
 DENSITY, CONCENTRATION = "poi_density_per_km2", "peak_to_mean_density_250m"
 MODES = ("main", "standard", "density_only", "no_density", "no_concentration")
@@ -64,13 +65,13 @@ def rank_regions(profiles: DataFrame, regions: DataFrame, target: object, shares
     found = z.join(t).where(F.col("region_id") != target).select("region_id", *[v.alias(f"{k}_squared") for k, v in blocks.items()])
     total = F.col("density_squared") + F.col("composition_squared") + F.col("concentration_squared")
     found = found.select("region_id", F.sqrt(total).alias("distance"), *[f"{k}_squared" for k in blocks], *[F.try_divide(F.col(f"{k}_squared"), total).alias(f"{k}_contribution") for k in blocks])
-    joined = with_row_index(found.join(overlap_audit(regions, target, width), "region_id"), "distance", "region_id", name="audit_rank").withColumn("audit_rank", F.col("audit_rank") + 1)
-    kept = with_row_index(joined.where("NOT excluded_from_main").select("region_id", F.col("audit_rank").alias("_audit")), "_audit", name="rank")
-    return joined.join(kept.select("region_id", (F.col("rank") + 1).alias("rank")), "region_id", "left")
+    placed = with_row_index(found.join(overlap_audit(regions, target, width), "region_id"), "distance", "region_id", name="audit_rank", counted={"rank": ~F.col("excluded_from_main")})
+    return placed.withColumns({"audit_rank": F.col("audit_rank") + 1, "rank": F.when(~F.col("excluded_from_main"), F.col("rank"))})
 
 
 def stability(profiles: DataFrame, regions: DataFrame, target: object, shares: Sequence[str], top: int = 10) -> DataFrame:
     """Per mode: how many of the first ``top`` it shares with the main mode, their Jaccard, candidates."""
+    profiles, regions = cut(profiles), cut(regions)
     ranked = {m: rank_regions(profiles, regions, target, shares, m).where("rank IS NOT NULL").select("region_id", "rank") for m in MODES}
     main = ranked["main"].where(F.col("rank") <= top).select("region_id", F.lit(True).alias("_main"))
     out = None

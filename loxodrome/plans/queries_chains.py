@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loxodrome.functions import shapes
+from loxodrome.functions import crs, shapes
 from loxodrome.functions import text as X
 from loxodrome.operators import categories, chains, graph, matching, records, regions
 from loxodrome.operators.spatial import in_ring, points_in_polygons
-from loxodrome.plans.inputs import SQL, pois, stations, table
+from loxodrome.plans.inputs import SQL, lonlat, pois, stations, table
 from loxodrome.plans.registry import Registry, rounded
 from loxodrome.sources import readers
 
@@ -245,3 +245,13 @@ def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "key")
     return records.one_to_one(rows.select("key", F.col("c_acctbal").alias("balance")), rows.select("key", F.upper("c_mktsegment").alias("segment")), "key")
+
+
+_TRIPS = [("north100", 0.0, 100.0), ("east500", 90.0, 500.0), ("northeast500", 45.0, 500.0), ("south1000", 180.0, 1000.0)]
+
+
+@query(f"""WITH {SQL}, t AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {d})" for n, _, d in _TRIPS)}) x(point, m)) SELECT id, point, crs, round(CAST(m AS DOUBLE), 4) AS geodesic_m, crs = 'plane' AS close FROM poi, t, (SELECT unnest(['plane', 'mercator']) AS crs)""")
+def distance_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way to points at known distances, by the ellipsoid, in the plane of the zone (right to a part in 5,000) and in web Mercator (which isn't)."""
+    found = chains.distance_errors(lonlat(pois(spark, sf_dir)), _TRIPS, {"plane": crs.JAPAN_9.forward, "mercator": crs.web_mercator})
+    return found.select("id", "point", "crs", F.round("geodesic_m", 4).alias("geodesic_m"), (F.abs("error_pct") < 0.02).alias("close"))

@@ -224,11 +224,13 @@ _LOGGED = ("poi_density_per_km2", "peak_to_mean_density_250m")
 _V = ", ".join(f"{'ln(1 + ' + f + ')' if f in _LOGGED else f} AS {f}" for f in _F)
 
 
-def _ranking_sql(standard: bool, target: int = 7) -> str:
+def _ranking_sql(standard: bool, target: int = 7, off: tuple[int, ...] = ()) -> str:
     center, scale = (("avg({f})", "stddev_pop({f})") if standard else ("quantile_cont({f}, 0.5)", "quantile_cont({f}, 0.75) - quantile_cont({f}, 0.25)"))
     sq = {f: f"pow((v.{f} - t.{f}) / p.s{i}, 2)" for i, f in enumerate(_F)}
+    blocks = [sq[_F[0]], f"({' + '.join(sq[f] for f in _F[1:-1])}) / {len(GROUPS)}", sq[_F[-1]]]
+    b0, b1, b2 = ("0.0::DOUBLE" if i in off else b for i, b in enumerate(blocks))
     return f"""WITH {SQL}, {_PROFILE}, v AS (SELECT region_id, {_V} FROM profile WHERE poi_count > 0), p AS (SELECT {', '.join(f'{scale.format(f=f)} AS s{i}' for i, f in enumerate(_F))} FROM v), t AS (SELECT * FROM v WHERE region_id = {target}),
-    d AS (SELECT v.region_id, {sq[_F[0]]} AS b0, ({' + '.join(sq[f] for f in _F[1:-1])}) / {len(GROUPS)} AS b1, {sq[_F[-1]]} AS b2 FROM v, t, p WHERE v.region_id <> {target}),
+    d AS (SELECT v.region_id, {b0} AS b0, {b1} AS b1, {b2} AS b2 FROM v, t, p WHERE v.region_id <> {target}),
     r AS (SELECT d.*, sqrt(b0+b1+b2) AS distance, row_number() OVER (ORDER BY sqrt(b0+b1+b2), region_id) AS audit_rank, abs(s.x-k.x) < 1000 AND abs(s.y-k.y) < 1000 AS excluded FROM d JOIN station s ON s.id = d.region_id, (SELECT * FROM station WHERE id = {target}) k)
     SELECT region_id, round(distance, 6) AS distance, round(b0/(b0+b1+b2), 6) AS density_contribution, CAST(audit_rank AS BIGINT) AS audit_rank, excluded AS excluded_from_main, CASE WHEN NOT excluded THEN CAST(sum(CASE WHEN excluded THEN 0 ELSE 1 END) OVER (ORDER BY distance, region_id) AS BIGINT) END AS rank FROM r"""
 
@@ -238,6 +240,13 @@ def _ranked(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return rounded(found.select("region_id", "distance", "density_contribution", "audit_rank", "excluded_from_main", "rank"))
 
 
+def stability_sql(top: int = 10) -> str:
+    modes = {"main": (False, ()), "standard": (True, ()), "density_only": (False, (1, 2)), "no_density": (False, (0,)), "no_concentration": (False, (2,))}
+    ranks = " UNION ALL ".join(f"SELECT '{m}' AS mode, region_id, rank FROM ({_ranking_sql(standard, off=off)}) WHERE rank IS NOT NULL" for m, (standard, off) in modes.items())
+    return f"""WITH k AS ({ranks}), m AS (SELECT region_id FROM k WHERE mode = 'main' AND rank <= {top}), j AS (SELECT k.*, m.region_id IS NOT NULL AS main FROM k LEFT JOIN m USING (region_id))
+    SELECT mode, count(*) FILTER (rank <= {top} AND main) AS top_overlap, round(count(*) FILTER (rank <= {top} AND main) / CAST(count(*) FILTER (rank <= {top} OR main) AS DOUBLE), 6) AS top_jaccard, count(*) AS candidate_count FROM j GROUP BY mode"""
+
+
 @query(_ranking_sql(False))
 def similarity_ranking_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, "main")

@@ -9,7 +9,7 @@ from loxodrome.functions import crs, shapes
 from loxodrome.functions.categories import display_group, known
 from loxodrome.operators import graph, records, regions, similarity, spatial, territory, vectors
 from loxodrome.plans.inputs import GROUPS, SQL, lonlat, pois, stations, table
-from loxodrome.plans.queries_regions import profiles
+from loxodrome.plans.queries_regions import profiles, stability_sql
 from loxodrome.plans.registry import Registry, rounded
 
 query = Registry()
@@ -54,7 +54,7 @@ def meshes_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(records.meshes_of_squares(lonlat(stations(spark, sf_dir)).select(F.col("id").alias("region_id"), x.alias("x"), y.alias("y")), crs.JAPAN_9, 500.0), 3)
 
 
-@query()
+@query(stability_sql())
 def similarity_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five modes of the ranking, against the main one."""
     return rounded(similarity.stability(profiles(spark, sf_dir), stations(spark, sf_dir).withColumnRenamed("id", "region_id"), 7, [f"{g}_share" for g in GROUPS]))

@@ -128,3 +128,17 @@ def test_tag_rules(spark):
     kinds = [tags(amenity="clinic", shop="x"), tags(amenity="cafe", tourism="y"), tags(shop="no"), tags(railway="station", shop="x"), tags(leisure="slipway"), tags(office="a"), tags(amenity="bench"), tags(amenity="bank")]
     assert list(one(spark, *[categories.facility(t) for t in kinds])) == ["healthcare", "food", None, None, None, "office", None, "other_amenity"]
     assert list(one(spark, *[categories.water(t) for t in (tags(natural="water"), tags(water="pond"), tags(water="pond", natural="wood"), tags(landuse="reservoir"))])) == [True, True, False, True]
+
+
+def test_geodesic_points(spark):
+    import math
+
+    def at(lon, lat, azimuth, distance):
+        return tuple(one(spark, *[c for p in [crs.geodesic_point(F.lit(lon), F.lit(lat), F.lit(azimuth), F.lit(distance))] for c in (p["lon"], p["lat"])]))
+
+    lon, lat = at(0.0, 0.0, 90.0, 6378137.0 * math.pi / 180)
+    assert abs(lon - 1) < 1e-9 and abs(lat) < 1e-9
+    assert at(10.0, 20.0, 33.0, 0.0) == (10.0, 20.0)
+    for azimuth, distance in ((0.0, 1e6), (123.0, 5e6), (270.0, 2e5)):
+        lon, lat = at(139.0, 35.0, azimuth, distance)
+        assert abs(one(spark, crs.geodesic_distance(F.lit(139.0), F.lit(35.0), F.lit(lon), F.lit(lat)))[0] - distance) < 1e-3
