@@ -43,14 +43,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loxodrome.operators.components import connected_components
-from loxodrome.plans.lineage import cut
+from loxodrome.plans.lineage import cut, written
 
 from .blocks import mix
+from .filters import bloom, passes
 from .words import pieces, split_words, text_array
 
 _CHUNK = 1 << 15
@@ -235,24 +237,44 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+#: Groups of up to this many rows are compared by shifting whole tables.
+_SMALL = 32
+
+
 def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, since: int, upto: int) -> Iterator[pa.RecordBatch]:
-    """Of each row's later ones within the radius, nearest first, numbers ``since`` to ``upto`` that have another label; a null pair if more of these follow."""
+    """Pairs within the radius that have different labels; a null pair if more of them follow.
+
+    First (``since`` 0) each row with its nearest later one; then all pairs of
+    small groups, and in large ones of each row's later ones, nearest first,
+    numbers ``since`` to ``upto``.
+    """
     for table in _whole(batches):
         table = table.combine_chunks()
         cls, label, side = (table[c].to_numpy() for c in ("cls", "label", "side"))
         prints = table["print"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
         key = _codes(table)
         start, length = _groups(key)
-        small = np.repeat(length <= upto, length) & np.repeat(length > since, length) if not since else np.zeros(len(key), bool)
+        small = np.repeat(length <= _SMALL, length)
         a_parts, b_parts, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
-        for shift in range(1, upto if not since else 1):
+        best, mate, found = np.full(len(key), 1 << 15), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for shift in range(1, min(_SMALL, int(length.max(initial=1)))):
             i = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
             far = np.bitwise_count(prints[i] ^ prints[i + shift]).sum(axis=1, dtype=np.int64)
-            i = i[(far <= radius) & ((side[i] < 0) | (side[i] != side[i + shift])) & (label[i] != label[i + shift])]
+            good = (far <= radius) & ((side[i] < 0) | (side[i] != side[i + shift])) & (label[i] != label[i + shift])
+            i, far = i[good], far[good]
+            if since:
+                a_parts.append(cls[i])
+                b_parts.append(cls[i + shift])
+                continue
+            found[i] += 1
+            nearer = far < best[i]
+            best[i[nearer]], mate[i[nearer]] = far[nearer], i[nearer] + shift
+        if not since:
+            i = np.flatnonzero(found)
             a_parts.append(cls[i])
-            b_parts.append(cls[i + shift])
-        large = length > (since or upto)
-        for s, n in zip(start[large], length[large], strict=True):
+            b_parts.append(cls[mate[i]])
+            more = bool((found > 1).any())
+        for s, n in zip(start[length > _SMALL], length[length > _SMALL], strict=True):
             for i in range(s, s + n, _TILE // 4):
                 j = min(i + _TILE // 4, s + n)
                 far = np.zeros((j - i, s + n - i), np.uint16)
@@ -273,10 +295,13 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, s
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
 
 
-def _set_of(batches: Iterator[pa.RecordBatch], *, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "_text", 1 << 20):
-        x, at = _sets(*shingle_hashes(text_array(batch.column("_text")), size))
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
+def _set_of(batches: Iterator[pa.RecordBatch], *, size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The sets of shingles of the texts whose key may be wanted."""
+    for batch in batches:
+        mine = passes(wanted.value, batch.column("_key").to_numpy().view(np.uint64))
+        for part in pieces([batch.filter(pa.array(mine))], "_text", 1 << 20):
+            x, at = _sets(*shingle_hashes(text_array(part.column("_text")), size))
+            yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["_key", "hashes"])
 
 
 def _overlap(batches: Iterator[pa.RecordBatch], *, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -344,17 +369,23 @@ def near_classes(classes: DataFrame, *, words: int, radius: int, split: int = 16
     return connected_components(together.mapInArrow(partial(_compare, words=words, radius=radius), "a long, b long"))
 
 
-def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: int, radius: int, share: tuple[int, int], split: int = 16384, first: int = 8) -> DataFrame:
-    """As near_classes, of links whose sets of shingles overlap by ``share``; classes also have _key, under which ``texts`` has their _text."""
-    keyed = cut(_dealt(classes, words, radius, split))
+def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: int, radius: int, share: tuple[int, int], split: int = 16384) -> DataFrame:
+    """As near_classes, of links whose sets of shingles overlap by ``share``; classes also have _key, under which ``texts`` has their _text.
+
+    A text's set is made where the text is read, if its key passes a Bloom filter
+    of the candidates', so texts don't move.
+    """
+    keyed = written(_dealt(classes, words, radius, split))
     label = links = None
-    since, upto = 0, first
+    since, upto = 0, 1
     while True:
         now = keyed.withColumn("label", F.col("cls")) if label is None else keyed.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
         found = cut(_together(now).mapInArrow(partial(_candidates, words=words, radius=radius, since=since, upto=upto), "a long, b long").distinct())
         pairs = found.where("a IS NOT NULL")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "_key"), "cls")
-        sets = cut(texts.join(needed, "_key").select("cls", "_text").mapInArrow(partial(_set_of, size=size), "cls long, hashes binary"))
+        needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "_key"), "cls"))
+        wanted = texts.sparkSession.sparkContext.broadcast(bloom(needed.select(F.col("_key").alias("key"))))
+        sets = texts.select("_key", "_text").mapInArrow(partial(_set_of, size=size, wanted=wanted), "_key long, hashes binary")
+        sets = written(sets.dropDuplicates(["_key"]).join(needed, "_key").select("cls", "hashes"))
         both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
         good = both.select("a", "b", "x", "y").mapInArrow(partial(_overlap, share=share), "a long, b long")
         links = cut(good if links is None else links.union(good))
@@ -393,6 +424,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_key")).alias("x")
     stay = found.groupBy("component").agg(first).select(F.col("x._key").alias("_key"), F.col("x.id").alias("_stay"))
     keyed = docs.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"), F.col(f"`{id_col}`").alias("_own"))
-    kept = keyed.join(stay, (keyed["_key"] == stay["_key"]) & keyed["_own"].eqNullSafe(stay["_stay"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("_key", "_own").orderBy(F.col("_row")[text_col]))
+    kept = keyed.join(stay, "_key").where(F.col("_own").eqNullSafe(F.col("_stay")))  # a key is of one component
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("_own", F.col("_row")[text_col]))
     return kept.withColumn("_again", again).where("_again = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loxodrome.llm import blocks as B
-from loxodrome.llm import lm_scoring, ngrams, quality_classifier, quality_rules
+from loxodrome.llm import filters, lm_scoring, ngrams, quality_rules
 from loxodrome.llm.lm_scoring import score_texts
 from loxodrome.llm.quality_classifier import classify
 from loxodrome.llm.quality_rules import plain_counts
@@ -214,9 +214,9 @@ def test_a_model_without_texts_and_ids_of_text(spark):
 def test_the_filter_holds_all_it_was_given(spark):
     keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     rows = spark.createDataFrame([(2 + i % 2, int(k)) for i, k in enumerate(keys.view(np.int64))], "words int, key long")
-    body = quality_classifier.known_filter(rows)
-    assert quality_classifier._passes(body, keys).all()
-    assert quality_classifier._passes(body, keys + np.uint64(12345)).mean() < 0.1
+    body = filters.bloom(rows)
+    assert filters.passes(body, keys).all()
+    assert filters.passes(body, keys + np.uint64(12345)).mean() < 0.1
 
 
 # --- operator 2
