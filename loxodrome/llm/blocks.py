@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,22 +201,25 @@ def answer(asks: DataFrame, make: Callable[[int, pa.Table], pa.Table]) -> DataFr
     return asks.groupBy("bkt").applyInArrow(of, ANSWER)
 
 
-def _bundles(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+def _bundles(batches: Iterable[pa.RecordBatch], *, lower: str | None) -> Iterable[pa.RecordBatch]:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))
     for batch in batches:
         blk = batch.column("blk").to_numpy()
         rest = pa.table(batch).drop_columns(["blk"])
+        if lower:
+            rest = rest.set_column(rest.schema.get_field_index(lower), lower, pc.ascii_lower(rest[lower]))
         order = np.argsort(blk, kind="stable")
         start, length = runs(blk[order])
         for i, n in zip(start, length, strict=True):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, rest.schema, options=options) as out:
                 out.write_table(rest.take(pa.array(order[i : i + n])))
             yield pa.RecordBatch.from_arrays([pa.array([blk[order[i]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["blk", "bundle"])
 
 
-def bundled(blocked: DataFrame) -> DataFrame:
-    """blk, bundle: the rows of ``into_blocks``, those of one batch and block compressed together, so that less text moves."""
-    return blocked.mapInArrow(_bundles, "blk int, bundle binary")
+def bundled(blocked: DataFrame, lower: str | None = None) -> DataFrame:
+    """blk, bundle: the rows of ``into_blocks``, those of one batch and block compressed together, so that less text moves; column ``lower`` with A-Z in lower case."""
+    return blocked.mapInArrow(partial(_bundles, lower=lower), "blk int, bundle binary")
 
 
 def over_bundles(bundles: DataFrame, make: Callable[[int, pa.Table, pa.Table | None], pa.Table], schema: str | object, answers: DataFrame | None = None) -> DataFrame:
