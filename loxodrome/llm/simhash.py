@@ -19,8 +19,9 @@ Tiles are cut inside buckets, so that work follows the number of classes:
   common minimum is of such a bucket is missed too (below 9e-5).
 
 With ``share`` (two whole numbers, a fraction) fingerprints only name candidates:
-a link also needs that the sets of shingles overlap by that share (Jaccard, of
-the shingles' 64-bit values), and a class is of equal sets.  Candidates are
+a link also needs that the sets of shingles overlap by that share (Jaccard, of 32
+bits of each shingle's hash: sets of a thousand share one by chance once in 4,000
+pairs), and a class is of equal sets (by all 64).  Candidates are
 checked in rounds, each row's nearest first; what is already linked is not
 checked again, and everything else is.
 
@@ -300,7 +301,9 @@ def _set_of(batches: Iterator[pa.RecordBatch], *, size: int, wanted: Broadcast)
     for batch in batches:
         mine = passes(wanted.value, batch.column("_key").to_numpy().view(np.uint64))
         for part in pieces([batch.filter(pa.array(mine))], "_text", 1 << 20):
-            x, at = _sets(*shingle_hashes(text_array(part.column("_text")), size))
+            hashes, begins = shingle_hashes(text_array(part.column("_text")), size)
+            x, at = _sets(hashes >> np.uint64(32), begins)
+            x = x.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([part.column("_key"), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["_key", "hashes"])
 
 
@@ -309,7 +312,7 @@ def _overlap(batches: Iterator[pa.RecordBatch], *, share: tuple[int, int]) -> It
     for batch in batches:
         good = []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
             good.append(both * share[1] >= share[0] * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
