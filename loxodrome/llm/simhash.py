@@ -13,19 +13,20 @@ Tiles are cut inside buckets, so that work follows the number of classes:
   nine buckets (about 35 equal bits).  No link is missed.
 * wider: buckets of equal minimum hash of the shingles under each of
   ``keys`` permutations.  Texts whose shingle sets overlap by a share s miss
-  each other with probability (1-s)**keys (below 3e-6 for 0.8 and 8).  A bucket
-  of more than ``split`` rows, as a very common shingle makes it, is cut into
-  buckets of two equal minima, so that it holds like texts; a pair whose only
-  common minimum is of such a bucket is missed too (below 9e-5).
+  each other with probability (1-s)**keys (below 3e-6 for 0.8 and 8), however
+  large the table or a bucket is.
 
 With ``share`` (two whole numbers, a fraction) fingerprints only name candidates:
 a link also needs that the sets of shingles overlap by that share (Jaccard, of 32
 bits of each shingle's hash: sets of a thousand share one by chance once in 4,000
 pairs), and a class is of equal sets (by all 64).  Candidates are
 checked in rounds, each row's nearest first; what is already linked is not
-checked again, and everything else is.
+checked again, and everything else is.  Before sets are made, pairs go that can't
+overlap so far: each set marks its hashes in ``_MARKS`` bits, and a hash whose bit
+the other set lacks is not in it.
 
-A bucket of more than ``split`` rows goes to several tasks, by pairs of tiles.
+A bucket of more than ``split`` rows goes to several tasks, by pairs of tiles,
+which together compare all that one task would.
 A task returns a spanning forest of its links, never all pairs.
 
 Defined results: null text counts as empty; no words give fingerprint zero and
@@ -58,6 +59,8 @@ from .words import pieces, split_words, text_array
 
 _CHUNK = 1 << 15
 _TILE = 1024
+#: Bits that show what a set lacks.
+_MARKS = 1024
 
 
 def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +103,14 @@ def _sets(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[new], np.searchsorted(text[new], np.arange(len(begins)))
 
 
+def _marks(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of bits for each set of hashes: those that its hashes' low bits number."""
+    out = np.zeros((len(at) - 1, _MARKS // 8), np.uint8)
+    place = (x & np.uint64(_MARKS - 1)).astype(np.int64)
+    np.bitwise_or.at(out, (np.repeat(np.arange(len(at) - 1), np.diff(at)), place >> 3), (1 << (place & 7)).astype(np.uint8))
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: int, sets: bool) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "_text", 1 << 20):
         texts = text_array(batch.column("_text"))
@@ -111,16 +122,20 @@ def _sketch(batches: Iterator[pa.RecordBatch], *, size: int, words: int, keys: i
             least[some, k] = np.minimum.reduceat(mix(hashes ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (1 << 64) - 1)), begins[some])
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel().view(np.int64)), m).cast(pa.list_(pa.int64())) if m else pa.array([[]] * len(texts), pa.list_(pa.int64())) for x, m in ((np.stack(print_, axis=1), words), (least, keys))]
         digest = np.zeros(len(texts), np.uint64)
-        if sets and len(some):
+        distinct, marks = np.zeros(len(texts), np.int64), [None] * len(texts)
+        if sets:
             x, at = _sets(hashes, begins)
-            digest[some] = np.add.reduceat(mix(x), at[:-1][some])
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_key"), *lists, pa.array(np.diff(begins)), pa.array(digest.view(np.int64))], names=["_id", "_key", "print", "least", "n_shingles", "_set"])
+            distinct, marks = np.diff(at), [m.tobytes() for m in _marks(x, at)]
+            if len(some):
+                digest[some] = np.add.reduceat(mix(x), at[:-1][some])
+        columns = [batch.column("_id"), batch.column("_key"), *lists, pa.array(np.diff(begins)), pa.array(digest.view(np.int64)), pa.array(distinct), pa.array(marks, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "print", "least", "n_shingles", "_set", "_n", "_marks"])
 
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, keys: int = 0, sets: bool = False) -> DataFrame:
-    """_id, _key, print (array of ``words`` longs), least (minimum hashes), n_shingles, _set (a hash of the set of shingles, if ``sets``) of each row."""
+    """_id, _key, print (array of ``words`` longs), least (minimum hashes), n_shingles, and if ``sets`` _set (a hash of the set of shingles), _n (its size) and _marks of each row."""
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), row_key(id_col, text_col).alias("_key"))
-    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys, sets=sets), f"_id {dict(docs.dtypes)[id_col]}, _key long, print array<long>, least array<long>, n_shingles long, _set long")
+    return plain.mapInArrow(partial(_sketch, size=size, words=words, keys=keys, sets=sets), f"_id {dict(docs.dtypes)[id_col]}, _key long, print array<long>, least array<long>, n_shingles long, _set long, _n long, _marks binary")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -245,9 +260,8 @@ _SMALL = 32
 def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, since: int, upto: int) -> Iterator[pa.RecordBatch]:
     """Pairs within the radius that have different labels; a null pair if more of them follow.
 
-    First (``since`` 0) each row with its nearest later one; then all pairs of
-    small groups, and in large ones of each row's later ones, nearest first,
-    numbers ``since`` to ``upto``.
+    Of small groups all pairs, and whether one is a row's nearest later one; in
+    large ones of each row's later ones, nearest first, numbers ``since`` to ``upto``.
     """
     for table in _whole(batches):
         table = table.combine_chunks()
@@ -256,25 +270,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, s
         key = _codes(table)
         start, length = _groups(key)
         small = np.repeat(length <= _SMALL, length)
-        a_parts, b_parts, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
-        best, mate, found = np.full(len(key), 1 << 15), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        a_parts, b_parts, first, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], False
+        found = []
         for shift in range(1, min(_SMALL, int(length.max(initial=1)))):
             i = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
             far = np.bitwise_count(prints[i] ^ prints[i + shift]).sum(axis=1, dtype=np.int64)
             good = (far <= radius) & ((side[i] < 0) | (side[i] != side[i + shift])) & (label[i] != label[i + shift])
-            i, far = i[good], far[good]
-            if since:
-                a_parts.append(cls[i])
-                b_parts.append(cls[i + shift])
-                continue
-            found[i] += 1
-            nearer = far < best[i]
-            best[i[nearer]], mate[i[nearer]] = far[nearer], i[nearer] + shift
-        if not since:
-            i = np.flatnonzero(found)
+            found.append((i[good], far[good], np.full(good.sum(), shift)))
+        if found:
+            i, far, shift = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((shift, far, i))
+            i, shift = i[order], shift[order]
             a_parts.append(cls[i])
-            b_parts.append(cls[mate[i]])
-            more = bool((found > 1).any())
+            b_parts.append(cls[i + shift])
+            first.append(np.append(True, i[1:] != i[:-1])[: len(i)])
         for s, n in zip(start[length > _SMALL], length[length > _SMALL], strict=True):
             for i in range(s, s + n, _TILE // 4):
                 j = min(i + _TILE // 4, s + n)
@@ -290,10 +299,20 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, s
                 p, q = np.nonzero(other[:, since:upto])
                 a_parts.append(cls[i + p])
                 b_parts.append(cls[i + order[p, q + since]])
+                first.append(np.ones(len(p), bool))
         a, b = np.concatenate(a_parts), np.concatenate(b_parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(first))], names=["a", "b", "first"])
         if more:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 2, names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([True])], names=["a", "b", "first"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], *, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets may overlap by the share: those whose sizes and marks allow it."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _MARKS // 8) for c in ("xa", "xb"))
+        both = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        yield batch.select(["a", "b"]).filter(pa.array(both * share[1] >= share[0] * (n + m - both)))
 
 
 def _set_of(batches: Iterator[pa.RecordBatch], *, size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -332,23 +351,18 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
-def _finer(met: DataFrame) -> DataFrame:
-    """Buckets of one equal minimum, cut into those of two: for each other key, rows whose minimum under it is equal too."""
-    other = F.filter(F.transform("least", lambda x, i: F.struct((1000 + F.col("no") * 1000 + i).alias("no"), F.xxhash64("bits", x).alias("bits"))), lambda _, i: i != F.col("no"))
-    same = F.array(F.struct(F.col("no").alias("no"), F.col("bits").alias("bits")))
-    cut_ = met.withColumn("k", F.explode(F.when(F.size("least") > 1, other).otherwise(same))).select("cls", "print", "k.no", "k.bits")
-    return cut_.join(cut_.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1"), ["no", "bits"])
-
-
 def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame:
-    """cls, print, no, bits, pair, side of the classes in each bucket, by pairs of tiles if it is large."""
+    """cls, print, no, bits, n, pair, side of the classes in each bucket of n, by pairs of tiles if it is large: what meets doesn't depend on ``split``."""
     banded = words == 1 and radius <= 2
     buckets = _bands(F.col("print")) if banded else F.transform("least", lambda x, i: F.struct(i.alias("no"), x.alias("bits")))
-    keyed = classes.select("cls", "print", "least", F.explode(buckets).alias("k")).select("cls", "print", "least", "k.no", "k.bits")
+    carried = ["cls", "print"] if words == 1 else ["cls"]
+    keyed = classes.select(*carried, F.explode(buckets).alias("k")).select(*carried, "k.no", "k.bits")
+    if words > 1:
+        keyed = keyed.distinct()  # rows of one print may share a minimum
     size = keyed.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(size, ["no", "bits"])
-    if not banded:
-        met = met.where(F.col("n") <= split).drop("least").unionByName(_finer(met.where(F.col("n") > split).drop("n")))
+    if words > 1:
+        met = met.join(classes.groupBy("cls").agg(F.first("print").alias("print")), "cls")  # a class has one
     tiles = F.when(F.col("n") > split, F.ceil(F.col("n") / split).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.col("t")).cast("int")
     return (
@@ -357,7 +371,7 @@ def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame
         .withColumn("other", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("t") - 1), F.array(F.lit(-1)))))
         .withColumn("pair", F.coalesce(F.least("own", "other") * F.col("t") + F.greatest("own", "other"), F.lit(-1)))
         .withColumn("side", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(F.lit(-1)))
-        .select("cls", "print", "no", "bits", "pair", "side")
+        .select("cls", "print", "no", "bits", "n", "pair", "side")
     )
 
 
@@ -372,19 +386,33 @@ def near_classes(classes: DataFrame, *, words: int, radius: int, split: int = 16
     return connected_components(together.mapInArrow(partial(_compare, words=words, radius=radius), "a long, b long"))
 
 
+def _labelled(rows: DataFrame, label: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the component of a class, itself if it has no link."""
+    own = label.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+
 def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: int, radius: int, share: tuple[int, int], split: int = 16384) -> DataFrame:
-    """As near_classes, of links whose sets of shingles overlap by ``share``; classes also have _key, under which ``texts`` has their _text.
+    """As near_classes, of links whose sets of shingles overlap by ``share``; classes also have _key, under which ``texts`` has their _text, _n and _marks.
 
     A text's set is made where the text is read, if its key passes a Bloom filter
-    of the candidates', so texts don't move.
+    of the candidates', so texts don't move.  Small buckets are compared once, and
+    their pairs kept; only large ones are read again.
     """
-    keyed = written(_dealt(classes, words, radius, split))
-    label = links = None
+    dealt = _dealt(classes, words, radius, split)
+    given = {"words": words, "radius": radius}
+
+    def candidates(rows: DataFrame, since: int, upto: int) -> DataFrame:
+        found = _together(rows).mapInArrow(partial(_candidates, **given, since=since, upto=upto), "a long, b long, first boolean")
+        return cut(found.groupBy("a", "b").agg(F.max("first").alias("first")))
+
+    found = candidates(dealt.withColumn("label", F.col("cls")), 0, 1)
+    pairs, rest = found.where("a IS NOT NULL AND first"), found.where("a IS NOT NULL AND NOT first")
+    links = label = large = None
     since, upto = 0, 1
     while True:
-        now = keyed.withColumn("label", F.col("cls")) if label is None else keyed.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-        found = cut(_together(now).mapInArrow(partial(_candidates, words=words, radius=radius, since=since, upto=upto), "a long, b long").distinct())
-        pairs = found.where("a IS NOT NULL")
+        marked = [classes.select(F.col("cls").alias(k), F.col("_n").alias(f"n{k}"), F.col("_marks").alias(f"x{k}")) for k in "ab"]
+        pairs = cut(pairs.select("a", "b").join(marked[0], "a").join(marked[1], "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(partial(_possible, share=share), "a long, b long"))
         needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "_key"), "cls"))
         wanted = texts.sparkSession.sparkContext.broadcast(bloom(needed.select(F.col("_key").alias("key"))))
         sets = texts.select("_key", "_text").mapInArrow(partial(_set_of, size=size, wanted=wanted), "_key long, hashes binary")
@@ -393,9 +421,21 @@ def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: i
         good = both.select("a", "b", "x", "y").mapInArrow(partial(_overlap, share=share), "a long, b long")
         links = cut(good if links is None else links.union(good))
         label = cut(connected_components(links))
-        if found.where("a IS NULL").isEmpty():
+        more = not found.where("a IS NULL").isEmpty()
+        if not more and (rest is None or rest.isEmpty()):
             return label
-        since, upto = upto, upto * 8
+        pairs = None
+        if more:
+            if large is None:
+                large = written(dealt.where(F.col("n") > _SMALL))
+            since, upto = upto, upto * 8
+            found = candidates(_labelled(large, label, "cls", "label"), since, upto)
+            pairs = found.where("a IS NOT NULL").select("a", "b")
+        if rest is not None:
+            pairs = rest.select("a", "b") if pairs is None else pairs.union(rest.select("a", "b")).distinct()
+            pairs, rest = _labelled(_labelled(pairs, label, "a", "la"), label, "b", "lb").where("la <> lb"), None
+        if not more:
+            found = found.where("a IS NULL")
 
 
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, words: int = 1, radius: int = 2, keys: int = 0, share: tuple[int, int] | None = None) -> DataFrame:
@@ -403,7 +443,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if (words > 1 or radius > 2) and not keys:
         raise ValueError("wide or far fingerprints need keys")
     rows = cut(sketches(docs, id_col=id_col, text_col=text_col, size=size, words=words, keys=keys, sets=share is not None))
-    classes = rows.groupBy("print", "_set").agg(F.min("_id").alias("least_id"), F.min("least").alias("least"), F.min("_key").alias("_key"))
+    marks = [F.first("_n").alias("_n"), F.first("_marks").alias("_marks")] if share else []
+    classes = rows.groupBy("print", "_set").agg(F.min("_id").alias("least_id"), F.min("least").alias("least"), F.min("_key").alias("_key"), *marks)
     # A class is named by its fingerprint, or by a hash of a wide one.
     name = F.col("print")[0] if words == 1 and not share else F.xxhash64("print", "_set") if share else F.xxhash64("print")
     classes = classes.withColumn("cls", name)

@@ -121,6 +121,35 @@ def test_a_large_bucket_of_one_minimum_is_cut(spark):
     assert whole == cut_ == {(i, i - i % 2) for i in range(60)}
 
 
+def test_one_common_minimum_links_in_a_large_bucket(spark):
+    """Pairs whose only common minimum is one that all texts share: they link, whatever a bucket's size is cut at."""
+    r = random.Random(10)
+    rows = []
+    for i in range(30):
+        bits = [r.randrange(-(1 << 63), 1 << 63) for _ in range(4)]
+        rows += [(2 * i + k, [bits[0] ^ k, *bits[1:]], [5, *[r.randrange(1 << 60) for _ in range(7)]]) for k in (0, 1)]
+    classes = spark.createDataFrame(rows, "cls long, print array<long>, least array<long>")
+    whole, dealt = ({(x.node, x.component) for x in simhash.near_classes(classes, words=4, radius=48, split=n).collect()} for n in (16384, 8))
+    assert whole == dealt == {(i, i - i % 2) for i in range(60)}
+
+
+def test_marks_lose_no_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 62, int(n)).astype(np.uint64)) for n in r.integers(1, 900, 40)]
+    sets += [np.unique(np.append(x[: int(len(x) * f)], r.integers(0, 1 << 62, int(len(x) * (1 - f))).astype(np.uint64))) for x in sets for f in (0.7, 0.9, 0.95)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    marks = [m.tobytes() for m in simhash._marks(np.concatenate(sets), at)]
+    a, b = np.triu_indices(len(sets), 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(np.diff(at)[i]) for i in (a, b)], *[pa.array([marks[j] for j in i]) for i in (a, b)]], names=["a", "b", "na", "nb", "xa", "xb"])
+    left = {(i, j) for o in simhash._possible([batch], share=(4, 5)) for i, j in zip(*(o[c].to_pylist() for c in "ab"))}
+    both = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    near = {(i, j) for i, j, n in zip(a.tolist(), b.tolist(), both) if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)}
+    assert near and near <= left and len(left) < len(a) / 4
+
+
 def test_rows_of_one_print_keep_all_their_buckets(spark, monkeypatch):
     """Rows of one fingerprint but different shingles: each one's buckets count."""
     sketch = [(1, 1, [0, 0, 0, 0], [1, 1], 9, 0), (2, 2, [0, 0, 0, 0], [2, 2], 9, 0), (3, 3, [1, 0, 0, 0], [2, 9], 9, 0), (4, 4, [2, 0, 0, 0], [1, 8], 9, 0)]
