@@ -18,7 +18,7 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 @query(f"WITH {SQL} SELECT p.id AS left_id, s.id AS right_id, round(sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)), 6) AS distance_m FROM poi p JOIN station s ON abs(p.x-s.x) <= 300 AND (p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y) <= 90000")
 def point_dwithin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spatial.within_distance(pois(spark, sf_dir).select("id", "x", "y"), stations(spark, sf_dir).select("id", "x", "y"), 300).select("left_id", "right_id", "distance_m"))
+    return spatial.within_distance(pois(spark, sf_dir).select("id", "x", "y"), stations(spark, sf_dir).select("id", "x", "y"), 300, places=6).select("left_id", "right_id", "distance_m")
 
 
 @query(f"""WITH {SQL}, d AS (SELECT s.id AS query_id, p.id AS point_id, sqrt((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y)) AS d FROM station s JOIN poi p ON abs(p.x-s.x) <= 300 AND abs(p.y-s.y) <= 300),
