@@ -170,9 +170,7 @@ def polygon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_BENDS}, i AS (SELECT DISTINCT area_id, p.id, p.x, p.y FROM b JOIN poi p ON p.x BETWEEN w AND e AND p.y BETWEEN s AND n), t AS (SELECT i.area_id, i.id, ix, iy, row_number() OVER (PARTITION BY i.area_id, i.id ORDER BY NOT (ix = floor(x / 250) AND iy = floor(y / 250)), iy, ix) AS k
 FROM i JOIN cell c ON c.area_id = i.area_id AND area > 0 AND x BETWEEN ix * 250 AND ix * 250 + 250 AND y BETWEEN iy * 250 AND iy * 250 + 250) SELECT area_id, '250:' || ix || ':' || iy AS cell_id, count(*) AS n FROM t WHERE k = 1 GROUP BY ALL""")
 def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = _bends(spark, sf_dir)
-    found = regions.assign_to_polygons(pois(spark, sf_dir), areas, regions.polygon_grid(areas, 250), 250)
-    return found.groupBy("area_id", "cell_id").agg(F.count("*").alias("n"))
+    return regions.count_in_polygons(pois(spark, sf_dir), _bends(spark, sf_dir), 250)
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
