@@ -46,15 +46,16 @@ def competition_rank(frame: DataFrame, field: str, key: str, n: int = 10, eligib
     return kept.withColumns({"rank": F.rank().over(Window.orderBy(F.desc(field))).cast("long"), "in_head": F.row_number().over(Window.orderBy(F.desc(field), F.asc(key))) <= n})
 
 
-def overlap(masks: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], groups: Sequence[str] = (), group: str = "category_group", low: int = 30) -> DataFrame:
+def overlap(masks: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str], groups: Sequence[str] = (), group: str = "category_group", low: int = 30, weight: str | None = None) -> DataFrame:
     """Per group of rows and pair of mask columns: sizes, shared, union, Jaccard, difference of counts and of compositions (total variation).
 
     A null mask counts as false.  Jaccard is null for an empty union,
-    composition differences if a side is empty.
+    composition differences if a side is empty.  With ``weight``, a row stands for as
+    many.
     """
 
     def n(mask: Column) -> Column:
-        return F.count_if(F.coalesce(mask, F.lit(False)))
+        return F.count_if(F.coalesce(mask, F.lit(False))) if weight is None else F.sum(F.when(mask, F.col(weight)).otherwise(0)).cast("long")
 
     aggs = []
     for i, (a, b) in enumerate(pairs):
@@ -72,7 +73,7 @@ def overlap(masks: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str
             (nb - na).alias("count_difference"), (u < low).alias("low_poi"), *[(100 * d).alias(f"{g}_difference_pp") for g, d in zip(groups, deltas, strict=True)], tvd.alias("composition_tvd"),
         )
 
-    return sums.select(*by, F.explode(F.array(*[row(i, a, b) for i, (a, b) in enumerate(pairs)])).alias("x")).select(*by, "x.*")
+    return sums.select(*by, F.explode(F.array(*[row(i, a, b) for i, (a, b) in enumerate(pairs)])).alias("_row")).select(*by, "_row.*")
 
 
 def cohorts(comparisons: DataFrame, target: Column, metrics: Sequence[str] = ("jaccard", "count_difference", "composition_tvd")) -> DataFrame:

@@ -212,27 +212,30 @@ s AS (SELECT *, concat_ws(';', CASE WHEN ln = '' OR rn = '' THEN 'missing_name'
 m AS (SELECT *, CASE WHEN exact AND reasons = '' THEN 'high_confidence' WHEN exact OR phone_evidence = 'supporting' OR website_evidence = 'supporting' THEN 'ambiguous' ELSE 'unmatched' END AS status FROM s)"""
 
 
-def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.classify_pairs(matching.candidate_pairs(*views(spark, sf_dir), 100, similarity=False))
+def classified(spark: SparkSession, sf_dir: str, *, similarity: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of kinds of records, and the members of both sides' kinds."""
+    return matching.classified_kinds(*views(spark, sf_dir), 100, similarity=similarity)
 
 
 @query(f"{_VIEW} SELECT left_id, right_id, round(distance_m, 6) AS distance_m, phone_evidence, website_evidence, status, reasons FROM m")
 def match_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(classified(spark, sf_dir).select("left_id", "right_id", "distance_m", "phone_evidence", "website_evidence", "status", "reasons"))
+    pairs, left, right = classified(spark, sf_dir)
+    found = rounded(pairs.select("left_id", "right_id", "distance_m", "phone_evidence", "website_evidence", "status", "reasons"))
+    return matching.spread(found, left, right)
 
 
 @query()
 def match_classify_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With name similarity in both directions, which SQL cannot express."""
-    pairs = matching.candidate_pairs(*views(spark, sf_dir), 100)
-    return rounded(matching.classify_pairs(pairs).select("left_id", "right_id", "name_similarity", "status", "reasons"))
+    pairs, left, right = classified(spark, sf_dir, similarity=True)
+    return matching.spread(rounded(pairs.select("left_id", "right_id", "name_similarity", "status", "reasons")), left, right)
 
 
 @query(f"""{_VIEW}, l AS (SELECT 'left' AS source, left_id AS source_id, status FROM m UNION ALL SELECT 'right', right_id, status FROM m), g AS (SELECT source, source_id, bool_or(status = 'high_confidence') AS high, bool_or(status = 'ambiguous') AS amb FROM l GROUP BY ALL)
 SELECT n.source, n.source_id, CASE WHEN g.high IS NULL THEN 'no_spatial_candidate' WHEN amb THEN 'ambiguous_candidate_exists' WHEN nn = '' THEN 'insufficient_evidence' ELSE 'spatial_candidate_but_no_name_evidence' END AS reason, g.high IS NOT NULL AS nearby FROM n LEFT JOIN g USING (source, source_id) WHERE NOT coalesce(g.high, false)""")
 def match_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = views(spark, sf_dir)
-    return matching.unmatched_records(left, right, classified(spark, sf_dir)).select("source", "source_id", "reason", "nearby")
+    return matching.unmatched_of_kinds(left, right, *classified(spark, sf_dir)).select("source", "source_id", "reason", "nearby")
 
 
 @query(f"{_VIEW} SELECT a.source_id AS left_id, b.source_id AS right_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS distance_m FROM n a JOIN n b ON a.source = 'left' AND b.source = 'right' AND a.nn <> '' AND a.nn = b.nn")

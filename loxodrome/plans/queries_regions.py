@@ -194,14 +194,22 @@ count(*) FILTER ({a} AND {b}) / CAST(nullif(count(*) FILTER ({a} OR {b}), 0) AS
 
 
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spatial.covered_by_squares(pois(spark, sf_dir).select("x", "y", "category_group"), stations(spark, sf_dir).select("id", "x", "y"), 800)
+    """x, y of stations' places, n points of each group in each set of masks."""
+    names = [*GROUPS, "__OTHER__", "__MISSING__"]
+    places = pois(spark, sf_dir).groupBy("x", "y").agg(*[F.count_if(F.col("category_group") == g).alias(f"g{i}") for i, g in enumerate(names)])
+    pairs = spatial.covered_by_squares(places, stations(spark, sf_dir).select("x", "y").distinct(), 800)
     dx, dy = F.abs(F.col("point_x") - F.col("square_x")), F.abs(F.col("point_y") - F.col("square_y"))
-    found = pairs.select(F.col("square_id").alias("region_id"), F.col("point_category_group").alias("category_group"), ((dx <= 500) & (dy <= 500)).alias("square"), *[(F.hypot(dx, dy) <= r).alias(f"straight{r}") for r in (400, 500, 800)])
-    return found.where("straight800 OR square")
+    marks = ["square", *[f"straight{r}" for r in (400, 500, 800)]]
+    found = pairs.select(F.col("square_x").alias("x"), F.col("square_y").alias("y"), *[f"point_g{i}" for i in range(len(names))], ((dx <= 500) & (dy <= 500)).alias("square"), *[(F.hypot(dx, dy) <= r).alias(f"straight{r}") for r in (400, 500, 800)])
+    sums = found.where("straight800 OR square").groupBy("x", "y", *marks).agg(*[F.sum(f"point_g{i}").alias(f"g{i}") for i in range(len(names))])
+    each = F.explode(F.array(*[F.struct(F.lit(g).alias("category_group"), F.col(f"g{i}").alias("n")) for i, g in enumerate(names)]))
+    return sums.select("x", "y", *marks, each.alias("e")).select("x", "y", *marks, "e.*")
 
 
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.overlap(masks(spark, sf_dir), MASKS, ["region_id"], [*GROUPS, "__OTHER__", "__MISSING__"])
+    """Stations of one place have the same figures."""
+    found = stats.overlap(masks(spark, sf_dir), MASKS, ["x", "y"], [*GROUPS, "__OTHER__", "__MISSING__"], weight="n")
+    return stations(spark, sf_dir).select(F.col("id").alias("region_id"), "x", "y").join(found, ["x", "y"]).drop("x", "y")
 
 
 @query(f"WITH {SQL}, {_MASK_SQL} SELECT region_id, first, second, n_first, n_second, shared, union_n, round(jaccard, 6) AS jaccard, count_difference, low_poi, round(composition_tvd, 6) AS composition_tvd FROM cmp")
