@@ -7,16 +7,42 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loxodrome.functions.shapes import clip_to_box
-from loxodrome.operators.spatial import least_total, ring_area
+from loxodrome.operators.spatial import least_total, ring_area, within_distance
+from loxodrome.plans.lineage import cut
 
 
-def densify(edges: DataFrame, nodes: DataFrame, step: float) -> DataFrame:
+def place_roads(nodes: DataFrame, reach: float, k: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id, x, y) and the edges of all pairs within ``reach``, by place: what a raster of the ``k`` nearest points needs.
+
+    Places: node_id (the least there), x, y; edges: u, v, length_m, edge_id, both
+    ways where nodes of both ends are the lesser ones of pairs.  ``copies`` is the
+    number of nodes or of pairs u < v, at most k: more can't be among the k nearest.
+    The pairs of the k least ids of u with the k greatest of v tell it.
+    """
+    ends = nodes.where("x IS NOT NULL AND y IS NOT NULL")
+    place = Window.partitionBy("x", "y")
+    ends = ends.withColumns({"_up": F.row_number().over(place.orderBy("node_id")), "_down": F.row_number().over(place.orderBy(F.desc("node_id")))}).where((F.col("_up") <= k) | (F.col("_down") <= k))
+    lists = [F.collect_list(F.when(F.col(c) <= k, F.col("node_id"))).alias(n) for c, n in (("_up", "low"), ("_down", "high"))]
+    places = cut(ends.groupBy("x", "y").agg(F.min("node_id").alias("node_id"), *lists))
+    near = within_distance(places, places, reach).where("left_node_id <> right_node_id")
+    pairs = F.aggregate("left_low", F.lit(0), lambda n, i: n + F.size(F.filter("right_high", lambda j: i < j)))
+    edges = near.select(F.col("left_node_id").alias("u"), F.col("right_node_id").alias("v"), F.col("distance_m").alias("length_m"), F.xxhash64("left_node_id", "right_node_id").alias("edge_id"), F.least(pairs, F.lit(k)).alias("copies"))
+    return places.select("node_id", "x", "y", F.size("low").alias("copies")), edges.where("copies > 0")
+
+
+def densify(edges: DataFrame, nodes: DataFrame, step: float, copies: bool = False) -> DataFrame:
     """Nodes, and points at most ``step`` apart along each edge, with the better end's distance and owner (equal: that of u).
 
-    ``nodes``: node_id, x, y, dist, owner; ``edges``: edge_id, u, v, length_m.
+    ``nodes``: node_id, x, y, dist, owner; ``edges``: edge_id, u, v, length_m; with
+    ``copies``, both say how often they stand there (copies).
     """
+    if copies:
+        nodes, edges = (df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))) for df in (nodes, edges))
+        points = densify(edges, nodes.where("_copy = 1"), step).where("edge_id IS NOT NULL")
+        return nodes.select("x", "y", "dist", "owner", F.lit(None).cast("long").alias("edge_id"), F.col("node_id").alias("j")).unionByName(points)
     ends = [nodes.select(F.col("node_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("x", "y", "dist", "owner")]) for k in "uv"]
     joined = edges.join(ends[0], "u").join(ends[1], "v")
     n = F.greatest(F.ceil(F.col("length_m") / step) - 1, F.lit(0))

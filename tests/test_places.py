@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loxodrome.operators import chains, regions, spatial, stats, vectors
+from loxodrome.operators import chains, graph, regions, spatial, stats, territory, vectors
 
 PLACES = [(0.0, 0.0), (30.0, 40.0), (200.0, 10.0), (35.0, 45.0)]
 ROWS = [(i, *PLACES[i % 4]) for i in range(40)]
@@ -94,3 +94,24 @@ def test_neighbours_of_kinds(spark):
         rho = sum((a - m) * (b - m) for a, b in zip(r, s)) / math.sqrt(sum((a - m) ** 2 for a in r) * sum((b - m) ** 2 for b in s))
         assert got[i] == (len(top[0] & top[1]), round(rho, 9)), i
     assert len(got) == 30
+
+
+def test_road_by_place_gives_the_raster_of_all_rows(spark):
+    spots = [(10.0, 10.0), (90.0, 20.0), (150.0, 90.0), (60.0, 130.0), (20.0, 90.0)]
+    nodes = spark.createDataFrame([(i, *spots[i * 7 % 11 % 5]) for i in range(23)], "node_id long, x double, y double")
+    stations = spark.createDataFrame([(1, 5.0, 5.0), (2, 155.0, 95.0), (3, 155.0, 95.0)], "id long, x double, y double")
+
+    def cells(nodes, edges, lengthless=False, **given):
+        sources = spatial.nearest(stations, nodes.select("node_id", "x", "y"), 1, 300, "id", "node_id").select(F.col("point_node_id").alias("node"), F.col("distance_m").alias("dist"), F.col("query_id").alias("owner"))
+        known = nodes.join(graph.nearest_owners(edges, sources).withColumnRenamed("node", "node_id"), "node_id")
+        edges = edges.where("length_m > 0") if lengthless else edges
+        found = territory.raster(territory.densify(edges, known, 30.0, **given), 0.0, 0.0, 8, 8, 20.0, 60.0)
+        return sorted((r.row, r.col, r.dist if r.dist is None else round(r.dist, 9), r.owner) for r in found.collect())
+
+    close = spatial.within_distance(nodes.withColumnRenamed("node_id", "id"), nodes.withColumnRenamed("node_id", "id"), 100).where("left_id < right_id")
+    rows = close.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"), F.col("distance_m").alias("length_m"), F.xxhash64("left_id", "right_id").alias("edge_id"))
+    zero = rows.where("length_m = 0").count()
+    known, edges = territory.place_roads(nodes, 100)
+    assert zero > 0 and known.count() == 5 and edges.count() <= 20
+    want = cells(nodes, rows, lengthless=True)
+    assert cells(known, edges, copies=True) == want and len({r[3] for r in want}) > 1
