@@ -240,7 +240,7 @@ def match_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_VIEW} SELECT a.source_id AS left_id, b.source_id AS right_id, round(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), 6) AS distance_m FROM n a JOIN n b ON a.source = 'left' AND b.source = 'right' AND a.nn <> '' AND a.nn = b.nn")
 def exact_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matching.exact_name_distances(*views(spark, sf_dir)).select("left_id", "right_id", "distance_m"))
+    return matching.exact_name_distances(*views(spark, sf_dir), places=6).select("left_id", "right_id", "distance_m")
 
 
 @query("""WITH ab AS (SELECT s_suppkey AS a, s_suppkey * 3 % 101 AS b FROM supplier), ac AS (SELECT s_suppkey AS a, s_suppkey * 5 % 103 AS c FROM supplier), bc AS (SELECT s_suppkey * 3 % 101 AS b, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 5 % 103 ELSE 7 END AS c FROM supplier)

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loxodrome.operators import chains, graph, regions, spatial, stats, territory, vectors
+from loxodrome.operators import chains, graph, matching, regions, spatial, stats, territory, vectors
 
 PLACES = [(0.0, 0.0), (30.0, 40.0), (200.0, 10.0), (35.0, 45.0)]
 ROWS = [(i, *PLACES[i % 4]) for i in range(40)]
@@ -115,3 +115,16 @@ def test_road_by_place_gives_the_raster_of_all_rows(spark):
     assert zero > 0 and known.count() == 5 and edges.count() <= 20
     want = cells(nodes, rows, lengthless=True)
     assert cells(known, edges, copies=True) == want and len({r[3] for r in want}) > 1
+
+
+def test_names_of_a_place_meet_once_and_all_pairs_are_there(spark):
+    left = [(f"l{i}", f"n{i % 2}", None if i % 7 == 3 else float(i % 3), 0.5) for i in range(30)] + [("none", "", 0.0, 0.0)]
+    right = [(f"r{i}", f"n{i % 3}", float(i % 2) / 3, None if i % 5 == 4 else 0.0) for i in range(24)]
+    a, b = (spark.createDataFrame(rows, "source_id string, name_normalized string, x double, y double") for rows in (left, right))
+
+    def distance(p, q):
+        return None if None in (*p[2:], *q[2:]) else round(math.hypot(p[2] - q[2], p[3] - q[3]), 3)
+
+    want = sorted((p[0], q[0], str(distance(p, q))) for p in left for q in right if p[1] == q[1] != "")
+    found = matching.exact_name_distances(a, b, each=2, places=3)
+    assert sorted((r.left_id, r.right_id, str(r.distance_m)) for r in found.collect()) == want
