@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loxodrome.operators import chains, graph, matching, regions, spatial, stats, territory, vectors
+from loxodrome.functions import crs
+from loxodrome.operators import chains, graph, matching, records, regions, spatial, stats, territory, vectors
 
 PLACES = [(0.0, 0.0), (30.0, 40.0), (200.0, 10.0), (35.0, 45.0)]
 ROWS = [(i, *PLACES[i % 4]) for i in range(40)]
@@ -128,3 +129,15 @@ def test_names_of_a_place_meet_once_and_all_pairs_are_there(spark):
     want = sorted((p[0], q[0], str(distance(p, q))) for p in left for q in right if p[1] == q[1] != "")
     found = matching.exact_name_distances(a, b, each=2, places=3)
     assert sorted((r.left_id, r.right_id, str(r.distance_m)) for r in found.collect()) == want
+
+
+def test_squares_of_a_place_are_clipped_once(spark, monkeypatch):
+    squares = spark.createDataFrame([(i, -22941.7 + i % 2 * 300, -32905.06) for i in range(60)], "region_id long, x double, y double")
+    seen, kind = [], type(squares)
+    plain = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, *given, **more: (seen.append(self.count()), plain(self, *given, **more))[1])
+    got = records.meshes_of_squares(squares, crs.JAPAN_9, 500.0).collect()
+    assert seen[0] < 60 and {r.region_id for r in got} == set(range(60))
+    for i in range(60):
+        own = [r for r in got if r.region_id == i]
+        assert abs(sum(r.area_m2 for r in own) - 1e6) < 1 and len({r.mesh_code for r in own}) == len(own)
