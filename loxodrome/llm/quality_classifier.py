@@ -13,13 +13,17 @@ A document is kept if its perplexity is at most its
 language's threshold: the quantile ``level`` of all trusted texts of the language
 that are not in the fit.
 
-Only the fit is of a bounded sample: of the trusted texts whose hash is even, the
-``most`` first by hash of id.  So texts outside it, copies included, are unseen
-by the model.  Quantiles are exact over thousandths of a bit.
+Nothing is sampled.  Texts fall into two halves by hash, so copies share one; all
+trusted texts of a half make its model, which scores the other half.  So every text
+is scored once, by a model that has not seen it, and every trusted text counts in a
+model and in the thresholds.  Only if a caller names ``most``, one model is fitted
+on a bounded sample instead: of the trusted texts whose hash is even, the ``most``
+first by hash of id.  Quantiles are exact over thousandths of a bit.
 
 Defined results: null text is scored as an empty one; a language without trusted
 texts outside the fit takes the threshold of all languages, and nothing is kept
-where there is none at all; a model of no texts gives every word the same chance;
+where there is none at all; a model of no texts gives every word the same chance,
+and of two halves, what such a model scores is neither kept nor in a threshold;
 ids may be of any type (trusted ids are cast to it); a null id is never trusted;
 repeated rows stay rows; an empty table gives an empty one.  A text of any length
 is scored whole, by one task.
@@ -159,20 +163,35 @@ def thresholds(scored: DataFrame, level: float) -> DataFrame:
     return upto.groupBy("every", "_lang").agg(((at + 1) / _STEP).alias("limit"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: float = 0.99, most: int = 2_000) -> DataFrame:
+def _sampled(plain: DataFrame, ids: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows scored by a model of the first ``most`` trusted ids of even texts, and those of trusted texts outside it."""
+    halves = plain.where("_half").select("_id").join(ids, "_id", "left_semi").distinct()
+    fit = cut(halves.orderBy(F.xxhash64("_id"), "_id").limit(most))
+    fitted = plain.where("_half").join(F.broadcast(fit), "_id", "left_semi")  # at most ``most`` ids
+    scored = cut(score(plain, train(fitted)).withColumn("_known", F.lit(True)))
+    return scored, scored.join(ids, "_id", "left_semi").join(F.broadcast(fit.withColumn("_half", F.lit(True))), ["_id", "_half"], "left_anti")
+
+
+def _crossed(plain: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of each half scored by a model of all trusted texts of the other, and those of trusted texts."""
+    parts = []
+    for half in (F.col("_half"), ~F.col("_half")):
+        model = train(plain.where(half).join(ids, "_id", "left_semi"))
+        parts.append(cut(score(plain.where(~half), model).withColumn("_known", F.lit(model.unknown < 1))))
+    scored = parts[0].union(parts[1])
+    return scored, scored.where("_known").join(ids, "_id", "left_semi")
+
+
+def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: float = 0.99, most: int | None = None) -> DataFrame:
     """doc_id, n_tokens (words and an end), log10_prob, perplexity (per token), threshold, kept; ``trusted`` has the ids of trusted texts in its first column."""
     kind = docs.schema[id_col].dataType
     half = F.pmod(F.xxhash64(f"`{text_col}`"), F.lit(2)) == 0
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").cast("string").alias("_lang"), half.alias("_half"))
     ids = cut(trusted.select(F.col(f"`{trusted.columns[0]}`").try_cast(kind).alias("_id")).where("_id IS NOT NULL").distinct())
-    halves = plain.where("_half").select("_id").join(ids, "_id", "left_semi").distinct()
-    fit = cut(halves.orderBy(F.xxhash64("_id"), "_id").limit(most))
-    fitted = plain.where("_half").join(F.broadcast(fit), "_id", "left_semi")  # at most ``most`` ids
-    scored = cut(score(plain, train(fitted)))
-    unseen = scored.join(ids, "_id", "left_semi").join(F.broadcast(fit.withColumn("_half", F.lit(True))), ["_id", "_half"], "left_anti")
+    scored, unseen = _crossed(plain, ids) if most is None else _sampled(plain, ids, most)
     limits = cut(thresholds(unseen, level))
     every = limits.where("every").select(F.col("limit").alias("any"))
     joined = join_bounds(scored.withColumn("_l", F.col("_lang")).drop("_lang"), limits.where("NOT every").select("_lang", "limit"), "_l").join(F.broadcast(every), how="left")  # one row
     limit = F.coalesce("limit", "any")
     rate = F.col("bits") / F.col("n_tokens")
-    return joined.select(F.col("_id").alias(id_col), "n_tokens", (-F.col("bits") * F.log10(F.lit(2.0))).alias("log10_prob"), F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), F.coalesce(rate <= limit, F.lit(False)).alias("kept"))
+    return joined.select(F.col("_id").alias(id_col), "n_tokens", (-F.col("bits") * F.log10(F.lit(2.0))).alias("log10_prob"), F.pow(F.lit(2.0), rate).alias("perplexity"), F.pow(F.lit(2.0), limit).alias("threshold"), F.coalesce(F.col("_known") & (rate <= limit), F.lit(False)).alias("kept"))

@@ -204,6 +204,26 @@ def test_classifier_matches_dictionaries(spark):
     assert all(abs(x.log10_prob / x.n_tokens + math.log10(x.perplexity)) < 1e-6 for x in got)
 
 
+def test_all_trusted_texts_are_in_a_model_and_in_a_threshold(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdef") for _ in range(r.randint(2, 4))) for _ in range(30)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.choice([1, 8, 30]))), "en" if i % 3 else "fr", "a", 1) for i in range(80)] + [(100, None, "en", "a", 1)]
+    rows += [(101, rows[4][1], "en", "a", 1), (102, rows[5][1], "fr", "a", 1)]
+    trusted = [*range(0, 60), 101]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    half = {x.doc_id: x.half for x in docs.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(2)) == 0).alias("half")).collect()}
+    models = {h: SlowWords([t for d, t, *_ in rows if d in trusted and half[d] == h]) for h in (True, False)}
+    bits = {d: models[not half[d]].bits(t) for d, t, *_ in rows}
+    limit = {}
+    for lang in ("en", "fr"):
+        own = sorted(math.floor(bits[d] * 1000) for d, _, x, *_ in rows if x == lang and d in trusted)
+        limit[lang] = (own[math.ceil(len(own) * 0.9) - 1] + 1) / 1000
+    got = {x.doc_id: x for x in classify(docs.repartition(3), spark.createDataFrame([(x,) for x in trusted], "id long"), level=0.9).collect()}
+    assert len(got) == len(rows) and {x.kept for x in got.values()} == {True, False}
+    for d, _, lang, *_ in rows:
+        assert abs(math.log2(got[d].perplexity) - bits[d]) < 1e-4 * max(bits[d], 1) and abs(math.log2(got[d].threshold) - limit[lang]) < 0.0011
+
+
 def test_a_model_without_texts_and_ids_of_text(spark):
     docs = spark.createDataFrame([("a", "x y", "en"), (None, None, None)], "doc_id string, text string, lang string")
     assert [x.kept for x in classify(docs, spark.createDataFrame([], "doc_id long")).collect()] == [False, False]
