@@ -21,9 +21,9 @@ a link also needs that the sets of shingles overlap by that share (Jaccard, of 3
 bits of each shingle's hash: sets of a thousand share one by chance once in 4,000
 pairs), and a class is of equal sets (by all 64).  Candidates are
 checked in rounds, each row's nearest first; what is already linked is not
-checked again, and everything else is.  Before sets are made, pairs go that can't
-overlap so far: each set marks its hashes in ``_MARKS`` bits, and a hash whose bit
-the other set lacks is not in it.
+checked again, and everything else is.  Where fingerprints meet, pairs go that
+can't overlap so far: each set marks its hashes in ``_MARKS`` bits, and a hash whose
+bit the other set lacks is not in it.
 
 A bucket of more than ``split`` rows goes to several tasks, by pairs of tiles,
 which together compare all that one task would.
@@ -257,15 +257,30 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 _SMALL = 32
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, since: int, upto: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within the radius that have different labels; a null pair if more of them follow.
+def _may_overlap(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Whether sets of n and m hashes with marks x and y may overlap by the share."""
+    both = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return both * share[1] >= share[0] * (n + m - both)
 
-    Of small groups all pairs, and whether one is a row's nearest later one; in
+
+def _possible(batches: Iterator[pa.RecordBatch], *, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets may overlap by the share: those whose sizes and marks allow it."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _MARKS // 8) for c in ("xa", "xb"))
+        yield batch.select(["a", "b"]).filter(pa.array(_may_overlap(n, m, x, y, share)))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, share: tuple[int, int], since: int, upto: int) -> Iterator[pa.RecordBatch]:
+    """Pairs within the radius that have different labels and whose sizes and marks allow the share; a null pair if more of them follow.
+
+    Of small groups all such pairs, and whether one is a row's nearest later one; in
     large ones of each row's later ones, nearest first, numbers ``since`` to ``upto``.
     """
     for table in _whole(batches):
         table = table.combine_chunks()
-        cls, label, side = (table[c].to_numpy() for c in ("cls", "label", "side"))
+        cls, label, side, n_of = (table[c].to_numpy() for c in ("cls", "label", "side", "_n"))
+        marks = np.frombuffer(b"".join(table["_marks"].to_pylist()), np.uint8).reshape(-1, _MARKS // 8)
         prints = table["print"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, words)
         key = _codes(table)
         start, length = _groups(key)
@@ -276,6 +291,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, s
             i = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
             far = np.bitwise_count(prints[i] ^ prints[i + shift]).sum(axis=1, dtype=np.int64)
             good = (far <= radius) & ((side[i] < 0) | (side[i] != side[i + shift])) & (label[i] != label[i + shift])
+            i, far = i[good], far[good]
+            good = _may_overlap(n_of[i], n_of[i + shift], marks[i], marks[i + shift], share)
             found.append((i[good], far[good], np.full(good.sum(), shift)))
         if found:
             i, far, shift = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -297,8 +314,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, s
                 other = np.take_along_axis(near & (label[i:j, None] != label[None, i : s + n]), order, axis=1)
                 more = more or bool(other[:, upto:].any())
                 p, q = np.nonzero(other[:, since:upto])
-                a_parts.append(cls[i + p])
-                b_parts.append(cls[i + order[p, q + since]])
+                p, q = i + p, i + order[p, q + since]
+                good = _may_overlap(n_of[p], n_of[q], marks[p], marks[q], share)
+                p, q = p[good], q[good]
+                a_parts.append(cls[p])
+                b_parts.append(cls[q])
                 first.append(np.ones(len(p), bool))
         a, b = np.concatenate(a_parts), np.concatenate(b_parts)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.concatenate(first))], names=["a", "b", "first"])
@@ -306,15 +326,6 @@ def _candidates(batches: Iterator[pa.RecordBatch], *, words: int, radius: int, s
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([True])], names=["a", "b", "first"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch], *, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets may overlap by the share: those whose sizes and marks allow it."""
-    for batch in batches:
-        n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, _MARKS // 8) for c in ("xa", "xb"))
-        both = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-        yield batch.select(["a", "b"]).filter(pa.array(both * share[1] >= share[0] * (n + m - both)))
-
-
 def _set_of(batches: Iterator[pa.RecordBatch], *, size: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     """The sets of shingles of the texts whose key may be wanted."""
     for batch in batches:
@@ -351,8 +362,8 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate([start, [len(key)]]))
 
 
-def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame:
-    """cls, print, no, bits, n, pair, side of the classes in each bucket of n, by pairs of tiles if it is large: what meets doesn't depend on ``split``."""
+def _dealt(classes: DataFrame, words: int, radius: int, split: int, *also: str) -> DataFrame:
+    """cls, print, no, bits, n, pair, side and (of wide fingerprints) ``also`` of the classes in each bucket of n, by pairs of tiles if it is large: what meets doesn't depend on ``split``."""
     banded = words == 1 and radius <= 2
     buckets = _bands(F.col("print")) if banded else F.transform("least", lambda x, i: F.struct(i.alias("no"), x.alias("bits")))
     carried = ["cls", "print"] if words == 1 else ["cls"]
@@ -362,7 +373,7 @@ def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame
     size = keyed.groupBy("no", "bits").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(size, ["no", "bits"])
     if words > 1:
-        met = met.join(classes.groupBy("cls").agg(F.first("print").alias("print")), "cls")  # a class has one
+        met = met.join(classes.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("print", *also)]), "cls")  # a class has one
     tiles = F.when(F.col("n") > split, F.ceil(F.col("n") / split).cast("int"))
     own = F.pmod(F.xxhash64("cls"), F.col("t")).cast("int")
     return (
@@ -371,7 +382,7 @@ def _dealt(classes: DataFrame, words: int, radius: int, split: int) -> DataFrame
         .withColumn("other", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("t") - 1), F.array(F.lit(-1)))))
         .withColumn("pair", F.coalesce(F.least("own", "other") * F.col("t") + F.greatest("own", "other"), F.lit(-1)))
         .withColumn("side", F.when(F.col("own") != F.col("other"), F.col("own")).otherwise(F.lit(-1)))
-        .select("cls", "print", "no", "bits", "n", "pair", "side")
+        .select("cls", "print", "no", "bits", "n", "pair", "side", *also)
     )
 
 
@@ -399,8 +410,8 @@ def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: i
     of the candidates', so texts don't move.  Small buckets are compared once, and
     their pairs kept; only large ones are read again.
     """
-    dealt = _dealt(classes, words, radius, split)
-    given = {"words": words, "radius": radius}
+    dealt = _dealt(classes, words, radius, split, "_n", "_marks")
+    given = {"words": words, "radius": radius, "share": share}
 
     def candidates(rows: DataFrame, since: int, upto: int) -> DataFrame:
         found = _together(rows).mapInArrow(partial(_candidates, **given, since=since, upto=upto), "a long, b long, first boolean")
@@ -411,8 +422,7 @@ def checked_classes(classes: DataFrame, texts: DataFrame, *, size: int, words: i
     links = label = large = None
     since, upto = 0, 1
     while True:
-        marked = [classes.select(F.col("cls").alias(k), F.col("_n").alias(f"n{k}"), F.col("_marks").alias(f"x{k}")) for k in "ab"]
-        pairs = cut(pairs.select("a", "b").join(marked[0], "a").join(marked[1], "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(partial(_possible, share=share), "a long, b long"))
+        pairs = cut(pairs.select("a", "b"))
         needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "_key"), "cls"))
         wanted = texts.sparkSession.sparkContext.broadcast(bloom(needed.select(F.col("_key").alias("key"))))
         sets = texts.select("_key", "_text").mapInArrow(partial(_set_of, size=size, wanted=wanted), "_key long, hashes binary")
@@ -464,10 +474,23 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **given: object) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest id stays (null last), of repeated rows one."""
-    found = near_groups(docs, id_col=id_col, text_col=text_col, **given)
+    found = cut(near_groups(docs, id_col=id_col, text_col=text_col, **given).select(id_col, "_key", "component"))
     first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_key")).alias("x")
-    stay = found.groupBy("component").agg(first).select(F.col("x._key").alias("_key"), F.col("x.id").alias("_stay"))
+    stay = cut(found.groupBy("component").agg(first).select(F.col("x._key").alias("_key"), F.col("x.id").alias("_stay")))
     keyed = docs.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("_key"), F.col(f"`{id_col}`").alias("_own"))
-    kept = keyed.join(stay, "_key").where(F.col("_own").eqNullSafe(F.col("_stay")))  # a key is of one component
+    # Only rows of a key that goes, or that several have, meet what is known of them; the others stay, and their texts don't move.
+    rows = found.groupBy("_key").agg(F.count("*").alias("n")).join(stay.select("_key").distinct().withColumn("_stays", F.lit(True)), "_key", "left")
+    open_ = cut(rows.where("n > 1 OR _stays IS NULL").select(F.col("_key").alias("key")))
+    doubtful = docs.sparkSession.sparkContext.broadcast(bloom(open_))
+    schema = keyed.schema
+    alone, others = (keyed.mapInArrow(partial(_passing, doubtful=doubtful, wanted=w), schema) for w in (False, True))
+    kept = others.join(stay, "_key").where(F.col("_own").eqNullSafe(F.col("_stay")))  # a key is of one component
     again = F.row_number().over(Window.partitionBy("_key").orderBy("_own", F.col("_row")[text_col]))
-    return kept.withColumn("_again", again).where("_again = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    kept = kept.withColumn("_again", again).where("_again = 1").select("_row")
+    return alone.select("_row").union(kept).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _passing(batches: Iterator[pa.RecordBatch], *, doubtful: Broadcast, wanted: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose key passes the filter, or those whose key doesn't."""
+    for batch in batches:
+        yield batch.filter(pa.array(passes(doubtful.value, batch.column("_key").to_numpy().view(np.uint64)) == wanted))

@@ -184,3 +184,38 @@ def test_majority_over_chunks(monkeypatch):
     for chunk in (1, 7, 64, 1 << 15):
         monkeypatch.setattr(simhash, "_CHUNK", chunk)
         assert simhash._majority(hashes, begins).tolist() == want
+
+
+def test_candidates_are_only_pairs_that_may_overlap():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 300 - 5 * i], r.integers(0, 1 << 63, 5 * i, dtype=np.uint64)])) for i in range(12)] * 4
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    marks = [m.tobytes() for m in simhash._marks(np.concatenate(sets), at)]
+    for n in (12, 48):  # a small group, and a large one
+        batch = pa.table({
+            "cls": np.arange(n), "print": pa.array([[0]] * n, pa.list_(pa.int64())), "no": np.zeros(n, np.int32), "bits": np.zeros(n, np.int64), "pair": np.full(n, -1, np.int32), "side": np.full(n, -1, np.int32),
+            "label": np.arange(n), "_n": [len(x) for x in sets[:n]], "_marks": pa.array(marks[:n], pa.binary()),
+        }).combine_chunks().to_batches()
+        found = {(a, b) for o in simhash._candidates(batch, words=1, radius=0, share=(4, 5), since=0, upto=n) for a, b in zip(*(o[c].to_pylist() for c in "ab")) if a is not None}
+        all_ = {(i, j) for i in range(n) for j in range(i + 1, n)}
+        close = {(i, j) for i, j in all_ if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+        assert close <= found < all_
+
+
+def test_texts_that_surely_stay_do_not_move(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(400)}" for _ in range(80)) for _ in range(20)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(30, texts[3], "en"), (31, texts[4] + " more", "fr"), (5, texts[5], "en"), (None, texts[6], None), (None, "alone " * 9, None), (40, None, "de")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"), size=5, words=4, radius=64, keys=8, share=(4, 5))
+    want = [(i, t, "en") for i, t in enumerate(texts)] + [(None, "alone " * 9, None), (40, None, "de")]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    first = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    union = next(i for i, line in enumerate(first) if "Union" in line)
+    depth = first[union].index("Union")
+    side = [line for line in first[union + 1 :] if len(line) > depth]
+    second = next(i for i, line in enumerate(side) if line[depth : depth + 3] == "+- ")
+    assert not any("Join" in line or "Window" in line for line in side[:second]) and any("Join" in line for line in side[second:])
