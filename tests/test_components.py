@@ -23,3 +23,16 @@ def test_chain_stars_and_ties(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_links_are_closed_as_many_are(spark, monkeypatch):
+    from loxodrome.operators import components as C
+
+    r = random.Random(12)
+    pairs = [(i, i + 1) for i in range(40)] + [(100 + r.randrange(60), 100 + r.randrange(60)) for _ in range(40)] + [(None, 3), (7, None), (-5, 2**62), (9, 9)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    few = {tuple(x) for x in C.connected_components(links).collect()}
+    assert "MapInArrow" in C.connected_components(links)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(C, "FEW", -1)
+    assert {tuple(x) for x in C.connected_components(links).collect()} == few and (40, 0) in few and (2**62, -5) in few
+    assert C.connected_components(links.where("a = b")).count() == 0
