@@ -24,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the quality rules reject go."""
-    return quality_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return quality_rules(docs.select(*COLUMNS), model="words").where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

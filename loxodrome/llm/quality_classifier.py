@@ -1,24 +1,25 @@
 """Quality by perplexity under a Kneser-Ney model of trusted text.
 
 The model is interpolated modified Kneser-Ney over trigrams of words (see
-``word_ngrams``), counted from trusted texts only; its tables stay sharded by the
-n-grams' hashes.  Each block of documents asks for what it needs of its
-distinct n-grams and gets a number for each back (see ``blocks``), so a frequent
-n-gram is one entry a block.  N-grams that the model does not have are not asked
-for: a Bloom filter of those it has, of at most ``filters.MOST_BITS`` bits, goes to
-every task; what it lets through by chance is answered as an n-gram never seen.
-Keys move as 48 bits beside the bucket's, so an n-gram takes the number of another
-with a chance of about (n-grams of a bucket / 2**48).  Texts move once, compressed.
-A document is kept if its perplexity is at most its
-language's threshold: the quantile ``level`` of all trusted texts of the language
-that are not in the fit.
+``word_ngrams``), counted from trusted texts only.  A document is kept if its
+perplexity is at most its language's threshold: the quantile ``level`` of all
+trusted texts of the language that are not in the fit.
 
 Nothing is sampled.  Texts fall into two halves by hash, so copies share one; all
-trusted texts of a half make its model, which scores the other half.  So every text
-is scored once, by a model that has not seen it, and every trusted text counts in a
-model and in the thresholds.  Only if a caller names ``most``, one model is fitted
-on a bounded sample instead: of the trusted texts whose hash is even, the ``most``
-first by hash of id.  Quantiles are exact over thousandths of a bit.
+trusted texts of a half make its model, which scores the other half (see
+``word_scores``).  So every text is scored once, by a model that has not seen it,
+and every trusted text counts in a model and in the thresholds.
+
+Only if a caller names ``most``, one model is fitted on a bounded sample instead: of
+the trusted texts whose hash is even, the ``most`` first by hash of id.  Its tables
+stay sharded by the n-grams' hashes.  Each block of documents asks for what it needs
+of its distinct n-grams and gets a number for each back (see ``blocks``).  N-grams
+that the model does not have are not asked for: a Bloom filter of those it has, of
+at most ``filters.MOST_BITS`` bits, goes to every task; what it lets through by
+chance is answered as an n-gram never seen.  Keys move as 48 bits beside the
+bucket's, so an n-gram takes the number of another with a chance of about (n-grams
+of a bucket / 2**48).  Texts move once, compressed.  Quantiles are exact over
+thousandths of a bit.
 
 Defined results: null text is scored as an empty one; a language without trusted
 texts outside the fit takes the threshold of all languages, and nothing is kept
@@ -50,6 +51,7 @@ from .filters import bloom, passes
 from .ngrams import find
 from .quality_rules import join_bounds
 from .word_ngrams import Model, key, slices, train, word_trigrams
+from .word_scores import cross_scored
 from .words import text_array
 
 BLOCK_BYTES = 6 << 20
@@ -174,12 +176,9 @@ def _sampled(plain: DataFrame, ids: DataFrame, most: int) -> tuple[DataFrame, Da
 
 def _crossed(plain: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of each half scored by a model of all trusted texts of the other, and those of trusted texts."""
-    parts = []
-    for half in (F.col("_half"), ~F.col("_half")):
-        model = train(plain.where(half).join(ids, "_id", "left_semi"))
-        parts.append(cut(score(plain.where(~half), model).withColumn("_known", F.lit(model.unknown < 1))))
-    scored = parts[0].union(parts[1])
-    return scored, scored.where("_known").join(ids, "_id", "left_semi")
+    rows = plain.join(ids.withColumn("_train", F.lit(True)), "_id", "left")
+    scored = cross_scored(rows.withColumn("_trusted", F.col("_train")), plain.select("_text")).withColumnRenamed("known", "_known").drop("word_bits")
+    return scored, scored.where("_known AND _trusted")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", level: float = 0.99, most: int | None = None) -> DataFrame:

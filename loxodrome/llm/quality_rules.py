@@ -1,13 +1,24 @@
 """Quality rules: plain counts, and perplexity bands of a Kneser-Ney model.
 
-Spark counts the 4-grams of 64 symbol classes of all texts that pass the plain
-rules, at most 64**4 = 16.8 million sums whatever the corpus, and turns them into
-the discounted shares of interpolated modified Kneser-Ney.  These are kept in
-sorted arrays, 8 bytes an n-gram, which go to every executor once as a broadcast
-variable; their size is checked against that bound (``MODEL_BYTES``).  A text's
-perplexity is that of its bytes and end.  Per language, the band is the middle
-half of the logarithm of perplexity, widened on both sides by ``widen`` times its
-width (at least ``least``); texts outside it are rejected.
+With ``model="words"``, as the query and the pipeline ask, the model is one of words: interpolated modified Kneser-Ney over trigrams
+of words, from all texts that pass the plain rules.  Texts fall into two halves by
+their least trigram, so copies share one, and near copies nearly always; each half's
+model scores the other half (see ``word_scores``), and a text's perplexity is that of
+its words and end.  Where the
+other half has no text that passes the plain rules, these alone decide.
+
+With ``model="classes"`` (the default) it is one of symbols: Spark counts the 4-grams of 64 symbol
+classes of all texts that pass the plain rules, at most 64**4 = 16.8 million sums
+whatever the corpus, and turns them into the discounted shares of interpolated
+modified Kneser-Ney.  These are kept in sorted arrays, 8 bytes an n-gram, which go
+to every executor once as a broadcast variable; their size is checked against that
+bound (``MODEL_BYTES``).  A text's perplexity is that of its bytes and end.
+
+Per language, the band is the middle half of the logarithm of perplexity, widened on
+both sides by ``widen`` times its width (at least ``least`` bits a byte, six times as
+much a word); texts outside it are rejected.  Of the word model, the upper edge is that of the whole model and the lower
+one that of its lowest order alone: a passage that other texts have too lowers the
+former, so texts would go for being near copies of each other, all of them.
 
 Each text is measured once: rows with their figures are written to the shared
 folder, from which bands and result are read.  Quantiles are exact over
@@ -36,6 +47,7 @@ from loxodrome.plans.lineage import cut, written
 
 from .blocks import mix, runs
 from .ngrams import SYMBOLS, KneserNey, class_grams, fit
+from .word_scores import cross_scored
 from .words import pieces, split_words, text_array, word_hashes
 
 ORDER = 4
@@ -45,6 +57,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _STEP = 1000  # parts of a bit
+_WORD_BYTES = 6  # of a word and the space after it: ``least`` is in bits a byte
 
 
 def _per_text(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -149,10 +162,31 @@ def join_bounds(rows: DataFrame, small: DataFrame, key: str, most: int = 10_000)
     return rows.join(short, F.col(key).eqNullSafe(F.col("_lang")), "left")
 
 
-def quality_rules(docs: DataFrame, *, columns: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", widen: float = 1.5, least: float = 0.09) -> DataFrame:
+def _look(texts: pa.Array) -> dict[str, np.ndarray]:
+    found = plain_counts(texts)
+    return {k: found[k].astype(np.int64) for k in _COUNTS} | {"base_failed": found["base_failed"], "_train": ~found["base_failed"]}
+
+
+def measure_words(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """As measure, by word models of the other half, and word_bits, of the models' lowest order; both are per word, null where that half has no model."""
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(text.alias("_text"), F.lit(True).alias("_train"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)])
+    scored = cross_scored(rows, rows, _look, ", ".join([*[f"{c} long" for c in _COUNTS], "base_failed boolean"]))
+    return scored.withColumns({c: F.when(F.col("known"), F.col(c) / F.col("n_tokens")) for c in ("bits", "word_bits")}).drop("known", "n_tokens")
+
+
+def quality_rules(docs: DataFrame, *, columns: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", widen: float = 1.5, least: float = 0.09, model: str = "classes") -> DataFrame:
     """``columns`` of ``docs`` (all, if none are named; those that bear a name below are replaced), the counts, base_failed, bits, low, high, kept."""
     names = [c for c in columns or docs.columns if c not in (*_COUNTS, "base_failed", "bits", "low", "high", "kept")]
-    figures = written(measure(docs, train(docs, text_col), [lang_col, *names], text_col))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    joined = join_bounds(figures, bands(figures, "_c0", widen, least), "_c0")
-    return joined.select(*[F.col(f"_c{i + 1}").alias(c) for i, c in enumerate(names)], *_COUNTS, "base_failed", "bits", "low", "high", kept.alias("kept"))
+    if model == "words":
+        figures = measure_words(docs, [lang_col, *names], text_col)
+        known = figures.where("bits IS NOT NULL")
+        low = bands(known.withColumn("bits", F.col("word_bits")), "_c0", widen, least * _WORD_BYTES).select(F.col("_lang").alias("_low_lang"), "low")
+        limits = bands(known, "_c0", widen, least * _WORD_BYTES).select("_lang", "high").join(low, F.col("_lang").eqNullSafe(F.col("_low_lang"))).select("_lang", "low", "high")
+        inside = F.col("bits").isNull() | F.coalesce((F.col("word_bits") >= F.col("low")) & (F.col("bits") <= F.col("high")), F.lit(False))
+    else:
+        figures = written(measure(docs, train(docs, text_col), [lang_col, *names], text_col))
+        limits = bands(figures, "_c0", widen, least)
+        inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
+    joined = join_bounds(figures, limits, "_c0")
+    return joined.select(*[F.col(f"_c{i + 1}").alias(c) for i, c in enumerate(names)], *_COUNTS, "base_failed", "bits", "low", "high", (~F.col("base_failed") & inside).alias("kept"))

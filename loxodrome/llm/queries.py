@@ -67,7 +67,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules(documents(spark, sf_dir), columns=["doc_id"])
+    found = quality_rules(documents(spark, sf_dir), columns=["doc_id"], model="words")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
