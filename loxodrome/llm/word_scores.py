@@ -41,7 +41,7 @@ from .word_ngrams import END, START, key
 from .words import pieces, split_words, text_array, word_hashes
 
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
-PASSES, SLICES = 8, 8
+PASSES, SLICES = 16, 8
 _WORD, _PAIR, _TRIPLE, _WORDS, _SUMS = 1, 2, 3, 5, 9  # what a row holds
 _ASK = "role int, bkt int, blk long, half boolean, train boolean, body binary"
 _ANSWER = pa.schema([("role", pa.int32()), ("bkt", pa.int32()), ("blk", pa.int64()), ("body", pa.binary())])
@@ -370,7 +370,7 @@ def cross_scored(rows: DataFrame, size: DataFrame, look: Callable | None = None,
     names = [x for x in rows.columns if x not in ("_text", "_half", "_train")]
     amount = size.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     grow = min(16.0, max(1.0, (amount / (1 << 30)) ** 0.5))
-    buckets = max(2 * PASSES, math.ceil(amount / (BUCKET_BYTES * grow)))
+    buckets = max(PASSES, math.ceil(amount / (BUCKET_BYTES * grow)))
     word_buckets = max(1, buckets // 8)
     types = ", ".join(f"{c} {rows.schema[n].dataType.simpleString()}" for c, n in ((f"_c{i}", n) for i, n in enumerate(names)))
     plain = rows.select(*[c for c in ("_text", "_half", "_train") if c in rows.columns], *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)])

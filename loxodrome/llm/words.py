@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +12,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+#: glibc's M_MMAP_THRESHOLD and M_TRIM_THRESHOLD: by themselves they grow to 32 MB and more.
+_MMAP, _TRIM = -3, -1
+
+
+def give_back() -> None:
+    """Large arrays go back to the system as they are freed, so a worker that waits for its next task holds little of an executor's memory."""
+    if sys.platform == "linux":
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            libc = ctypes.CDLL(None)
+            libc.mallopt(_MMAP, 1 << 20)
+            libc.mallopt(_TRIM, 1 << 20)
+
+
+give_back()
+
 
 def text_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One array of strings; null texts become empty ones."""
