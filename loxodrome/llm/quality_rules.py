@@ -48,7 +48,7 @@ from loxodrome.plans.lineage import cut, written
 from .blocks import mix, runs
 from .ngrams import SYMBOLS, KneserNey, class_grams, fit
 from .word_scores import cross_scored
-from .words import pieces, split_words, text_array, word_hashes
+from .words import coded_words, pieces, text_array
 
 ORDER = 4
 #: Keys and shares of all orders, and of all contexts.
@@ -61,13 +61,15 @@ _WORD_BYTES = 6  # of a word and the space after it: ``least`` is in bits a byte
 
 
 def _per_text(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
-    return upto[at[1:]] - upto[at[:-1]]
+    some, out = at[1:] > at[:-1], np.zeros(len(at) - 1, np.int64)
+    if some.any():
+        out[some] = np.add.reduceat(marks, at[:-1][some], dtype=np.int64)
+    return out
 
 
-def _repeats(words: pa.Array, at: np.ndarray) -> np.ndarray:
+def _repeats(words: pa.DictionaryArray, at: np.ndarray) -> np.ndarray:
     """Words of each text in 3-word windows found twice or more in it."""
-    x = word_hashes(words)
+    x = mix(np.arange(1, len(words.dictionary) + 1, dtype=np.uint64))[words.indices.to_numpy()]
     end = np.repeat(at[1:], np.diff(at))
     start = np.flatnonzero(np.arange(len(x)) + 3 <= end)
     if not len(start):
@@ -95,8 +97,9 @@ def _dup_lines(texts: pa.Array) -> np.ndarray:
     return np.bincount(text[some], minlength=len(texts)) - np.bincount(pairs >> 32, minlength=len(texts))
 
 
-def plain_counts(texts: pa.Array) -> dict[str, np.ndarray]:
-    words, at = split_words(texts)
+def plain_counts(texts: pa.Array, coded: tuple[pa.DictionaryArray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """``coded``: the texts' ``coded_words``, if they are at hand."""
+    words, at = coded or coded_words(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -162,8 +165,8 @@ def join_bounds(rows: DataFrame, small: DataFrame, key: str, most: int = 10_000)
     return rows.join(short, F.col(key).eqNullSafe(F.col("_lang")), "left")
 
 
-def _look(texts: pa.Array) -> dict[str, np.ndarray]:
-    found = plain_counts(texts)
+def _look(texts: pa.Array, coded: tuple[pa.DictionaryArray, np.ndarray]) -> dict[str, np.ndarray]:
+    found = plain_counts(texts, coded)
     return {k: found[k].astype(np.int64) for k in _COUNTS} | {"base_failed": found["base_failed"], "_train": ~found["base_failed"]}
 
 

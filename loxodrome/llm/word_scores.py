@@ -4,19 +4,23 @@ Texts fall into two halves.  The training texts of each half make its model, whi
 scores the texts of the other half, so no text is scored by a model that has seen
 it.  Words and trigrams are those of ``word_ngrams``.
 
-Texts are cut once into blocks of a few megabytes, kept as codes of words.  In each
-pass a block sends a part of the hash ranges (*buckets*) what it has there of
-distinct trigrams under the hash of their first two words, and of distinct bigrams
-with the words found before them.  A bucket sums these and answers every block in
-the order asked with whole numbers: the trigram's count and its context's counts;
-the number of words before the bigram.  By word, a third exchange answers how many
-words stand before it and what it leaves as a context.  Discounts follow from counts
-of counts, six numbers a bucket, so one exchange serves both fit and lookup.  A
-pass's shuffles are dropped as it ends; answers are small, for most n-grams are
-rare.  A frequent word, pair or trigram is one entry a block, whatever its count.
+Texts are cut once into blocks, kept as codes of words.  What a block asks for, it
+sends as sorted hashes to hash ranges (*buckets*), which sum what all blocks sent and
+answer each block in the order asked with whole numbers that serve both fit and
+lookup.  Trigrams go, in passes over the buckets, under the hash of their first two
+words; answers are the trigram's count and its context's counts.  Of each distinct
+trigram of a half's model, one training block that has it becomes the *owner*, so a
+bigram's number of distinct words before it is the sum of the owned trigrams that
+blocks count: bigrams go with that number alone, in passes too.  A bigram has one
+owner again, so words go once a block, each with what the owned bigrams add to it:
+how many words stand before it, and what it leaves as a context.
+
+Discounts follow from counts of counts, six numbers a bucket.  A pass's shuffles are
+dropped as it ends; answers are small, for most n-grams are rare.  A frequent word,
+pair or trigram is one entry a block, whatever its count.
 
 Words are 48-bit hashes.  Contexts of a bucket meet by 40 bits and their next words
-by 24, bigrams by both words, the words before them by 32 bits.
+by 24, bigrams by 40.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -36,14 +40,17 @@ from pyspark.sql import functions as F
 from loxodrome.plans.lineage import remove, shared_folder, tidy
 
 from .blocks import mix, runs
-from .ngrams import discounts, find
+from .ngrams import discounts
 from .word_ngrams import END, START, key
-from .words import pieces, split_words, text_array, word_hashes
-
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
-PASSES, SLICES = 16, 8
-_WORD, _PAIR, _TRIPLE, _WORDS, _SUMS = 1, 2, 3, 5, 9  # what a row holds
-_ASK = "role int, bkt int, blk long, half boolean, train boolean, body binary"
+from .words import coded_words, hashes_of, pieces, text_array
+
+#: Text of a block, that is cut to words at once, in a block at most; text whose n-grams share a bucket.
+BLOCK_BYTES, PIECE_BYTES, MOST_BYTES, BUCKET_BYTES = 36 << 20, 7 << 20, 64 << 20, 12 << 20
+#: Over buckets of trigrams, of bigrams, of words; parts of the blocks that meet their answers at once.
+PASSES, PAIR_PASSES, WORD_PASSES, SLICES = 4, 2, 2, 4
+_WORD, _PAIR, _TRIPLE, _MINE, _OWN, _SUMS = 1, 2, 3, 5, 6, 9  # what a row holds
+_BLOCK = "blk long, half boolean, body binary, docs binary"
+_ASK = "bkt int, blk long, half boolean, body binary"
 _ANSWER = pa.schema([("role", pa.int32()), ("bkt", pa.int32()), ("blk", pa.int64()), ("body", pa.binary())])
 _ANSWER_SQL = "role int, bkt int, blk long, body binary"
 _LOW = [np.uint64((1 << n) - 1) for n in (24, 32, 40, 48)]
@@ -74,31 +81,49 @@ def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of distinct words, START and END first; each word's place among these; words of each text."""
-    words, at = split_words(pc.ascii_lower(texts))
-    coded = words.dictionary_encode()
-    hashes = np.concatenate([np.array([START, END], np.uint64), word_hashes(coded.dictionary) & _LOW[3]])
-    return hashes, coded.indices.to_numpy().astype(np.uint32) + np.uint32(2), np.diff(at)
+def tokens(texts: pa.Array, coded: tuple[pa.DictionaryArray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of distinct words, START and END first; each word's place among these; words of each text, of which ``coded`` are the ``coded_words``."""
+    words, at = coded or coded_words(texts)
+    lower = pc.ascii_lower(words.dictionary).dictionary_encode()
+    hashes = np.concatenate([np.array([START, END], np.uint64), hashes_of(lower.dictionary) & _LOW[3]])
+    return hashes, (lower.indices.to_numpy().astype(np.uint32) + np.uint32(2))[words.indices.to_numpy()], np.diff(at)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Of a sorted array."""
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def together(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of several lots of texts as one."""
+    words = _distinct(np.sort(np.concatenate([hashes[2:] for hashes, *_ in parts])))
+    codes = [np.append(np.arange(2), np.searchsorted(words, hashes[2:]) + 2).astype(np.uint32)[of] for hashes, of, _ in parts]
+    return np.append(parts[0][0][:2], words), np.concatenate(codes), np.concatenate([n for *_, n in parts])
 
 
-def chosen(hashes: np.ndarray, codes: np.ndarray, n: np.ndarray, mine: np.ndarray) -> bytes:
-    """The tokens of some of the texts."""
-    used, place = np.unique(codes[np.repeat(mine, n)], return_inverse=True)
-    return pack(np.append(hashes[:2], hashes[used]), place.astype(np.uint32) + np.uint32(2), n[mine].astype(np.uint32))
+def chosen(hashes: np.ndarray, codes: np.ndarray, n: np.ndarray, mine: np.ndarray, train: np.ndarray) -> bytes:
+    """The tokens of some of the texts, codes by frequency, and which of these texts make a model."""
+    codes = codes[np.repeat(mine, n)]
+    count = np.bincount(codes, minlength=len(hashes))
+    used = np.flatnonzero(count)
+    used = used[np.lexsort((hashes[used], -count[used]))]
+    place = np.zeros(len(hashes), np.uint32)
+    place[used] = np.arange(2, len(used) + 2)
+    return pack(steps(np.append(hashes[:2], hashes[used])), place[codes], n[mine].astype(np.uint32), train[mine].astype(np.uint8))
 
 
 class Coded(NamedTuple):
-    """Hashes of a block's words; u, v, w: places among these of each word and end, and of the two before; where each text's begin."""
+    """Hashes of a block's words; u, v, w: places among these of each word and end, and of the two before; where each text's begin; whether it makes a model, by place."""
 
     hashes: np.ndarray
     u: np.ndarray
     v: np.ndarray
     w: np.ndarray
     at: np.ndarray
+    train: np.ndarray
 
 
-def coded(hashes: np.ndarray, codes: np.ndarray, n: np.ndarray) -> Coded:
+def coded(hashes: np.ndarray, codes: np.ndarray, n: np.ndarray, train: np.ndarray | None = None) -> Coded:
     n = n.astype(np.int64)
     wide, begins = np.concatenate([[0], np.cumsum(n + 3)]), np.concatenate([[0], np.cumsum(n + 1)])
     at = np.concatenate([[0], np.cumsum(n)])
@@ -106,11 +131,13 @@ def coded(hashes: np.ndarray, codes: np.ndarray, n: np.ndarray) -> Coded:
     x[np.arange(len(codes)) + np.repeat(wide[:-1] + 2 - at[:-1], n)] = codes
     x[wide[1:] - 1] = 1
     place = np.arange(begins[-1]) + np.repeat(wide[:-1] + 2 - begins[:-1], n + 1)
-    return Coded(hashes, x[place - 2], x[place - 1], x[place], begins)
+    train = np.ones(len(n), bool) if train is None else train.astype(bool)
+    return Coded(hashes, x[place - 2], x[place - 1], x[place], begins, np.repeat(train, n + 1))
 
 
 def decode(body: bytes) -> Coded:
-    return coded(*unpack(body))
+    hashes, *others = unpack(body)
+    return coded(np.cumsum(hashes), *others)
 
 
 def like_halves(c: Coded) -> np.ndarray:
@@ -134,79 +161,124 @@ def _parts(keys: np.ndarray, buckets: int, low: int, high: int) -> Iterator[tupl
         yield int(of[mine[s]]), mine[s : s + n]
 
 
-def triples(c: Coded, buckets: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By bucket of the first two words: places, distinct keys, each place's key, counts."""
-    context = mix(c.hashes[c.u] * _FACTOR + mix(c.hashes[c.v]))
+def triples(c: Coded, buckets: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By bucket of the first two words: places, distinct keys, each place's key."""
+    first, second = c.hashes * _FACTOR, mix(c.hashes)
+    context = mix(first[c.u] + second[c.v])
     for b, at in _parts(context, buckets, low, high):
-        words = (context[at] & _LOW[2]) << np.uint64(24) | c.hashes[c.w[at]] & _LOW[0]
-        yield b, at, *np.unique(words, return_inverse=True, return_counts=True)
+        yield b, at, *np.unique((context[at] & _LOW[2]) << np.uint64(24) | c.hashes[c.w[at]] & _LOW[0], return_inverse=True)
 
 
 def pairs(c: Coded, buckets: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By bucket of the last two words: places, distinct pairs of codes, each place's pair."""
-    both = mix(c.hashes[c.w] * _FACTOR + mix(~c.hashes[c.v]))
+    """By bucket of the last two words: places, distinct keys, each place's key."""
+    first, second = mix(~c.hashes), c.hashes * _FACTOR
+    both = mix(second[c.w] + first[c.v])
     for b, at in _parts(both, buckets, low, high):
-        yield b, at, *np.unique(c.v[at].astype(np.uint64) * np.uint64(len(c.hashes)) + c.w[at], return_inverse=True)
+        yield b, at, *np.unique(both[at] & _LOW[2], return_inverse=True)
 
 
-def _pair_body(c: Coded, at: np.ndarray, distinct: np.ndarray, of: np.ndarray, train: bool) -> bytes:
-    v, w = np.divmod(distinct, np.uint64(len(c.hashes)))
-    used, place = np.unique(np.concatenate([v, w]), return_inverse=True)
-    before = np.unique(of.astype(np.uint64) << np.uint64(32) | c.u[at]) if train else np.zeros(0, np.uint64)
-    counts = np.bincount((before >> np.uint64(32)).astype(np.int64), minlength=len(distinct))
-    place = place.astype(np.uint32)
-    return pack(c.hashes[used], place[: len(v)], place[len(v) :], counts.astype(np.uint32), (c.hashes[before & _LOW[1]] & _LOW[1]).astype(np.uint32))
+def word_parts(c: Coded, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """By bucket: places of words, by hash."""
+    for b, at in _parts(mix(c.hashes), buckets, 0, buckets):
+        yield b, at[np.argsort(c.hashes[at])]
+
+
+def _put(held: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    """A block of each half, of lots of texts: their tokens, halves, whether they make a model, their other columns."""
+    words, docs = together([x[0] for x in held]), pa.concat_tables([x[3] for x in held])
+    half, train = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+    for h in (False, True):
+        mine = half == h
+        if mine.any():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(docs.filter(pa.array(mine)).combine_chunks())
+            row = [pa.array([number + h]), pa.array([h]), pa.array([chosen(*words, mine, train)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, names=["blk", "half", "body", "docs"])
 
 
 def _block(batches: Iterator[pa.RecordBatch], *, others: int, size: int, look: Callable | None) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
-    for batch in pieces(batches, "_text", size):
+    number, held, upto = TaskContext.get().partitionId() << 32, [], 0
+    for batch in pieces(batches, "_text", min(size, PIECE_BYTES)):
         texts = text_array(batch.column("_text"))
-        more = look(texts) if look else {}
+        spelt = coded_words(texts)
+        more = look(texts, spelt) if look else {}
         train = pc.fill_null(batch.column("_train"), False).to_numpy(zero_copy_only=False) & more.pop("_train", True)
-        words = tokens(texts)
+        words = tokens(texts, spelt)
         half = batch.column("_half").to_numpy(zero_copy_only=False) if "_half" in batch.schema.names else like_halves(coded(*words))
         docs = pa.table([*[batch.column(f"_c{i}") for i in range(others)], *[pa.array(x) for x in more.values()]], names=[*[f"_c{i}" for i in range(others)], *more])
-        for h in (False, True):
-            for t in (False, True):
-                mine = (half == h) & (train == t)
-                if not mine.any():
-                    continue
-                number += 1
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(docs.filter(pa.array(mine)))
-                row = [pa.array([number]), pa.array([h]), pa.array([t]), pa.array([chosen(*words, mine)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, names=["blk", "half", "train", "body", "docs"])
-
-
-def _rows(blk: int, half: bool, train: bool, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        amount = pc.sum(pc.binary_length(texts)).as_py() or 0
+        if held and upto + amount > size:
+            yield from _put(held, number)
+            number, held, upto = number + 2, [], 0
+        held.append((words, half, train, docs))
+        upto += amount
+    if held:
+        yield from _put(held, number)
+
+
+def _rows(blk: int, half: bool, found: list[tuple[int, bytes]]) -> pa.Table:
     n = len(found)
-    arrays = [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([blk] * n, pa.int64()), pa.array([half] * n), pa.array([train] * n), pa.array([x[2] for x in found], pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["role", "bkt", "blk", "half", "train", "body"])
+    arrays = [pa.array([x[0] for x in found], pa.int32()), pa.array([blk] * n, pa.int64()), pa.array([half] * n, pa.bool_()), pa.array([x[1] for x in found], pa.binary())]
+    return pa.table(arrays, names=["bkt", "blk", "half", "body"])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, bool, bytes]]:
+def _each(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield tuple(batch.column(c)[i].as_py() for c in ("blk", "half", "train", "body"))
+            yield tuple(batch.column(c)[i].as_py() for c in columns)
 
 
-def _ask(batches: Iterator[pa.RecordBatch], *, buckets: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    for blk, half, train, body in _each(batches):
+def _ask_triples(batches: Iterator[pa.RecordBatch], *, buckets: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    for blk, half, body in _each(batches, "blk", "half", "body"):
         c = decode(body)
-        found = [(_TRIPLE, b, pack(steps(keys), n.astype(np.uint32) if train else np.zeros(0, np.uint32))) for b, _, keys, _, n in triples(c, buckets, low, high)]
-        found += [(_PAIR, b, _pair_body(c, at, distinct, of, train)) for b, at, distinct, of in pairs(c, buckets, low, high)]
-        if found:
-            yield _rows(blk, half, train, found)
+        found = [(b, pack(steps(keys), np.bincount(of[c.train[at]], minlength=len(keys)).astype(np.uint32))) for b, at, keys, of in triples(c, buckets, low, high)]
+        yield from _rows(blk, half, found).to_batches()
 
 
-def _ask_words(batches: Iterator[pa.RecordBatch], *, buckets: int) -> Iterator[pa.RecordBatch]:
-    for blk, half, train, body in _each(batches):
-        hashes = unpack(body)[0]
-        yield _rows(blk, half, train, [(_WORD, b, pack(hashes[at])) for b, at in _parts(mix(hashes), buckets, 0, buckets)])
+def _of_block(answers: pa.Table) -> dict[tuple[int, int], bytes]:
+    return {(r, b): x for r, b, x in zip(*(answers[k].to_pylist() for k in ("role", "bkt", "body")), strict=True)}
+
+
+def _owned(block: pa.Table, answers: pa.Table, *, buckets: int) -> pa.Table:
+    """The block with a mark at one place of each trigram that it owns."""
+    c, found = decode(block["body"][0].as_py()), _of_block(answers)
+    own = np.zeros(len(c.w), bool)
+    for b, at, keys, of in triples(c, buckets, 0, buckets):
+        place = np.empty(len(keys), np.int64)
+        place[of] = at
+        own[place[_marks(found[_OWN, b], len(keys))]] = True
+    return block.append_column("own", pa.array([pack(np.packbits(own))], pa.binary()))
+
+
+def _marks(body: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(unpack(body)[0], count=n).astype(bool)
+
+
+def _ask_pairs(batches: Iterator[pa.RecordBatch], *, buckets: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    for blk, half, body, marks in _each(batches, "blk", "half", "body", "own"):
+        c = decode(body)
+        own = _marks(marks, len(c.w))
+        found = [(b, pack(steps(keys), np.bincount(of[own[at]], minlength=len(keys)).astype(np.uint32))) for b, at, keys, of in pairs(c, buckets, low, high)]
+        yield from _rows(blk, half, found).to_batches()
+
+
+def _ask_words(block: pa.Table, answers: pa.Table, *, buckets: int, word_buckets: int) -> pa.Table:
+    """The words, and what the bigrams that the block owns add to each."""
+    c, found = decode(block["body"][0].as_py()), _of_block(answers)
+    figures = np.zeros((5, len(c.hashes)), np.int64)
+    for b, at, keys, of in pairs(c, buckets, 0, buckets):
+        (n,) = unpack(found[_MINE, b])
+        place = np.empty(len(keys), np.int64)
+        place[of] = at
+        place, n = place[n > 0], n[n > 0].astype(np.int64)
+        np.add.at(figures[0], c.w[place], 1)
+        np.add.at(figures[1], c.v[place], n)
+        for k, some in enumerate((n == 1, n == 2, n > 2), 2):
+            np.add.at(figures[k], c.v[place[some]], 1)
+    return _rows(block["blk"][0].as_py(), block["half"][0].as_py(), [(b, pack(steps(c.hashes[at]), *unpack(_small(*figures[:, at])))) for b, at in word_parts(c, word_buckets)])
 
 
 class _Answers:
@@ -233,71 +305,72 @@ def _small(*arrays: np.ndarray) -> bytes:
     return pack(*[a.astype(np.uint32) for a in arrays])
 
 
-def _sum_triples(bkt: int, blocks: list[tuple[int, bool, bool, bytes]]) -> pa.Table:
-    out, bodies = _Answers(), [unpack(b) for *_, b in blocks]
-    edge = np.concatenate([[0], np.cumsum([len(k) for k, _ in bodies])])
-    keys, of = np.unique(np.concatenate([np.cumsum(k) for k, _ in bodies]), return_inverse=True)
+def _gather(table: pa.Table) -> tuple[list[tuple[int, bool]], list[list[np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks and their halves, by block; what each sent; all distinct keys, the place there of each key sent, where each block's begin."""
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("blk", "half", "body")), strict=True))
+    bodies = [unpack(x[2]) for x in rows]
+    edge = np.concatenate([[0], np.cumsum([len(x[0]) for x in bodies])])
+    keys, of = np.unique(np.concatenate([np.cumsum(x[0]) for x in bodies]), return_inverse=True)
+    return [x[:2] for x in rows], bodies, keys, of, edge
+
+
+def _counted(blocks: list[tuple[int, bool]], bodies: list[list[np.ndarray]], of: np.ndarray, edge: np.ndarray, half: bool, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of what blocks of the half sent; the first block that sent more than 0, by its place."""
+    n, owner = np.zeros(keys, np.int64), np.full(keys, -1, np.int32)
+    for i in reversed(range(len(blocks))):
+        if blocks[i][1] == half:
+            mine = of[edge[i] : edge[i + 1]]
+            n[mine] += bodies[i][1]
+            owner[mine[bodies[i][1] > 0]] = i
+    return n, owner
+
+
+def _sum_triples(bkt: int, table: pa.Table) -> pa.Table:
+    out = _Answers()
+    blocks, bodies, keys, of, edge = _gather(table)
     start, length = runs(keys >> np.uint64(24))
     context = np.repeat(np.arange(len(start)), length)
     for half in (False, True):
-        n = np.zeros(len(keys), np.int64)
-        for i, (_, h, train, _) in enumerate(blocks):
-            if train and h == half:
-                n[of[edge[i] : edge[i + 1]]] += bodies[i][1]
-        sums = _by_context(n, start)
+        n, owner = _counted(blocks, bodies, of, edge, half, len(keys))
+        total, *few = _by_context(n, start)
+        sums = [total - few[0] - 2 * few[1] - 3 * few[2], *few]  # the rest of the total, most often 0
         out.sums(3, half, n)
-        for i, (blk, h, _, _) in enumerate(blocks):
+        for i, (blk, h) in enumerate(blocks):
+            mine = of[edge[i] : edge[i + 1]]
             if h != half:
-                mine = of[edge[i] : edge[i + 1]]
-                out.rows.append((_TRIPLE, bkt, blk, _small(n[mine], *[x[context[mine]] for x in sums])))
+                some = _distinct(context[mine])
+                out.rows.append((_TRIPLE, bkt, blk, _small(n[mine], *[x[some] for x in sums])))
+            else:
+                out.rows.append((_OWN, bkt, blk, pack(np.packbits(owner[mine] == i))))
     return out.table()
 
 
-def _sum_pairs(bkt: int, blocks: list[tuple[int, bool, bool, bytes]], buckets: int) -> pa.Table:
-    out, bodies = _Answers(), [unpack(b) for *_, b in blocks]
-    words, of = np.unique(np.concatenate([x[0] for x in bodies]), return_inverse=True)
-    first = np.concatenate([[0], np.cumsum([len(x[0]) for x in bodies])])
-    edge = np.concatenate([[0], np.cumsum([len(x[1]) for x in bodies])])
-    v, w = (np.concatenate([of[first[i] + x[k]] for i, x in enumerate(bodies)]).astype(np.uint64) for k in (1, 2))
-    both, pair = np.unique(v * np.uint64(len(words)) + w, return_inverse=True)
-    v, w = np.divmod(both, np.uint64(len(words)))
-    v, w = v.astype(np.int64), w.astype(np.int64)
-    start, length = runs(v)
+def _sum_pairs(bkt: int, table: pa.Table) -> pa.Table:
+    out = _Answers()
+    blocks, bodies, keys, of, edge = _gather(table)
     for half in (False, True):
-        seen = [np.repeat(pair[edge[i] : edge[i + 1]], x[3].astype(np.int64)).astype(np.uint64) << np.uint64(32) | x[4] for i, (x, (_, h, train, _)) in enumerate(zip(bodies, blocks, strict=True)) if train and h == half]
-        n = np.bincount((np.unique(np.concatenate(seen)) >> np.uint64(32)).astype(np.int64), minlength=len(both)) if seen else np.zeros(len(both), np.int64)
+        n, owner = _counted(blocks, bodies, of, edge, half, len(keys))
         out.sums(2, half, n)
-        left = np.zeros((4, len(words)), np.int64)
-        left[:, v[start]] = _by_context(n, start)
-        figures = [np.bincount(w[n > 0], minlength=len(words)), *left]
-        some = (figures[0] > 0) | (left[0] > 0)
-        hashes, figures = words[some], [x[some] for x in figures]
-        out.rows += [(_WORDS, b, int(half), pack(steps(hashes[at]), *[x[at].astype(np.uint64) for x in figures])) for b, at in _parts(mix(hashes), buckets, 0, buckets)]
-        out.rows += [(_PAIR, bkt, blk, _small(n[pair[edge[i] : edge[i + 1]]])) for i, (blk, h, _, _) in enumerate(blocks) if h != half]
+        for i, (blk, h) in enumerate(blocks):
+            mine = of[edge[i] : edge[i + 1]]
+            out.rows.append((_PAIR, bkt, blk, _small(n[mine])) if h != half else (_MINE, bkt, blk, _small(np.where(owner[mine] == i, n[mine], 0))))
     return out.table()
 
 
-def _sum_words(bkt: int, figures: pa.Table, asks: pa.Table) -> pa.Table:
+def _sum_words(bkt: int, table: pa.Table) -> pa.Table:
     out = _Answers()
+    blocks, bodies, keys, of, edge = _gather(table)
     for half in (False, True):
-        bodies = [unpack(b) for b, h in zip(figures["body"].to_pylist(), figures["blk"].to_pylist(), strict=True) if h == int(half)]
-        hashes, of = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(x[0]) for x in bodies]]), return_inverse=True)
-        sums = np.zeros((5, len(hashes) + 1), np.int64)
-        for k in range(5):
-            np.add.at(sums[k], of, np.concatenate([np.zeros(0, np.int64), *[x[k + 1].astype(np.int64) for x in bodies]]))
+        sums = np.zeros((5, len(keys)), np.int64)
+        for i, (_, h) in enumerate(blocks):
+            if h == half:
+                for k in range(5):
+                    np.add.at(sums[k], of[edge[i] : edge[i + 1]], bodies[i][k + 1].astype(np.int64))
         out.sums(1, half, sums[0])
-        for blk, h, body in zip(*(asks[c].to_pylist() for c in ("blk", "half", "body")), strict=True):
-            if h != half:
-                out.rows.append((_WORD, bkt, blk, _small(*sums[:, find(hashes, unpack(body)[0])])))  # place -1 is the last: zeros
+        out.rows += [(_WORD, bkt, blk, _small(*sums[:, of[edge[i] : edge[i + 1]]])) for i, (blk, h) in enumerate(blocks) if h != half]
     return out.table()
 
 
-def _sum(key: tuple, table: pa.Table, *, buckets: int) -> pa.Table:
-    role, bkt = (k.as_py() for k in key)
-    blocks = list(zip(*(table[c].to_pylist() for c in ("blk", "half", "train", "body")), strict=True))
-    return _sum_triples(bkt, blocks) if role == _TRIPLE else _sum_pairs(bkt, blocks, buckets)
-
-
 class Fit(NamedTuple):
     """Of a half: what is taken from counts 0, 1, 2, 3 and more by order from 1, all bigrams, the chance of a word never seen; 1 where there are no texts."""
 
@@ -335,7 +408,7 @@ def _bits(c: Coded, answers: dict[tuple[int, int], bytes], fit: Fit, buckets: in
         return np.zeros(len(c.at) - 1), np.zeros(len(c.at) - 1)
     find_ = lambda role, b: [x.astype(np.int64) for x in unpack(answers[role, b])]
     word = np.zeros((5, len(c.hashes)), np.int64)
-    for b, at in _parts(mix(c.hashes), word_buckets, 0, word_buckets):
+    for b, at in word_parts(c, word_buckets):
         word[:, at] = find_(_WORD, b)
     p1 = _share(word[0], fit.cuts[0], fit.total) + fit.unknown
     rest = _rest(list(word[1:]), fit.cuts[1])
@@ -343,15 +416,18 @@ def _bits(c: Coded, answers: dict[tuple[int, int], bytes], fit: Fit, buckets: in
     for b, at, _, of in pairs(c, buckets, 0, buckets):
         (n,) = find_(_PAIR, b)
         p[at] = _share(n[of], fit.cuts[1], word[1, c.v[at]]) + rest[c.v[at]] * p1[c.w[at]]
-    for b, at, _, of, _ in triples(c, buckets, 0, buckets):
-        n, *sums = find_(_TRIPLE, b)
-        p[at] = _share(n, fit.cuts[2], sums[0])[of] + _rest(sums, fit.cuts[2])[of] * p[at]
+    for b, at, keys, of in triples(c, buckets, 0, buckets):
+        n, more, *few = find_(_TRIPLE, b)
+        _, length = runs(keys >> np.uint64(24))
+        total = more + few[0] + 2 * few[1] + 3 * few[2]
+        context = np.repeat(np.arange(len(total)), length)
+        p[at] = _share(n, fit.cuts[2], total[context])[of] + _rest([total, *few], fit.cuts[2])[context][of] * p[at]
     return np.add.reduceat(-np.log2(p), c.at[:-1]), np.add.reduceat(-np.log2(p1)[c.w], c.at[:-1])
 
 
-def _score(key: tuple, block: pa.Table, answers: pa.Table, *, fits: dict[bool, Fit], buckets: int, word_buckets: int) -> pa.Table:
+def _score(block: pa.Table, answers: pa.Table, *, fits: dict[bool, Fit], buckets: int, word_buckets: int) -> pa.Table:
     c, fit = decode(block["body"][0].as_py()), fits[not block["half"][0].as_py()]
-    found = {(r, b): x for r, b, x in zip(*(answers[k].to_pylist() for k in ("role", "bkt", "body")), strict=True)}
+    found = _of_block(answers)
     docs = pa.ipc.open_stream(block["docs"][0].as_py()).read_all()
     n = len(docs)
     return pa.table([*docs.columns, pa.array(np.full(n, fit.unknown < 1)), pa.array(np.diff(c.at)), *map(pa.array, _bits(c, found, fit, buckets, word_buckets))], names=[*docs.column_names, "known", "n_tokens", "bits", "word_bits"])
@@ -371,37 +447,53 @@ def cross_scored(rows: DataFrame, size: DataFrame, look: Callable | None = None,
     amount = size.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     grow = min(16.0, max(1.0, (amount / (1 << 30)) ** 0.5))
     buckets = max(PASSES, math.ceil(amount / (BUCKET_BYTES * grow)))
-    word_buckets = max(1, buckets // 8)
+    word_buckets = max(WORD_PASSES, buckets // 4)
     types = ", ".join(f"{c} {rows.schema[n].dataType.simpleString()}" for c, n in ((f"_c{i}", n) for i, n in enumerate(names)))
     plain = rows.select(*[c for c in ("_text", "_half", "_train") if c in rows.columns], *[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)])
+    part = F.pmod(F.col("blk") + F.shiftright("blk", 32), F.lit(SLICES)).cast("int")
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
+    def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
         with tidy(spark):
-            df.write.parquet(f"{folder}/{name}")
+            df.write.partitionBy(*by).parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    made = plain.mapInArrow(partial(_block, others=len(names), size=int(BLOCK_BYTES * grow), look=look), "blk long, half boolean, train boolean, body binary, docs binary")
-    blocks = keep(made, "blocks")
-    coded = blocks.select("blk", "half", "train", "body")
-    found = None
-    for i in range(PASSES):
-        low, high = i * buckets // PASSES, (i + 1) * buckets // PASSES
-        asks = coded.mapInArrow(partial(_ask, buckets=buckets, low=low, high=high), _ASK)
-        answers = keep(asks.groupBy("role", "bkt").applyInArrow(lambda key, table: _sum(key, table, buckets=word_buckets), _ANSWER_SQL), f"answers-{i}")
-        found = answers if found is None else found.union(answers)
-    asks = coded.mapInArrow(partial(_ask_words, buckets=word_buckets), _ASK)
-    by_word = found.where(F.col("role") == _WORDS).groupBy("bkt").cogroup(asks.groupBy("bkt")).applyInArrow(lambda key, left, right: _sum_words(key[0].as_py(), left, right), _ANSWER_SQL)
-    found = found.union(keep(by_word, "words"))
+    def all_of(tables: Iterator[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.union, tables)
+
+    def passes(many: int, ranges: int) -> Iterator[tuple[int, int, int]]:
+        return ((i, i * ranges // many, (i + 1) * ranges // many) for i in range(many))
+
+    blocks = keep(plain.mapInArrow(partial(_block, others=len(names), size=int(min(BLOCK_BYTES * grow, max(BLOCK_BYTES, MOST_BYTES))), look=look), _BLOCK).withColumn("part", part), "blocks", "part")
+
+    def answered(asks: DataFrame, sums: Callable, name: str) -> DataFrame:
+        return keep(asks.groupBy("bkt").applyInArrow(lambda key, table: sums(key[0].as_py(), table), _ANSWER_SQL), name)
+
+    def met(some: DataFrame, answers: DataFrame, roles: tuple[int, ...], i: int, made: Callable, schema: str) -> DataFrame:
+        mine = answers.where((part == i) & F.col("role").isin(*roles))
+        return some.groupBy("blk").cogroup(mine.groupBy("blk")).applyInArrow(lambda key, block, found: made(block, found), schema)
+
+    coded = blocks.select("blk", "half", "body")
+    found = all_of([answered(coded.mapInArrow(partial(_ask_triples, buckets=buckets, low=low, high=high), _ASK), _sum_triples, f"triples-{i}") for i, low, high in passes(PASSES, buckets)])
+    owned = []
+    for i in range(SLICES):
+        owned.append(keep(met(blocks.where(F.col("part") == i).drop("part"), found, (_OWN,), i, partial(_owned, buckets=buckets), f"{_BLOCK}, own binary"), f"owned-{i}"))
+        remove(spark, f"{folder}/blocks/part={i}")
+    coded = all_of(owned).select("blk", "half", "body", "own")
+    twos = all_of([answered(coded.mapInArrow(partial(_ask_pairs, buckets=buckets, low=low, high=high), _ASK), _sum_pairs, f"pairs-{i}") for i, low, high in passes(PAIR_PASSES, buckets)])
+    asks = all_of([keep(met(x.select("blk", "half", "body"), twos, (_MINE,), i, partial(_ask_words, buckets=buckets, word_buckets=word_buckets), _ASK), f"asks-{i}") for i, x in enumerate(owned)])
+    ones = all_of([answered(asks.where(f"bkt >= {low} AND bkt < {high}"), _sum_words, f"words-{i}") for i, low, high in passes(WORD_PASSES, word_buckets)])
+    for i in range(SLICES):
+        remove(spark, f"{folder}/asks-{i}")
+    found = found.union(twos).union(ones)
     known = fits([(r.bkt, r.blk, r.body) for r in found.where(F.col("role") == _SUMS).select("bkt", "blk", "body").collect()])
     schema = ", ".join(x for x in (types, extra, "known boolean, n_tokens long, bits double, word_bits double") if x)
     score = partial(_score, fits=known, buckets=buckets, word_buckets=word_buckets)
-    out = None
-    for i in range(SLICES):
-        mine = F.pmod(F.xxhash64("blk"), F.lit(SLICES)) == i
-        answers = found.where(mine & F.col("role").isin(_WORD, _PAIR, _TRIPLE))
-        scored = blocks.where(mine).groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(lambda key, left, right: score(key, left, right), schema)
-        part = keep(scored, f"scored-{i}")
-        out = part if out is None else out.union(part)
-    for name in ("blocks", "words", *[f"answers-{i}" for i in range(PASSES)]):
-        remove(spark, f"{folder}/{name}")
+    scored = []
+    for i, x in enumerate(owned):
+        scored.append(keep(met(x.select("blk", "half", "body", "docs"), found, (_WORD, _PAIR, _TRIPLE), i, score, schema), f"scored-{i}"))
+        remove(spark, f"{folder}/owned-{i}")
+    for name, many in (("blocks", None), ("triples", PASSES), ("pairs", PAIR_PASSES), ("words", WORD_PASSES)):
+        for i in range(many or 1):
+            remove(spark, f"{folder}/{name}-{i}" if many else f"{folder}/{name}")
+    out = all_of(scored)
     return out.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], *out.columns[len(names) :])

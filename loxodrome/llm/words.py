@@ -61,11 +61,21 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), seen[at]
 
 
+def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """As split_words, the words as codes of distinct ones."""
+    words, at = split_words(texts)
+    return words.dictionary_encode(), at
+
+
+def hashes_of(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit xxHash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit xxHash of each word; each distinct word is hashed once."""
     coded = words.dictionary_encode()
-    of = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return of[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
+    return hashes_of(coded.dictionary)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
