@@ -56,6 +56,7 @@ MODEL_BYTES = 8 * sum(SYMBOLS**n + SYMBOLS ** (n - 1) for n in range(1, ORDER +
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _STEP = 1000  # parts of a bit
 _WORD_BYTES = 6  # of a word and the space after it: ``least`` is in bits a byte
 
@@ -75,7 +76,7 @@ def _repeats(words: pa.DictionaryArray, at: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(len(at) - 1, np.int64)
     text = np.searchsorted(at, start, "right").astype(np.uint64)
-    key = mix(mix(mix(x[start] + text) + x[start + 1]) + x[start + 2])
+    key = mix(mix(x + _FACTORS[0])[start] + x[start + 1] * _FACTORS[1] + (x[start + 2] + text) * _FACTORS[2])
     order = np.argsort(key)
     _, length = runs(key[order])
     hit = start[order[np.repeat(length > 1, length)]]

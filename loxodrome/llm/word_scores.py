@@ -47,7 +47,7 @@ from .words import coded_words, hashes_of, pieces, text_array
 #: Text of a block, that is cut to words at once, in a block at most; text whose n-grams share a bucket.
 BLOCK_BYTES, PIECE_BYTES, MOST_BYTES, BUCKET_BYTES = 36 << 20, 7 << 20, 64 << 20, 12 << 20
 #: Over buckets of trigrams, of bigrams, of words; parts of the blocks that meet their answers at once.
-PASSES, PAIR_PASSES, WORD_PASSES, SLICES = 4, 2, 2, 4
+PASSES, PAIR_PASSES, WORD_PASSES, SLICES = 4, 3, 3, 6
 _WORD, _PAIR, _TRIPLE, _MINE, _OWN, _SUMS = 1, 2, 3, 5, 6, 9  # what a row holds
 _BLOCK = "blk long, half boolean, body binary, docs binary"
 _ASK = "bkt int, blk long, half boolean, body binary"
@@ -126,13 +126,14 @@ class Coded(NamedTuple):
 def coded(hashes: np.ndarray, codes: np.ndarray, n: np.ndarray, train: np.ndarray | None = None) -> Coded:
     n = n.astype(np.int64)
     wide, begins = np.concatenate([[0], np.cumsum(n + 3)]), np.concatenate([[0], np.cumsum(n + 1)])
-    at = np.concatenate([[0], np.cumsum(n)])
-    x = np.zeros(wide[-1], np.uint32)
-    x[np.arange(len(codes)) + np.repeat(wide[:-1] + 2 - at[:-1], n)] = codes
+    x, ends = np.zeros(wide[-1], np.uint32), np.ones(wide[-1], bool)
+    ends[wide[:-1]] = ends[wide[:-1] + 1] = False
+    inner = ends.copy()
+    inner[wide[1:] - 1] = False
+    x[inner] = codes
     x[wide[1:] - 1] = 1
-    place = np.arange(begins[-1]) + np.repeat(wide[:-1] + 2 - begins[:-1], n + 1)
     train = np.ones(len(n), bool) if train is None else train.astype(bool)
-    return Coded(hashes, x[place - 2], x[place - 1], x[place], begins, np.repeat(train, n + 1))
+    return Coded(hashes, x[:-2][ends[2:]], x[:-1][ends[1:]], x[ends], begins, np.repeat(train, n + 1))
 
 
 def decode(body: bytes) -> Coded:
@@ -268,16 +269,17 @@ def _ask_pairs(batches: Iterator[pa.RecordBatch], *, buckets: int, low: int, hig
 def _ask_words(block: pa.Table, answers: pa.Table, *, buckets: int, word_buckets: int) -> pa.Table:
     """The words, and what the bigrams that the block owns add to each."""
     c, found = decode(block["body"][0].as_py()), _of_block(answers)
-    figures = np.zeros((5, len(c.hashes)), np.int64)
+    own = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for b, at, keys, of in pairs(c, buckets, 0, buckets):
         (n,) = unpack(found[_MINE, b])
         place = np.empty(len(keys), np.int64)
         place[of] = at
-        place, n = place[n > 0], n[n > 0].astype(np.int64)
-        np.add.at(figures[0], c.w[place], 1)
-        np.add.at(figures[1], c.v[place], n)
-        for k, some in enumerate((n == 1, n == 2, n > 2), 2):
-            np.add.at(figures[k], c.v[place[some]], 1)
+        own.append((place[n > 0], n[n > 0].astype(np.int64)))
+    place, n = (np.concatenate(x) for x in zip(*own, strict=True))
+    figures = np.zeros((5, len(c.hashes)), np.int64)
+    np.add.at(figures[1], c.v[place], n)
+    for k, words in ((0, c.w[place]), (2, c.v[place[n == 1]]), (3, c.v[place[n == 2]]), (4, c.v[place[n > 2]])):
+        figures[k] = np.bincount(words, minlength=len(c.hashes))
     return _rows(block["blk"][0].as_py(), block["half"][0].as_py(), [(b, pack(steps(c.hashes[at]), *unpack(_small(*figures[:, at])))) for b, at in word_parts(c, word_buckets)])
 
 
