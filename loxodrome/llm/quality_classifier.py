@@ -174,9 +174,22 @@ def _sampled(plain: DataFrame, ids: DataFrame, most: int) -> tuple[DataFrame, Da
     return scored, scored.join(ids, "_id", "left_semi").join(F.broadcast(fit.withColumn("_half", F.lit(True))), ["_id", "_half"], "left_anti")
 
 
+def _marked(plain: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with _train, true where ``ids`` has the id.  Only rows that a Bloom filter of the ids lets through, these and a few more, move to be joined."""
+    known = bloom(ids.select(F.xxhash64("_id").alias("key")))
+    sent = plain.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(sent.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    key = may(F.xxhash64("_id"))
+    return plain.where(key).join(ids.withColumn("_train", F.lit(True)), "_id", "left").unionByName(plain.where(~key).withColumn("_train", F.lit(None).cast("boolean")))
+
+
 def _crossed(plain: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of each half scored by a model of all trusted texts of the other, and those of trusted texts."""
-    rows = plain.join(ids.withColumn("_train", F.lit(True)), "_id", "left")
+    rows = _marked(plain, ids)
     scored = cross_scored(rows.withColumn("_trusted", F.col("_train")), plain.select("_text")).withColumnRenamed("known", "_known").drop("word_bits")
     return scored, scored.where("_known AND _trusted")
 
